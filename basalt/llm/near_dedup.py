@@ -3,8 +3,8 @@
 A document is the set of its distinct five-word shingles. One permutation scatters the shingles over a ring, a second
 one, shifted circularly by k, gives the k-th signature coordinate. Coordinates are banded; documents that share a band
 are candidates; a candidate pair is a link only after its full shingle sets are compared. Groups are never expanded into
-all pairs: texts with equal sets collapse first, each bucket then links its members to one hub, and only buckets whose
-members still lie in different components are compared pair by pair.
+all pairs: texts with equal sets collapse first, a few rounds then link the members of each bucket to one hub, and only
+members still in different components are held against their bucket, in blocks that return the promising pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from .workspace import Workspace, with_ids
 SHINGLE = 5
 BANDS, ROWS = 40, 5
 COORDS = BANDS * ROWS
-RING = 1 << 22
+RING = 1 << 21
 PERCENT = 75
 #: A pair whose share of equal coordinates is below this is dropped before its sets are compared: more than six standard errors under the threshold.
 LEAST_ESTIMATE = 0.55
+#: Rounds that link the members of a bucket to one of them, before what is still apart is compared in blocks of so many rows.
+STARS, BLOCK_ROWS = 3, 256
 _MUL = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _rings: list[np.ndarray] = []
 
@@ -149,17 +151,68 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return lab.select("node", "comp")
 
 
-def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, band, part, slice, node, comp, query, asks, sig), sorted by the first four, to pairs (a, b) worth comparing.
+
+    A group holds at most some BLOCK_ROWS queries and as many rows to hold them against. A pair is told in the first band
+    that it shares and no other.
+    """
+    was, rows = None, []
+
+    def pairs():
+        ask, all_ = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        if not ask or not all_:
+            return [], []
+        code: dict[bytes, int] = {}
+        x, y = (np.frombuffer(b"".join(r[4] for r in part), np.uint8).reshape(-1, COORDS) for part in (ask, all_))
+        cx, cy = (np.array([code.setdefault(r[1], len(code)) for r in part]) for part in (ask, all_))
+        left, right, qy = [], [], np.array([r[2] for r in all_])
+        for i in range(len(ask)):
+            equal = y == x[i]
+            good = np.flatnonzero((equal.mean(axis=1) >= LEAST_ESTIMATE) & (cy != cx[i]))
+            if good.size:
+                good = good[equal[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == was[1]]
+            for j in good.tolist():
+                if not qy[j] or ask[i][0] < all_[j][0]:
+                    left.append(min(ask[i][0], all_[j][0]))
+                    right.append(max(ask[i][0], all_[j][0]))
+        return left, right
+
+    def told():
+        left, right = pairs()
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        key = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        for k, row in zip(key, zip(*(batch.column(i).to_pylist() for i in range(4, 9)), strict=True), strict=True):
+            if k != was:
+                if rows:
+                    yield told()
+                was, rows = k, []
+            rows.append(row)
+    if rows:
+        yield told()
+
+
+def _cross_pairs(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket, from (key, band, node, comp): every member outside a bucket's largest component is held against all members, in blocks."""
+    per = mixed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    per = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("top"))
+    rows = mixed.join(per, "key").join(sigs, "node").withColumn("query", F.col("comp") != F.col("big"))
+    parts, slices = (F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS)).cast("int") for c in (F.col("m") - F.col("top"), F.col("m")))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    last = ["node", "comp", "query"]
+    asks = rows.filter("query").select("key", "band", own(parts).alias("part"), upto(slices).alias("slice"), *last, F.lit(True).alias("asks"), "sig")
+    rest = rows.select("key", "band", upto(parts).alias("part"), own(slices).alias("slice"), *last, F.lit(False).alias("asks"), "sig")
+    both = asks.union(rest).repartition("key", "band", "part", "slice").sortWithinPartitions("key", "band", "part", "slice")
+    return both.mapInArrow(_crossed, "a binary, b binary")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    pairs = work.save(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = work.save(classes.join(nodes, "node", "left_semi").select("doc_id", "node"))
-    sets = work.save(with_ids(docs.select("doc_id", "text"), wanted, "inner").select("text", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
     side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
-    out = work.save(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"))
-    for t in (sets, wanted, pairs):
-        work.drop(t)
-    return out
+    return work.save(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -174,22 +227,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     signed = work.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"))
     full = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = work.save(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    every = classes.select(F.explode("bands").alias("key"), "node")
-    hubs = every.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    shared = work.save(every.join(hubs, "key"))
-    sig = lambda n: classes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
-    judged = lambda p: p.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, estimate double")
-    star = judged(shared.filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    first = _links(spark, docs, classes, best, work)
-    comps = components(first, work)
-    split = work.save(shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = split.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    rest = split.join(mixed, "key", "left_semi")
-    one, two = (rest.select("key", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
-    cross = one.join(two, "key").filter("a < b and ca != cb").select("a", "b").distinct()
-    second = _links(spark, docs, classes, judged(cross).select("a", "b"), work)
-    comps = components(first.union(second), work)
+    every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
+    many = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = work.save(every.join(many, "key").select("key", "band", "node"))
+    wanted = work.save(classes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))
+    sets = work.save(with_ids(docs, wanted, "inner").select("text", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
+    work.drop(wanted)
+    sigs = work.save(classes.join(sets.select("node"), "node").select("node", "sig"))
+    sig = lambda n: sigs.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
+    links = comps = None
+    for turn in range(STARS + 1):
+        open_ = shared.withColumn("comp", F.col("node"))
+        if comps is not None:
+            named = shared.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+            unlike = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+            open_ = named.join(unlike, "key", "left_semi")
+        open_ = work.save(open_)
+        if turn < STARS:
+            hubs = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.comp").alias("cb"))
+            star = open_.join(hubs, "key").filter("comp != cb").select(F.col("node").alias("a"), "b").distinct()
+            star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, estimate double")
+            pairs = star.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+        else:
+            pairs = _cross_pairs(open_, sigs).distinct()
+        found = _links(pairs, sets, work)
+        work.drop(open_)
+        links = found if links is None else work.save(links.union(found))
+        comps = components(links, work)
     labelled = work.save(classes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")))
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(least, "comp").select("node", "component_id")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[SPACES] = 0
