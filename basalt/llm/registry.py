@@ -1,8 +1,9 @@
 """The operators' queries by name, with DuckDB equivalents where SQL can express them."""
 
-from . import near_dedup
+from . import near_dedup, packing
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
