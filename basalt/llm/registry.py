@@ -1,9 +1,11 @@
 """The operators' queries by name, with DuckDB equivalents where SQL can express them."""
 
-from . import near_dedup, packing
+from . import exact_dedup, near_dedup, packing, sharding
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_sharding": sharding.op3_sharding,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE}
