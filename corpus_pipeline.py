@@ -1,7 +1,58 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: STAGES, each on all that its predecessor kept, and run() over the whole table."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.llm import decontamination, language_id, line_dedup, near_dedup, packing
+from basalt.llm.workspace import Workspace, with_ids
+
+#: No stage but line dedup is expressible in SQL; the stages are tested against brute force and invariants.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough certainty; the rejected go. Columns as they were."""
+    model = language_id.train(docs)
+    return language_id.identify(spark, docs, model).filter("accepted").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their boilerplate lines; n_chars follows the text. One with nothing else goes."""
+    out = line_dedup.drop_lines(spark, docs)
+    cut = F.col("n_dropped") > 0
+    out = out.filter(~(cut & (F.trim(F.translate("text", "\n", "")) == "")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest doc_id."""
+    found = Workspace(spark).save(near_dedup.near_duplicates(spark, docs))
+    return with_ids(docs, found.filter("not kept").select("doc_id").distinct(), "left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = Workspace(spark).save(decontamination.find_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return with_ids(docs, found.filter("contaminated").select("doc_id").distinct(), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents in sequences: one row per piece."""
+    return packing.pack(spark, docs, packing.tokenizer_path(), ids_too=True)
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("packed", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents; each result is written to the shared folder and read again."""
+    docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = work.save(docs)
+    return docs
