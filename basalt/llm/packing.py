@@ -32,10 +32,37 @@ TOKENIZER = "word_bpe_49k.json"
 _encoders: dict[str, Encoder] = {}
 
 
+def units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, each text's first unit): words, cut again between ASCII letters or digits and punctuation.
+
+    The pre-tokenizer cuts there too. Apostrophes (of contractions) and the signs of special tokens are left in place, and
+    A-Z are folded as the normaliser would, unless a special token may occur.
+    """
+    starts, ends, at = tk.words(buf, offs)
+    if not starts.size:
+        return buf, starts, ends, at
+    kind = _KIND[buf]
+    opens, closes = np.zeros(buf.size + 1, bool), np.zeros(buf.size + 1, bool)
+    opens[1:-1] = (kind[1:] | kind[:-1]) == 3
+    opens[offs[1:-1]] = False
+    closes[:] = opens
+    opens[starts], closes[ends] = True, True
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
+    return (buf if b"<|" in buf.tobytes() else _FOLD[buf]), starts, ends, np.searchsorted(starts, offs)
+
+
+_KIND = np.zeros(256, np.uint8)
+_KIND[[c for c in range(128) if chr(c).isalnum()]] = 1
+_KIND[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
 class Encoder:
     """Token ids of whole texts through a per-worker cache of words.
 
-    Valid for tokenizers whose pre-tokenizer splits at white space and drops it: a text's ids are then its words' ids in turn.
+    Valid for tokenizers whose pre-tokenizer drops white space, cuts as units() does, and whose normaliser folds case: a
+    text's ids are then its units' ids in turn.
     """
 
     def __init__(self, spec: str):
@@ -47,7 +74,7 @@ class Encoder:
         self.sentence_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.sentence_end[list(ends)] = True
         self.reset()
-        self.memo = tk.WordMemo(self.learn)
+        self.memo = tk.WordMemo(self.learn, 800_000)
 
     def reset(self) -> None:
         self.flat, self.at, self.len = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -56,7 +83,7 @@ class Encoder:
         if new is None:
             self.reset()
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         self.at = np.concatenate([self.at, self.flat.size + np.cumsum(n) - n])
         self.len = np.concatenate([self.len, n])
@@ -65,7 +92,7 @@ class Encoder:
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, ids, each text's first id): every text closed by END_ID."""
         for lo, hi, buf, offs in tk.blocks(column):
-            starts, ends, at = tk.words(buf, offs)
+            buf, starts, ends, at = units(buf, offs)
             word = np.insert(self.memo(buf, starts, ends) + 1, at[1:], 0)
             n = self.len[word]
             upto = np.cumsum(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -84,16 +85,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = False) -> np.
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one occurrence of each distinct hash, and each occurrence's place among them."""
-    if not hashes.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(hashes, kind="stable")
-    s = hashes[order]
-    new = np.ones(s.size, bool)
-    new[1:] = s[1:] != s[:-1]
-    inverse = np.empty(s.size, np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return order[new], inverse
+    """Index of the first occurrence of each distinct hash, and each occurrence's place among them."""
+    place, found = pd.factorize(hashes)
+    first = np.empty(found.size, np.int64)
+    first[place[::-1]] = np.arange(hashes.size - 1, -1, -1)
+    return first, place
 
 
 class WordMemo:
