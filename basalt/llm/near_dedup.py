@@ -28,8 +28,8 @@ RING = 1 << 21
 PERCENT = 75
 #: A pair whose share of equal coordinates is below this is dropped before its sets are compared: more than six standard errors under the threshold.
 LEAST_ESTIMATE = 0.55
-#: Rounds that link the members of a bucket to one of them, before what is still apart is compared in blocks of so many rows.
-STARS, BLOCK_ROWS = 3, 256
+#: Rounds that link the members of a bucket to one of them, before what is still apart is compared, in blocks of so many rows.
+STARS, BLOCK_ROWS = 1, 256
 _MUL = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _rings: list[np.ndarray] = []
 
