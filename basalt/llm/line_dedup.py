@@ -4,8 +4,8 @@ A line's tokens with digits become `<*>`. The tree's first level is the token co
 tokens; a leaf's lines vote on each further position, and a position without a majority token is a variable field. A line
 that has all the fixed tokens of its leaf's template is counted under it, any other line under itself. A template is
 boilerplate if it recurs in at least LEAST_TEXTS texts which are not copies of one another: exact copies count as one
-text, and texts whose least and greatest hash of a word pair agree, as near copies mostly do, are one family. Lines of
-boilerplate templates are dropped everywhere.
+text, and texts whose least and greatest hash of certain word triples agree, as near copies mostly do, are one family.
+Lines of boilerplate templates are dropped everywhere.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ def _leaf(tokens: Column) -> Column:
 
 
 def _line(tokens: Column) -> Column:
-    """A line's key and leaf, and its least and greatest hash of a word pair."""
-    pairs = F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.xxhash64(a, b))
-    ends = F.transform(F.array(pairs), lambda p: F.struct(F.array_min(p).alias("lo"), F.array_max(p).alias("hi")))
-    return F.struct(_key(tokens).alias("key"), _leaf(tokens).alias("leaf"), F.get(ends, F.lit(0)).alias("ends"))
+    """A line's key and leaf, and the hashes of two word triples: after its first word and at its end."""
+    one, two = F.xxhash64(F.slice(tokens, 2, 3)), F.xxhash64(F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - 2), 3))
+    long = F.size(tokens) > 1
+    return F.struct(_key(tokens).alias("key"), _leaf(tokens).alias("leaf"), F.when(long, F.least(one, two)).alias("lo"), F.when(long, F.greatest(one, two)).alias("hi"))
 
 
 def _templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def boilerplate(spark: SparkSession, docs: DataFrame, work: Workspace) -> tuple[
     """(text_key, keys): for each text that holds any, its line keys under recurring templates; and the table of recurring line keys."""
     texts = docs.select(F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines")).filter("text_key is not null")
     told = texts.select("text_key", F.transform(F.transform("lines", _tokens), _line).alias("told"))
-    least, most = F.array_min(F.transform("told", lambda x: x["ends"]["lo"])), F.array_max(F.transform("told", lambda x: x["ends"]["hi"]))
+    least, most = F.array_min(F.transform("told", lambda x: x["lo"])), F.array_max(F.transform("told", lambda x: x["hi"]))
     marked = told.withColumn("family", F.xxhash64(least, most))
     flat = marked.select("text_key", "family", F.explode("told").alias("x")).filter("x.key is not null")
     seen = work.save(flat.select("text_key", "family", "x.leaf", "x.key").distinct())
@@ -95,7 +95,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     held, _ = boilerplate(spark, docs.select("text"), work)
     held = held.select("text_key", "keys")
-    rows = docs.withColumn("_k", F.xxhash64("text")).join(held.withColumnRenamed("text_key", "_k").withColumnRenamed("keys", "_keys"), "_k", "left")
+    rows = docs.withColumn("_k", F.xxhash64("text")).join(held.withColumnRenamed("text_key", "_k").withColumnRenamed("keys", "_keys").hint("merge"), "_k", "left")
     lines = F.split("text", "\n")
     gone = lambda key: F.coalesce(F.array_contains(F.col("_keys"), key), F.lit(False))
     kept = F.filter(lines, lambda x: ~gone(F.get(F.transform(F.array(_tokens(x)), _key), F.lit(0))))
