@@ -4,7 +4,7 @@ A document is the set of its distinct five-word shingles. One permutation scatte
 one, shifted circularly by k, gives the k-th signature coordinate. Coordinates are banded; documents that share a band
 are candidates; a candidate pair is a link only after its full shingle sets are compared. Groups are never expanded into
 all pairs: texts with equal sets collapse first, a few rounds then link the members of each bucket to one hub, and only
-members still in different components are held against their bucket, in blocks that return the promising pairs.
+members still in different components are held against their bucket, in blocks.
 """
 
 from __future__ import annotations
@@ -152,35 +152,34 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, band, part, slice, node, comp, query, asks, sig), sorted by the first four, to pairs (a, b) worth comparing.
+    """(key, band, part, slice, node, comp, query, asks, sig), sorted by the first four, to the nodes of a group that are
+    worth comparing: (key, part, slice, node, comp, others), others of a query being the nodes to hold it against.
 
     A group holds at most some BLOCK_ROWS queries and as many rows to hold them against. A pair is told in the first band
     that it shares and no other.
     """
     was, rows = None, []
 
-    def pairs():
+    def told():
         ask, all_ = [r for r in rows if r[3]], [r for r in rows if not r[3]]
         if not ask or not all_:
-            return [], []
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in _TOLD.types], schema=_TOLD)
         code: dict[bytes, int] = {}
         x, y = (np.frombuffer(b"".join(r[4] for r in part), np.uint8).reshape(-1, COORDS) for part in (ask, all_))
         cx, cy = (np.array([code.setdefault(r[1], len(code)) for r in part]) for part in (ask, all_))
-        left, right, qy = [], [], np.array([r[2] for r in all_])
+        qy, out, used = np.array([r[2] for r in all_]), [], set()
         for i in range(len(ask)):
             equal = y == x[i]
             good = np.flatnonzero((equal.mean(axis=1) >= LEAST_ESTIMATE) & (cy != cx[i]))
             if good.size:
                 good = good[equal[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == was[1]]
-            for j in good.tolist():
-                if not qy[j] or ask[i][0] < all_[j][0]:
-                    left.append(min(ask[i][0], all_[j][0]))
-                    right.append(max(ask[i][0], all_[j][0]))
-        return left, right
-
-    def told():
-        left, right = pairs()
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+            others = [j for j in good.tolist() if not qy[j] or ask[i][0] < all_[j][0]]
+            if others:
+                used.update(others)
+                out.append((*ask[i][:2], [all_[j][0] for j in others]))
+        out += [(*all_[j][:2], None) for j in sorted(used)]
+        where = [pa.array([k] * len(out), t) for k, t in zip((was[0], was[2], was[3]), _TOLD.types, strict=False)]
+        return pa.RecordBatch.from_arrays([*where, *(pa.array([r[i] for r in out], t) for i, t in enumerate(_TOLD.types[3:]))], schema=_TOLD)
 
     for batch in batches:
         key = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
@@ -194,8 +193,43 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def _cross_pairs(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket, from (key, band, node, comp): every member outside a bucket's largest component is held against all members, in blocks."""
+_TOLD = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("slice", pa.int32()), ("node", pa.binary()), ("comp", pa.binary()), ("others", pa.list_(pa.binary()))])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, part, slice, node, comp, others, shingles), sorted by the first three, to links; a query that is linked to a component needs no other link to it."""
+    was, rows = None, []
+
+    def links():
+        there = {r[0]: (r[1], np.frombuffer(r[3], np.uint64)) for r in rows if r[2] is None}
+        left, right = [], []
+        for node, _, others, data in (r for r in rows if r[2] is not None):
+            u, reached = np.frombuffer(data, np.uint64), set()
+            for o in others:
+                comp, v = there[o]
+                if comp in reached or 100 * min(u.size, v.size) < PERCENT * max(u.size, v.size):
+                    continue
+                both = np.intersect1d(u, v, assume_unique=True).size
+                if 100 * both >= PERCENT * (u.size + v.size - both):
+                    reached.add(comp)
+                    left.append(node)
+                    right.append(o)
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(7)]
+        for k, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
+            if k != was:
+                if rows:
+                    yield links()
+                was, rows = k, []
+            rows.append(row)
+    if rows:
+        yield links()
+
+
+def _cross_links(mixed: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that share a bucket, from (key, band, node, comp): every member outside a bucket's largest component is held against all members, in blocks; signatures sieve, sets decide. No pair is a row."""
     per = mixed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     per = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("top"))
     rows = mixed.join(per, "key").join(sigs, "node").withColumn("query", F.col("comp") != F.col("big"))
@@ -206,7 +240,9 @@ def _cross_pairs(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
     asks = rows.filter("query").select("key", "band", own(parts).alias("part"), upto(slices).alias("slice"), *last, F.lit(True).alias("asks"), "sig")
     rest = rows.select("key", "band", upto(parts).alias("part"), own(slices).alias("slice"), *last, F.lit(False).alias("asks"), "sig")
     both = asks.union(rest).repartition("key", "band", "part", "slice").sortWithinPartitions("key", "band", "part", "slice")
-    return both.mapInArrow(_crossed, "a binary, b binary")
+    told = both.mapInArrow(_crossed, "key long, part int, slice int, node binary, comp binary, others array<binary>")
+    full = told.join(sets, "node").select("key", "part", "slice", "node", "comp", "others", "shingles")
+    return full.repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(_compared, "a binary, b binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
@@ -247,10 +283,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
             hubs = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.comp").alias("cb"))
             star = open_.join(hubs, "key").filter("comp != cb").select(F.col("node").alias("a"), "b").distinct()
             star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, estimate double")
-            pairs = star.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+            found = _links(star.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), sets, work)
         else:
-            pairs = _cross_pairs(open_, sigs).distinct()
-        found = _links(pairs, sets, work)
+            found = work.save(_cross_links(open_, sigs, sets).distinct())
         work.drop(open_)
         links = found if links is None else work.save(links.union(found))
         comps = components(links, work)
