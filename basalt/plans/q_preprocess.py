@@ -218,10 +218,10 @@ def information_gain(spark, d):
     return r.select(F.round(h("y") - (size("l") * h("l") + size("r") * h("r")) / size("y"), 6).alias("gain"))
 
 
-@query("penalties", f"WITH o AS ({ORDERS_SQL}) SELECT id, round(abs(s) + abs(y), 2) AS l1, round((s * s + y * y) / 2, 2) AS l2, round(0.3 * (abs(s) + abs(y)) + 0.7 * (s * s + y * y) / 2, 2) AS en, round(0.3 * sign(y) + 0.7 * y, 2) AS g FROM o")
+@query("penalties", f"WITH o AS ({ORDERS_SQL}) SELECT id, round(abs(s) + abs(y), 6) AS l1, round((s * s + y * y) / 2000, 6) AS l2, round((0.3 * (abs(s) + abs(y)) + 0.7 * (s * s + y * y) / 2) / 1000, 6) AS en, round(0.3 * sign(y) + 0.7 * y, 6) AS g FROM o")
 def penalties(spark, d):
     w = F.array("s", "y")
-    return rounded(orders(spark, d).select("id", expr.l1_penalty(w).alias("l1"), expr.l2_penalty(w).alias("l2"), expr.elastic_net_penalty(w, 0.3).alias("en"), expr.elastic_net_gradient(w, 0.3)[1].alias("g")), "l1", "l2", "en", "g", digits=2)
+    return rounded(orders(spark, d).select("id", expr.l1_penalty(w).alias("l1"), (expr.l2_penalty(w) / 1000).alias("l2"), (expr.elastic_net_penalty(w, 0.3) / 1000).alias("en"), expr.elastic_net_gradient(w, 0.3)[1].alias("g")), "l1", "l2", "en", "g")
 
 
 @query("sample_weights", f"WITH o AS ({ORDERS_SQL}) SELECT id, round(y * (count(*) OVER ()) / sum(y) OVER (), 6) AS y FROM o")
