@@ -197,21 +197,28 @@ _TOLD = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("slice", pa.int32
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, slice, node, comp, others, shingles), sorted by the first three, to links; a query that is linked to a component needs no other link to it."""
+    """(key, part, slice, node, comp, others, shingles), sorted by the first three, to links; components that the group's links join need no other link."""
     was, rows = None, []
 
     def links():
         there = {r[0]: (r[1], np.frombuffer(r[3], np.uint64)) for r in rows if r[2] is None}
-        left, right = [], []
-        for node, _, others, data in (r for r in rows if r[2] is not None):
-            u, reached = np.frombuffer(data, np.uint64), set()
+        left, right, over = [], [], {}
+
+        def root(c: bytes) -> bytes:
+            while c in over:
+                c = over[c]
+            return c
+
+        for node, mine, others, data in (r for r in rows if r[2] is not None):
+            u = np.frombuffer(data, np.uint64)
             for o in others:
                 comp, v = there[o]
-                if comp in reached or 100 * min(u.size, v.size) < PERCENT * max(u.size, v.size):
+                a, b = root(mine), root(comp)
+                if a == b or 100 * min(u.size, v.size) < PERCENT * max(u.size, v.size):
                     continue
                 both = np.intersect1d(u, v, assume_unique=True).size
                 if 100 * both >= PERCENT * (u.size + v.size - both):
-                    reached.add(comp)
+                    over[max(a, b)] = min(a, b)
                     left.append(node)
                     right.append(o)
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
