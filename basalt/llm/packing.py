@@ -28,6 +28,8 @@ LEAST_POWER = 6
 #: A block closes with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 20
 HARD_EVERY = 1024
+#: Distinct units a worker keeps in mind (some 250 MB), and bytes of text encoded at once.
+MEMO_UNITS, ENCODE_BYTES = 1_500_000, 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 _encoders: dict[str, Encoder] = {}
 
@@ -74,7 +76,7 @@ class Encoder:
         self.sentence_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.sentence_end[list(ends)] = True
         self.reset()
-        self.memo = tk.WordMemo(self.learn, 800_000)
+        self.memo = tk.WordMemo(self.learn, MEMO_UNITS)
 
     def reset(self) -> None:
         self.flat, self.at, self.len = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -91,7 +93,7 @@ class Encoder:
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, ids, each text's first id): every text closed by END_ID."""
-        for lo, hi, buf, offs in tk.blocks(column):
+        for lo, hi, buf, offs in tk.blocks(column, ENCODE_BYTES):
             buf, starts, ends, at = units(buf, offs)
             word = np.insert(self.memo(buf, starts, ends) + 1, at[1:], 0)
             n = self.len[word]

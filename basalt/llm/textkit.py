@@ -108,10 +108,11 @@ class WordMemo:
         if len(self.index) + len(pick) > self.limit:
             self.index = {}
             self.learn(None)
-        new = [w for w in pick if w not in self.index]
+        index = self.index
+        found = list(map(index.get, pick))
+        new = [w for w, k in zip(pick, found, strict=True) if k is None]
         if new:
-            for k, w in enumerate(new, len(self.index)):
-                self.index[w] = k
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.learn(new)
-        index = self.index
-        return np.fromiter((index[w] for w in pick), np.int64, len(pick))[inverse]
+            found = list(map(index.get, pick))
+        return np.array(found, np.int64)[inverse]
