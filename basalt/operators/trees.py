@@ -211,7 +211,8 @@ class RandomForest(_Tree, Classifier):
         df = df.withColumn("_v", F.filter(F.array(*told), lambda x: x.isNotNull()))
         if self.task != "classification":
             return df.withColumn("prediction", F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_v"), F.lit(0))).drop("_v")
-        share = F.array(*(F.size(F.filter("_v", lambda x, c=c: x == c)) / F.nullif(F.size("_v"), F.lit(0)) for c in self.classes_))
+        votes = lambda c: F.size(F.filter("_v", lambda x: x == c))
+        share = F.array(*(votes(c) / F.nullif(F.size("_v"), F.lit(0)) for c in self.classes_))
         df = df.withColumn("probability", share).drop("_v")
         p = F.col("probability")
         return df.withColumn("prediction", F.element_at(F.array(*map(F.lit, self.classes_)), F.array_position(p, F.array_max(p)).cast("int")))
