@@ -202,7 +202,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 9) -> Reader:
         every = np.concatenate([chosen, clean])
         long = np.concatenate([size[chosen], short])
         begin = np.concatenate([start[chosen], start[clean] + rng.integers(0, np.maximum(1, size[clean] - short + 1))])
-        for pick in np.array_split(rng.permutation(every.size), max(1, every.size // BATCH)):
+        for pick in np.array_split(rng.permutation(every.size), max(1, every.size // int(np.clip(every.size // 16, 16, BATCH)))):
             part = every[pick]
             at, mask = _padded(code, begin[pick], long[pick])
             used, at = np.unique(at, return_inverse=True)
@@ -227,10 +227,11 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 9) -> Reader:
     if y.size and 0 < y.mean() < 1:
         for _ in range(WARM_EPOCHS):
             learn(rng.permutation(np.flatnonzero(~held[text]))[: 8 * y.size], rng.permutation(clean)[: 2 * y.size])
-        for _ in range(WORST_EPOCHS * max(1, min(6, 600 // y.size))):
+        rounds = WORST_EPOCHS * max(1, min(4, 1200 // y.size))  # a small sample is read more often
+        for _ in range(rounds):
             top = worst()[0]
             learn(np.concatenate([top[~held], rng.permutation(clean)[: y.size // 4]]), rng.permutation(clean)[: y.size // 2])
-            adam.rate *= 0.93
+            adam.rate *= 0.1 ** (1 / rounds)
         logit, true = worst()[1], y
         if held.any():
             logit, true = logit[held], y[held]

@@ -1,0 +1,305 @@
+"""Each operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns; against brute force."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from basalt.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, sharding, textkit, toxicity
+
+BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+LONG = " ".join(f"w{i * i % 7919}" for i in range(30_000))
+ROWS = [
+    (1, BASE), (2, BASE), (2, BASE), (3, BASE.upper()), (4, BASE + " more"), (5, None), (6, ""), (7, " \n\t "), (8, "two words"), (9, "Two  words"), (10, LONG), (11, LONG[:-6]), (None, BASE), (None, None),
+    (12, "ünïcödé ＡＢＣ don't stop. <|endoftext|> <|ENDOFTEXT|> a.b,c 3.14 …end"), (13, "same line here now ok\n" * 3),
+]
+EXTRA = [("en", 7.5, i, "x", True) for i in range(len(ROWS))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    schema = "doc_id long, text string, lang string, score double, keep long, kept string, hit boolean"
+    return spark.createDataFrame([(*a, *b) for a, b in zip(ROWS, EXTRA)], schema).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_words_follow_the_contract():
+    t = ["a  b c\x0bd", "", None, "x" * 3000, "É é\x1cz"]
+    for lo, hi, buf, offs in textkit.blocks(pa.array(t), 8):
+        s, e, at = textkit.words(buf, offs)
+        got = [buf[a:b].tobytes().decode() for a, b in zip(s, e)]
+        assert got == [w for x in t[lo:hi] for w in re.findall(r"[^\x20\x09-\x0D]+", x or "")]
+
+
+def test_near_duplicates(spark, docs, none):
+    out = rows(near_dedup.near_duplicates(spark, docs))
+    assert len(out) == len(ROWS) and near_dedup.near_duplicates(spark, none).count() == 0
+    by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    text = {}
+    for i, t in ROWS:
+        text.setdefault(i, t)
+    for i, r in by.items():
+        mine = shingles(text[i])
+        assert r["n_shingles"] == len(mine)
+        near = {j for j in by if mine and shingles(text[j]) and 100 * len(mine & shingles(text[j])) >= 75 * len(mine | shingles(text[j]))}
+        assert r["component_id"] == min(near | {i}) and r["kept"] == (r["component_id"] == i)
+    assert all(r["component_id"] is None and r["kept"] for r in out if r["doc_id"] is None)
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    rng = np.random.default_rng(0)
+    base, out = [f"v{k}" for k in rng.integers(0, 4000, 120)], []
+    for i in range(160):
+        w = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(0, 9))):
+            w[k] = f"n{rng.integers(10**6)}"
+        out.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_dedup.near_duplicates(spark, spark.createDataFrame(out, "doc_id long, text string")))}
+    sets, top = [shingles(t) for _, t in out], list(range(len(out)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(out)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            top[max(x, y)] = min(x, y)
+    assert got == {i: root(i) for i in range(len(out))}
+
+
+def test_exact_duplicates(spark, docs, none):
+    out = rows(exact_dedup.exact_duplicates(spark, docs))
+    assert len(out) == len(ROWS) and exact_dedup.exact_duplicates(spark, none).count() == 0
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(t or "", []).append(i)
+    sha = {hashlib.sha256(t.encode()).hexdigest(): g for t, g in groups.items()}
+    for r in out:
+        g = sha[r["text_sha256"]]
+        assert r["group_size"] == len(g) and r["keep_id"] == max((x for x in g if x is not None), default=None)
+    assert sum(r["kept"] for r in out) == len(groups)
+
+
+def test_fuse_filter():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 100, 20_000):
+        keys = rng.integers(0, 2**63, n, dtype=np.uint64)
+        f = exact_dedup.FuseFilter.from_bytes(exact_dedup.FuseFilter.build(keys).to_bytes())
+        assert f.holds(keys).all()
+        if n > 50:
+            assert f.holds(rng.integers(0, 2**63, 20_000, dtype=np.uint64)).mean() < 0.01
+
+
+def test_packing(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    out = rows(packing.pack(spark, docs, path, ids_too=True))
+    assert packing.pack(spark, none, path).count() == 0
+    want = sorted(([*t.encode(x or "", add_special_tokens=False).ids, 2] for _, x in ROWS))
+    pieces, got = {}, []
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        assert r["offset"] == pieces.get(r["sequence_id"], 0)
+        pieces[r["sequence_id"]] = r["offset"] + r["length"]
+        got = [*got[:-1], got[-1] + r["ids"]] if r["start"] else [*got, r["ids"]]
+        assert r["sequence_length"] in (4096, r["sequence_tokens"])
+    assert max(pieces.values()) <= 4096 and sorted(got) == want
+
+
+def test_cut_points_are_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        ends = np.unique(rng.integers(1, 600, 25))
+        pen = rng.integers(0, 30, ends.size).astype(float)
+        cap, p = 128, [0, *ends.tolist()]
+        if max(b - a for a, b in zip(p, p[1:])) > cap:
+            continue
+
+        def pad(n):
+            return 0 if n & (n - 1) == 0 and n >= 1 << packing.LEAST_POWER else cap - n
+
+        best = [0.0]
+        for j in range(1, len(p)):
+            best.append(min(best[i] + pad(p[j] - p[i]) for i in range(j) if p[j] - p[i] <= cap) + pen[j - 1])
+        cuts = packing.cut_points(ends, pen, cap)
+        cost = sum(pad(b - a) + pen[p.index(b) - 1] for a, b in zip([0, *cuts], cuts))
+        assert cost == pytest.approx(best[-1])
+
+
+def test_sharding(spark, docs, none):
+    out = rows(sharding.shard(spark, docs, 4))
+    assert len(out) == len(ROWS) and sharding.shard(spark, none).count() == 0
+    assert sorted(r["size"] for r in out) == sorted(len((t or "").encode()) + 8 for _, t in ROWS)
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    hot = spark.range(6000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the one text' else concat('text ', id * 7919 % 6000) end as text").repartition(4)
+    size = {}
+    for r in rows(sharding.shard(spark, hot, 8)):
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+    assert len(size) == 8 and max(size.values()) / min(size.values()) < 1.02
+
+
+def test_secret_scan(spark, docs, none):
+    texts = ["password=hunter2222 x", 'API_KEY: "abcdefgh1234"', "secret=token: longvalue12", "é AKIA" + "Z9" * 8 + " token=short", "0123456789abcdef" * 3, "Xk29fQz81LmVw0RtYb73HsQe", "ordinary_identifier_of_the_account_manager", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.select("doc_id", "text"))
+    out = rows(secret_scan.scan(spark, df))
+    assert len(out) == len(texts) + len(ROWS) and secret_scan.scan(spark, none).count() == 0
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = []
+    for t in [*texts, *(t for _, t in ROWS)]:
+        t = t or ""
+        s = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[1]) >= 8]
+        s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        s += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        want.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(s)))
+    assert sorted(r["base"] for r in out) == sorted(want)
+    random = {r["doc_id"]: r["n_random"] for r in out if r["n_random"]}
+    assert random.get(5) == 1 and 6 not in random
+
+
+def test_language_id(spark, docs, none):
+    en, fr = "the of and that with have this from they would there their".split(), "le la les des une dans pour que est avec sont nous".split()
+    rng = np.random.default_rng(3)
+    train = [(i, " ".join(rng.choice(v, 40)), n) for i, (v, n) in enumerate([(en, "en"), (fr, "fr")] * 60)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    out = rows(language_id.identify(spark, df, model))
+    assert np.mean([r["lang_pred"] == r["lang"] for r in out]) > 0.98
+    edge = rows(language_id.identify(spark, docs, model))
+    assert len(edge) == len(ROWS) and all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or "")) for r in edge)
+    assert all(0 <= r["score"] <= 1 for r in edge) and "kept" in edge[0]
+    assert language_id.train(none) is None and language_id.identify(spark, none, model).count() == 0
+    assert {r["lang_pred"] for r in rows(language_id.identify(spark, docs, None))} == {"und"}
+
+
+def test_gradients_of_the_reader():
+    net = toxicity.Reader(0)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    words = [b"", b"one", b"two", b"three"]
+    inputs, at = toxicity.word_inputs(words), np.array([[1, 2], [2, 3], [3, 0]])
+    mask = np.array([[1, 1], [1, 1], [1, 0]], np.float64)
+    run = lambda: net.forward(net.project(net.embed(inputs)), at, mask).sum()
+    x = net.embed(inputs)
+    _, saved = net.forward(net.project(x), at, mask, keep=True)
+    grad = net.backward(np.ones(2), saved, x, at, mask, inputs)
+    for k in ("att", "out", "uf", "ub", "inf", "cb"):
+        i = (0,) * net.w[k].ndim
+        net.w[k][i] += 1e-2
+        up = run()
+        net.w[k][i] -= 2e-2
+        down = run()
+        net.w[k][i] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(float(grad[k][i]), abs=2e-3), k
+
+
+def test_toxicity(spark, docs, none):
+    rng = np.random.default_rng(4)
+    plain = [f"plain{i}" for i in range(60)]
+    data = []
+    for i in range(240):
+        w = list(rng.choice(plain, int(rng.integers(10, 150))))
+        if i % 3 == 0:
+            w[int(rng.integers(len(w)))] = "nasty"
+        data.append((i, " ".join(w), int(i % 3 == 0)))
+    df = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    net = toxicity.train(df, labels)
+    out = {r["doc_id"]: r["score"] for r in rows(toxicity.score(spark, df, net))}
+    assert np.mean([(out[i] >= 0.5) == bool(y) for i, _, y in data if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.85
+    edge = rows(toxicity.score(spark, docs, net))
+    assert len(edge) == len(ROWS) and all(0 <= r["score"] <= 1 for r in edge) and toxicity.score(spark, none, net).count() == 0
+    assert toxicity.train(none, labels) is not None
+
+
+def test_windows_cover_every_word():
+    first = np.cumsum([0, 0, 1, 64, 65, 96, 97, 500])
+    text, start, size = toxicity.windows(first)
+    for t in range(7):
+        seen = {w for i in np.flatnonzero(text == t) for w in range(start[i], start[i] + size[i])}
+        assert seen == set(range(first[t], first[t + 1]))
+
+
+def test_decontamination(spark, docs, none):
+    item = "In the old harbour the captain Miller counted 14 crates of 20 kg each and sold 3 of them to Baker for 90 dollars before the storm"
+    other = "What is the sum of 12 and 30 when 12 apples and 30 pears of the old farm are put in one basket"
+    again = item.replace("Miller", "Smith").replace("14", "77").replace("20", "5").replace("Baker", "Jones").replace("90", "41").replace(" 3 ", " 9 ")
+    crossed = other.replace("12 and 30", "5 and 6").replace("12 apples and 30", "6 apples and 5")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "too short"), (4, None), (None, item)], "item_id long, text string")
+    texts = ["Filler words. " + item + " and so on", again, crossed, "clean text about " + BASE, item.upper()]
+    out = {r["doc_id"]: r["items"] for r in rows(decontamination.find_leaks(spark, spark.createDataFrame([(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string"), bench))}
+    assert out[100] == [1] and out[101] == [1] and out[103] == []
+    assert decontamination.find_leaks(spark, none, bench).count() == 0
+    edge = rows(decontamination.find_leaks(spark, docs, bench.limit(0)))
+    assert len(edge) == len(ROWS) and not any(r["contaminated"] for r in edge)
+
+
+def test_line_dedup(spark, docs, none):
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(f"u{k}q" if False else f"u{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in rng.integers(0, 17_000, n))
+    data = [(i, f"{say(12)}\nAll rights reserved by owner number {i}\n{say(9)}\nThis very line is everywhere\nshort one") for i in range(12)]
+    data += [(100 + i, data[0][1]) for i in range(8)]
+    out = {r["doc_id"]: r for r in rows(line_dedup.drop_lines(spark, spark.createDataFrame(data, "doc_id long, text string")))}
+    for i, t in data:
+        lines = t.split("\n")
+        assert out[i]["text"] == "\n".join([lines[0], lines[2], lines[4]]) and out[i]["n_dropped"] == 2 and out[i]["n_lines"] == 5
+    edge = rows(line_dedup.drop_lines(spark, docs))
+    assert sorted((r["text"] or "") for r in edge) == sorted((t or "") for _, t in ROWS) and line_dedup.drop_lines(spark, none).count() == 0
+    copies = spark.createDataFrame([(i, "\n".join(say(10) for _ in range(1)) if i < 0 else data[0][1]) for i in range(30)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in rows(line_dedup.drop_lines(spark, copies))} == {0}
+
+
+def brute_cost(roles):
+    """Least cost over all labelings, by exhaustive search with a priority on states."""
+    best = {chat_format.START: 0.0}
+    for r in roles:
+        new = {}
+        for a, c in best.items():
+            for b in range(4):
+                s = chat_format.STEPS[r][a][b]
+                if s is not None:
+                    new[b] = min(new.get(b, 1e9), c + s[0])
+        best = new
+    return min(c + chat_format.INSERT * len(chat_format.CLOSE[s]) for s, c in best.items())
+
+
+def test_chat_format(spark):
+    legal = re.compile(r"(?:<\|system\|>\n[^<]*<\|end\|>\n)?(?:<\|user\|>\n[^<]*<\|end\|>\n<\|assistant\|>\n[^<]*<\|end\|>\n)+")
+    rng = np.random.default_rng(6)
+    names = ["system", "user", "assistant", "tool", None, " User "]
+    data = [(c, t, names[int(rng.integers(6))], f"c{c}t{t}") for c in range(40) for t in range(int(rng.integers(1, 9)))]
+    data += [(77, t, ["user", "assistant", "user"][t % 3], f"long{t}") for t in range(900)]
+    data += [(78, 0, "user", None), (78, 0, "user", None), (78, None, "assistant", ""), (None, 1, "user", "x")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    out = chat_format.repair(spark, df).toPandas().sort_values("place")
+    assert len(out) == len(data) and chat_format.repair(spark, df.limit(0)).count() == 0
+    cost = {"keep": 0, "merge": chat_format.MERGE}
+    for conv, g in out.groupby("conv_id", dropna=False):
+        assert legal.fullmatch("".join(g["rendered"])), conv
+        roles = [chat_format.STATE.get(r.strip().lower()) if isinstance(r, str) else None for r in g["role"]]
+        total = 0.0
+        for r, a, i, e in zip(roles, g["action"], g["inserted"], g["appended"]):
+            other = chat_format.RELABEL_UNKNOWN if r is None else chat_format.RELABEL
+            total += {"keep": 0, "relabel": other, "merge": cost["merge"], "merge_relabel": cost["merge"] + other}[a] + chat_format.INSERT * (len(i) + len(e))
+        assert total == pytest.approx(brute_cost(roles))
+        assert [x for x in re.findall(r"c\d+t\d+|long\d+", "".join(g["rendered"]))] == [x for x in g["rendered"].str.findall(r"c\d+t\d+|long\d+").sum()]

@@ -1,0 +1,30 @@
+"""The pipeline's stages on a small corpus, and its queries on the small tables."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from basalt.llm import registry
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+def test_stages_keep_columns_and_only_drop(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.join(docs, "doc_id", "left_anti").count() == 0 and out.count() > 0.7 * docs.count()
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0), FOLDER).count() == 0, name
+
+
+def test_queries_are_there():
+    assert len([n for n in registry.QUERIES if n.startswith("op")]) == 10
