@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textkit as tk
+from .workspace import bound_batches
 
 CAPACITY = 4096
 END_ID = 2
@@ -29,7 +30,7 @@ LEAST_POWER = 6
 BLOCK_TOKENS = 1 << 20
 HARD_EVERY = 1024
 #: Distinct units a worker keeps in mind (some 250 MB), and bytes of text encoded at once.
-MEMO_UNITS, ENCODE_BYTES = 1_500_000, 4 << 20
+MEMO_UNITS, ENCODE_BYTES = 1_500_000, 2 << 20
 TOKENIZER = "word_bpe_49k.json"
 _encoders: dict[str, Encoder] = {}
 
@@ -105,30 +106,36 @@ class Encoder:
 def cut_points(ends: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY) -> list[int]:
     """The chosen cuts, ascending, of a stream whose allowed cuts are `ends` (ascending, the last one its length)."""
     p = np.concatenate([[0], ends]).astype(np.int64)
-    jumps: dict[int, list[int]] = {}
+    jumps: list[list[int] | None] = [None] * len(p)
     for k in range(LEAST_POWER, capacity.bit_length() - 1):
         i = np.searchsorted(p, p - (1 << k))
         m = np.flatnonzero((p[i] == p - (1 << k)) & (p >= 1 << k))
         for b, a in zip(m.tolist(), i[m].tolist(), strict=True):
-            jumps.setdefault(b, []).append(a)
+            if jumps[b] is None:
+                jumps[b] = [a]
+            else:
+                jumps[b].append(a)
     pos, pen, n = p.tolist(), [0.0, *penalty.tolist()], len(p)
     f, back, key = [0.0] * n, [0] * n, [0.0] * n
-    queue, head = [], 0
+    queue, head, v = [0] * n, 0, 0.0
+    end = 0  # of the queue: ascending starts with ascending keys
     for j in range(1, n):
-        v = key[j - 1]
-        while len(queue) > head and key[queue[-1]] >= v:
-            queue.pop()
-        queue.append(j - 1)
+        while end > head and key[queue[end - 1]] >= v:
+            end -= 1
+        queue[end] = j - 1
+        end += 1
         at = pos[j]
         while at - pos[queue[head]] > capacity:
             head += 1
         i = queue[head]
         best = key[i] + capacity - at
-        for a in jumps.get(j, ()):
-            if f[a] < best:
-                best, i = f[a], a
-        f[j], back[j] = best + pen[j], i
-        key[j] = f[j] + at
+        if jumps[j] is not None:
+            for a in jumps[j]:
+                if f[a] < best:
+                    best, i = f[a], a
+        best += pen[j]
+        f[j], back[j] = best, i
+        key[j] = v = best + at
     out, j = [], n - 1
     while j:
         out.append(pos[j])
@@ -138,18 +145,18 @@ def cut_points(ends: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY)
 
 def allowed_cuts(ids: np.ndarray, first: np.ndarray, sentence_end: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a block may be cut, and their penalties."""
-    total = ids.size
-    soft = np.flatnonzero(sentence_end[ids]) + 1
-    points = np.union1d(soft, first[1:])
-    gaps = np.flatnonzero(np.diff(np.concatenate([[0], points])) > HARD_EVERY)
-    hard = [np.arange(a + HARD_EVERY, b, HARD_EVERY) for a, b in zip(np.concatenate([[0], points])[gaps], points[gaps], strict=True)]
+    kind = np.zeros(ids.size + 1, np.int8)  # 1 sentence end, 2 document end, 3 inside a sentence
+    kind[1:][sentence_end[ids]] = 1
+    kind[first[1:]] = 2
+    points = np.concatenate([[0], np.flatnonzero(kind)])
+    gaps = np.flatnonzero(np.diff(points) > HARD_EVERY)
+    hard = [np.arange(a + HARD_EVERY, b, HARD_EVERY) for a, b in zip(points[gaps], points[gaps + 1], strict=True)]
     powers = 1 << np.arange(LEAST_POWER, capacity.bit_length())
-    tail = total - np.concatenate([powers, (powers[:, None] + powers).ravel()])
-    every = np.union1d(points, np.concatenate([*hard, tail[tail > 0]]).astype(np.int64))
-    penalty = np.full(every.size, HARD_CUT)
-    penalty[np.searchsorted(every, soft)] = SENTENCE_CUT
-    penalty[np.searchsorted(every, first[1:])] = 0
-    return every, penalty
+    tail = ids.size - np.concatenate([powers, (powers[:, None] + powers).ravel()])
+    more = np.concatenate([*hard, tail[tail > 0]]).astype(np.int64)
+    kind[more[kind[more] == 0]] = 3
+    every = np.flatnonzero(kind)
+    return every, np.array([0.0, SENTENCE_CUT, 0.0, HARD_CUT])[kind[every]]
 
 
 def _pack(spec, ids_too: bool):
@@ -168,7 +175,9 @@ def _pack(spec, ids_too: bool):
             shift = np.cumsum([0, *(x.size for x, _ in parts)])
             first = np.concatenate([[0], *(f[1:] + s for (_, f), s in zip(parts, shift[:-1], strict=True))])
             cuts = np.array([0, *cut_points(*allowed_cuts(ids, first, encoder.sentence_end))])
-            a = np.union1d(cuts[:-1], first[:-1])
+            opens = np.zeros(ids.size + 1, bool)
+            opens[cuts[:-1]] = opens[first[:-1]] = True
+            a = np.flatnonzero(opens)
             b = np.concatenate([a[1:], [ids.size]])
             doc, seq = np.searchsorted(first, a, "right") - 1, np.searchsorted(cuts, a, "right") - 1
             raw = memoryview(ids.astype("<u4")).cast("B")
@@ -210,6 +219,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, ids_too: bool = F
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = ", ".join(f"{n} long" for n in NAMES) + ", ids array<int>" * ids_too
+    bound_batches(spark)
     return docs.select("doc_id", "text").mapInArrow(_pack(spec, ids_too), schema)
 
 
