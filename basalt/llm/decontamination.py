@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .workspace import bound_batches
 
 WINDOW = 8
 #: A window with fewer plain words than this says too little to be looked up.
@@ -42,7 +43,7 @@ class Canon:
     """Words to template codes. Which capitalised word is a name depends on the word before, so both forms are kept."""
 
     def __init__(self):
-        self.memo = tk.WordMemo(self.learn)
+        self.memo = tk.WordMemo(self.learn, 200_000)
         self.learn(None)
 
     def learn(self, new: list[bytes] | None) -> None:
@@ -188,10 +189,6 @@ def _search(told):
     return run
 
 
-def _short(t: str) -> bool:
-    return len(t.split()) < WINDOW
-
-
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, items (ids found, ascending), cover (the largest part of an item found).
 
@@ -202,6 +199,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    bound_batches(spark)
     out = docs.select("doc_id", "text").withColumns({"items": F.array().cast("array<long>"), "cover": F.lit(0.0)})
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()

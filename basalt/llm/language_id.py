@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .workspace import bound_batches
 
 GRAMS = (3, 4, 5)
 BUCKETS, WIDTH = 1 << 15, 16
@@ -30,6 +31,8 @@ EPOCHS, RATE = 4, 0.5
 #: At most this part of held-back rows may be rejected, and none whose probability is above the bound.
 REJECTED, LEAST_SURE = 0.001, 0.5
 UNKNOWN = "und"
+#: Words whose logits a worker keeps in mind.
+MEMO_WORDS = 150_000
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,7 @@ class LanguageModel:
         """Calibrated probabilities of every text; a text without words gets those of the bias."""
         if self._memo is None:
             self._learn(None)
-            self._memo = tk.WordMemo(self._learn)
+            self._memo = tk.WordMemo(self._learn, MEMO_WORDS)
         out = []
         for lo, hi, buf, offs in tk.blocks(column):
             starts, ends, at = tk.words(buf, offs)
@@ -172,12 +175,13 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel | None)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "accepted": F.lit(False)})
     told = spark.sparkContext.broadcast(model)
+    bound_batches(spark)
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def guess(text: pd.Series) -> pd.DataFrame:
-        p = told.value.probabilities(pa.array(text, pa.string(), from_pandas=True))
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def guess(text: pa.Array) -> pa.Array:
+        p = told.value.probabilities(text)
         best = p.argmax(axis=1)
-        return pd.DataFrame({"lang_pred": np.array(told.value.langs, object)[best], "score": p[np.arange(len(p)), best]})
+        return pa.StructArray.from_arrays([pa.array(told.value.langs, pa.string()).take(pa.array(best)), pa.array(p[np.arange(len(p)), best])], ["lang_pred", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     out = docs.withColumn("_g", guess("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .workspace import Workspace, with_ids
+from .workspace import Workspace, bound_batches, with_ids
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -266,6 +266,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     is null and the row is kept. Rows that repeat a doc_id get that id's smallest component. Other columns are ignored.
     """
     work = Workspace(spark)
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     signed = work.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"))
     full = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())

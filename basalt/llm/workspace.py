@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 500_000
 
 
+#: Rows of text that go to a Python worker at once; a worker's memory follows them.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, as a text is much larger than the rows that the default is made for."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
