@@ -159,13 +159,14 @@ def allowed_cuts(ids: np.ndarray, first: np.ndarray, sentence_end: np.ndarray, c
     return every, np.array([0.0, SENTENCE_CUT, 0.0, HARD_CUT])[kind[every]]
 
 
-def _pack(spec, ids_too: bool):
+def _pack(spec, ids_too: bool, memo_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = spec.value
         if text not in _encoders:
             _encoders.clear()
             _encoders[text] = Encoder(text)
         encoder = _encoders[text]
+        encoder.memo.limit = memo_units
         sequence = TaskContext.get().partitionId() << 32
         docs, parts, held = [], [], 0
 
@@ -208,19 +209,19 @@ def _pack(spec, ids_too: bool):
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "sequence_length"]
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, ids_too: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, ids_too: bool = False, memo_units: int = MEMO_UNITS) -> DataFrame:
     """One row per piece of a document: where it lies in its document and in its sequence; with ids_too, its token ids.
 
     Each id lies in exactly one piece. A null or empty text is the closing id alone. Rows that repeat a doc_id, and rows
     with a null one, are packed as documents of their own. A text longer than a window is cut at its sentences. An empty
-    table gives no rows. tokenizer is a path on the driver; the file (some MB) is broadcast. Other columns are ignored.
+    table gives no rows. tokenizer is a path on the driver; the file (some MB) is broadcast. memo_units bounds a worker's word cache. Other columns are ignored.
     A block is packed by itself, so memory follows BLOCK_TOKENS and the longest document, and a lost task repeats alone.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = ", ".join(f"{n} long" for n in NAMES) + ", ids array<int>" * ids_too
     bound_batches(spark)
-    return docs.select("doc_id", "text").mapInArrow(_pack(spec, ids_too), schema)
+    return docs.select("doc_id", "text").mapInArrow(_pack(spec, ids_too, memo_units), schema)
 
 
 def tokenizer_path() -> str:

@@ -42,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents in sequences: one row per piece."""
-    return packing.pack(spark, docs, packing.tokenizer_path(), ids_too=True)
+    return packing.pack(spark, docs, packing.tokenizer_path(), ids_too=True, memo_units=300_000)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("packed", packed)]
