@@ -9,7 +9,9 @@ A window whose length is a power of two needs no padding and is a separate trans
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,6 @@ HARD_EVERY = 1024
 #: Distinct units a worker keeps in mind (some 250 MB), and bytes of text encoded at once.
 MEMO_UNITS, ENCODE_BYTES = 1_500_000, 2 << 20
 TOKENIZER = "word_bpe_49k.json"
-_encoders: dict[str, Encoder] = {}
 
 
 def units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +62,20 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+#: Units of these letters alone are one word to every normaliser and pre-tokenizer that the Encoder is valid for.
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
+#: A byte-level alphabet shows a byte as the character of its number, but for those that do not print: of a Latin letter's, these three.
+_BYTE_SIGN = {0x9F: 0x141, 0xA0: 0x142, 0xAD: 0x143}
+
+
+def _signs(words: list[str]) -> list[str]:
+    """Words without line ends in the byte-level alphabet, right for Latin letters."""
+    text = "\n".join(words).encode().decode("latin-1")
+    for byte, sign in _BYTE_SIGN.items():
+        text = text.replace(chr(byte), chr(sign))
+    return text.split("\n")
+
+
 class Encoder:
     """Token ids of whole texts through a per-worker cache of words.
 
@@ -76,21 +91,46 @@ class Encoder:
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and set(t[:-4]) & set(".!?") and not any(c.isalnum() for c in t[:-4])}
         self.sentence_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.sentence_end[list(ends)] = True
+        letters = [chr(c) for c in range(97, 256) if _LATIN.fullmatch(chr(c))]
+        probes = [*letters, *(a + b + a for a in letters for b in letters)]
+        self.model = self.tokenizer.model
+        self.direct = [[t.id for t in self.model.tokenize(w)] for w in _signs(probes)] == self.whole(probes)
         self.reset()
         self.memo = tk.WordMemo(self.learn, MEMO_UNITS)
 
     def reset(self) -> None:
         self.flat, self.at, self.len = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
+    def whole(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, each unit's first id, each unit's number of ids). Units of Latin letters go straight to the model if the tokenizer's other steps only fold them (probed)."""
+        ids, ends, place, rest = [], [], [], range(len(units))
+        if self.direct:
+            tokenize, words = self.model.tokenize, "\n".join(units).lower().split("\n")
+            told = list(map(bool, map(_LATIN.fullmatch, words)))
+            place, rest = np.flatnonzero(told).tolist(), np.flatnonzero(np.logical_not(told)).tolist()
+            for word in itertools.compress(_signs(words), told):
+                ids += [t.id for t in tokenize(word)]
+                ends.append(len(ids))
+        for x in self.whole([units[i] for i in rest]):
+            ids += x
+            ends.append(len(ids))
+        first, size = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        place = np.array([*place, *rest], np.int64)
+        first[place] = [0, *ends[:-1]] if ends else []
+        size[place] = np.diff(ends, prepend=0)
+        return np.array(ids, np.uint32), first, size
+
     def learn(self, new: list[bytes] | None) -> None:
         if new is None:
             self.reset()
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at = np.concatenate([self.at, self.flat.size + np.cumsum(n) - n])
-        self.len = np.concatenate([self.len, n])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))])
+        ids, first, size = self.encode(b"\n".join(new).decode().split("\n"))
+        self.at = np.concatenate([self.at, self.flat.size + first])
+        self.len = np.concatenate([self.len, size])
+        self.flat = np.concatenate([self.flat, ids])
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, ids, each text's first id): every text closed by END_ID."""
@@ -162,10 +202,7 @@ def allowed_cuts(ids: np.ndarray, first: np.ndarray, sentence_end: np.ndarray, c
 def _pack(spec, ids_too: bool, memo_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = spec.value
-        if text not in _encoders:
-            _encoders.clear()
-            _encoders[text] = Encoder(text)
-        encoder = _encoders[text]
+        encoder = tk.kept(("encoder", text), lambda: Encoder(text))
         encoder.memo.limit = memo_units
         sequence = TaskContext.get().partitionId() << 32
         docs, parts, held = [], [], 0
@@ -221,7 +258,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, ids_too: bool = F
         spec = spark.sparkContext.broadcast(f.read())
     schema = ", ".join(f"{n} long" for n in NAMES) + ", ids array<int>" * ids_too
     bound_batches(spark)
-    return docs.select("doc_id", "text").mapInArrow(_pack(spec, ids_too, memo_units), schema)
+    return docs.select("doc_id", "text").mapInArrow(tk.tidy(_pack(spec, ids_too, memo_units)), schema)
 
 
 def tokenizer_path() -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,38 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _power: dict[str, np.ndarray] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+_kept: dict[object, object] = {}
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def kept(key, make):
+    """What a worker keeps from task to task, made at first use: one thing, so that an operator's caches end when another's begin."""
+    if key not in _kept:
+        _kept.clear()
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy(run):
+    """The function for mapInArrow, followed by release()."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,10 +143,11 @@ class WordMemo:
             self.index = {}
             self.learn(None)
         index = self.index
-        found = list(map(index.get, pick))
-        new = [w for w, k in zip(pick, found, strict=True) if k is None]
-        if new:
+        found = np.fromiter(map(index.get, pick, itertools.repeat(-1)), np.int64, len(pick))
+        missing = np.flatnonzero(found < 0)
+        if missing.size:
+            new = [pick[i] for i in missing.tolist()]
+            found[missing] = np.arange(len(index), len(index) + len(new))
             index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.learn(new)
-            found = list(map(index.get, pick))
-        return np.array(found, np.int64)[inverse]
+        return found[inverse]

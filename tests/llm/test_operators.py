@@ -127,6 +127,21 @@ def test_packing(spark, docs, none):
     assert max(pieces.values()) <= 4096 and sorted(got) == want
 
 
+def test_units_straight_to_the_model():
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    rng = np.random.default_rng(7)
+    letters = [chr(c) for c in [*range(97, 123), *range(65, 91), *range(0xC0, 0x180), 0x3A3, 0x130, 0x212A, 0x301, 0xB5, 0xAA]]
+    words = ["".join(rng.choice(letters[: int(rng.choice([26, 52, 120, len(letters)]))], int(rng.integers(1, 15)))) for _ in range(3000)] + ["12", "a1", "...", "<|endoftext|>", "İ", "e\u0301a", "\u3000x"]
+    assert encoder.direct
+    for some in (words, words[:1], words[-2:]):
+        ids, first, size = encoder.encode(some)
+        assert [ids[a : a + n].tolist() for a, n in zip(first, size)] == encoder.whole(some)
+    encoder.direct = False
+    ids, first, size = encoder.encode(words)
+    assert [ids[a : a + n].tolist() for a, n in zip(first, size)] == encoder.whole(words)
+
+
 def test_cut_points_are_optimal():
     rng = np.random.default_rng(2)
     for _ in range(20):
