@@ -205,8 +205,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         told = spark.sparkContext.broadcast(Index.build([r.item_id for r in rows], [r.text for r in rows]))
         named = out.select("doc_id", "text", F.col("items").alias("items0"), F.col("cover").alias("cover0"), F.col("text").alias("text0"))
-        found = named.mapInArrow(_search(told), "items0 array<long>, cover0 double, text0 string, doc_id long, items array<long>, cover double")
-        out = found.select("doc_id", F.col("text0").alias("text"), F.array_sort(F.array_union("items0", "items")).alias("items"), F.greatest("cover0", "cover").alias("cover")) if blocks > 1 else docs.select("doc_id", "text").mapInArrow(_search(told), "doc_id long, items array<long>, cover double")
+        found = named.mapInArrow(tk.tidy(_search(told)), "items0 array<long>, cover0 double, text0 string, doc_id long, items array<long>, cover double")
+        out = found.select("doc_id", F.col("text0").alias("text"), F.array_sort(F.array_union("items0", "items")).alias("items"), F.greatest("cover0", "cover").alias("cover")) if blocks > 1 else docs.select("doc_id", "text").mapInArrow(tk.tidy(_search(told)), "doc_id long, items array<long>, cover double")
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "cover")
 
 

@@ -179,6 +179,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel | None)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def guess(text: pa.Array) -> pa.Array:
+        tk.kept("language", dict)
         p = told.value.probabilities(text)
         best = p.argmax(axis=1)
         return pa.StructArray.from_arrays([pa.array(told.value.langs, pa.string()).take(pa.array(best)), pa.array(p[np.arange(len(p)), best])], ["lang_pred", "score"])

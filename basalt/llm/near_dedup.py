@@ -31,16 +31,17 @@ LEAST_ESTIMATE = 0.55
 #: Rounds that link the members of a bucket to one of them, before what is still apart is compared, in blocks of so many rows.
 STARS, BLOCK_ROWS = 1, 256
 _MUL = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
-_rings: list[np.ndarray] = []
 
 
 def rings() -> tuple[np.ndarray, np.ndarray]:
     """The scattering permutation, and windows of the second: row p holds its values at p, p+1, ... around the ring."""
-    if not _rings:
-        rng = np.random.default_rng(20_24)
-        scatter, second = rng.permutation(RING).astype(np.uint32), rng.permutation(RING).astype(np.uint32)
-        _rings.extend([scatter, sliding_window_view(np.concatenate([second, second[:COORDS]]), COORDS)])
-    return _rings[0], _rings[1]
+    return tk.kept("rings", _made_rings)
+
+
+def _made_rings() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_24)
+    scatter, second = rng.permutation(RING).astype(np.uint32), rng.permutation(RING).astype(np.uint32)
+    return scatter, sliding_window_view(np.concatenate([second, second[:COORDS]]), COORDS)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -247,15 +248,15 @@ def _cross_links(mixed: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFram
     asks = rows.filter("query").select("key", "band", own(parts).alias("part"), upto(slices).alias("slice"), *last, F.lit(True).alias("asks"), "sig")
     rest = rows.select("key", "band", upto(parts).alias("part"), own(slices).alias("slice"), *last, F.lit(False).alias("asks"), "sig")
     both = asks.union(rest).repartition("key", "band", "part", "slice").sortWithinPartitions("key", "band", "part", "slice")
-    told = both.mapInArrow(_crossed, "key long, part int, slice int, node binary, comp binary, others array<binary>")
+    told = both.mapInArrow(tk.tidy(_crossed), "key long, part int, slice int, node binary, comp binary, others array<binary>")
     full = told.join(sets, "node").select("key", "part", "slice", "node", "comp", "others", "shingles")
-    return full.repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(_compared, "a binary, b binary")
+    return full.repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(tk.tidy(_compared), "a binary, b binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
-    return work.save(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"))
+    return work.save(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tk.tidy(_linked), "a binary, b binary"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -268,14 +269,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     work = Workspace(spark)
     bound_batches(spark)
     docs = docs.select("doc_id", "text")
-    signed = work.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"))
+    signed = work.save(docs.mapInArrow(tk.tidy(_sign), "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"))
     full = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = work.save(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     many = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = work.save(every.join(many, "key").select("key", "band", "node"))
     wanted = work.save(classes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))
-    sets = work.save(with_ids(docs, wanted, "inner").select("text", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
+    sets = work.save(with_ids(docs, wanted, "inner").select("text", "node").mapInArrow(tk.tidy(_sets), "node binary, shingles binary").dropDuplicates(["node"]))
     work.drop(wanted)
     sigs = work.save(classes.join(sets.select("node"), "node").select("node", "sig"))
     sig = lambda n: sigs.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
@@ -290,7 +291,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if turn < STARS:
             hubs = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.comp").alias("cb"))
             star = open_.join(hubs, "key").filter("comp != cb").select(F.col("node").alias("a"), "b").distinct()
-            star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, estimate double")
+            star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tk.tidy(_estimate), "a binary, b binary, estimate double")
             found = _links(star.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), sets, work)
         else:
             found = work.save(_cross_links(open_, sigs, sets).distinct())
