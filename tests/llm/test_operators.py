@@ -284,6 +284,30 @@ def test_line_dedup(spark, docs, none):
     assert {r["n_dropped"] for r in rows(line_dedup.drop_lines(spark, copies))} == {0}
 
 
+def _prose(rng, n):
+    return " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+
+def _edited(rng, lines, rate):
+    return "\n".join(" ".join(w if rng.random() > rate else _prose(rng, 1) for w in x.split()) for x in lines)
+
+
+def _dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [n for _, n in sorted((r["doc_id"], r["n_dropped"]) for r in rows(line_dedup.drop_lines(spark, df)))]
+
+
+def test_lines_shared_by_independent_texts_go(spark):
+    rng = np.random.default_rng(8)
+    for shared, own in ((1, 1), (4, 2), (8, 2)):
+        for _ in range(3):
+            lines = [_prose(rng, 10) for _ in range(shared)]
+            texts = ["\n".join([*lines, *(_prose(rng, 10) for _ in range(own))]) for _ in range(100)]
+            assert _dropped(spark, texts) == [shared] * 100
+    base = [_prose(rng, int(rng.integers(5, 16))) for _ in range(12)]
+    assert not any(_dropped(spark, [_edited(rng, base, 0.03) for _ in range(300)]))
+
+
 def brute_cost(roles):
     """Least cost over all labelings, by exhaustive search with a priority on states."""
     best = {chat_format.START: 0.0}
