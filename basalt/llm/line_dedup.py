@@ -3,7 +3,7 @@
 A line's tokens with digits become `<*>`. The tree's first level is the token count, the next LEAD levels are the leading
 tokens; a leaf's lines vote on each further position, and a position without a majority token is a variable field. A line
 that has all the fixed tokens of its leaf's template is counted under it, any other line under itself. A template is
-boilerplate if it recurs in at least LEAST_TEXTS families of texts.
+boilerplate if it recurs in at least LEAST_TEXTS families of texts, or a long one in LEAST_LONG mostly original texts.
 
 Exact copies are one text. A line's first and last words are its parts; a line neither part of which is in another text
 is the text's own. Boilerplate is never a text's own, and an edited line of a near copy seldom is, as one of its parts is
@@ -22,8 +22,8 @@ from .workspace import BROADCAST_IDS, Workspace
 #: Shorter lines recur by chance and are left alone.
 LEAST_TOKENS = 4
 LEAD = 3
-#: Families of texts that a template must recur in, and the part of its texts that must be families of their own.
-LEAST_TEXTS, LEAST_SPREAD = 5, 0.4
+#: Families that a template must recur in; one of LONG tokens needs only so many texts, at least MOSTLY of whose lines are their own.
+LEAST_TEXTS, LEAST_LONG, LONG, MOSTLY = 5, 2, 20, 0.5
 #: Words of a line's part at most. Part of a text's lines that must be its own, part of a group's texts that must have such
 #: lines, and part of the texts with a group's mark that must be in the group for it to count.
 PART, OWN, GROUP, MARKED = 5, 0.1, 0.5, 0.5
@@ -47,15 +47,15 @@ def _leaf(tokens: Column) -> Column:
 
 
 def _line(tokens: Column) -> Column:
-    """A line's hash, key and leaf, and the hashes of its first and last words; of all, where they are few."""
+    """A line's hash, key and leaf, whether it is long, and the hashes of its first and last words; of all, where they are few."""
     n = F.size(tokens)
     size = F.when(n < LEAST_TOKENS, n).otherwise(F.least(F.lit(PART), F.floor(n / 2).cast("int")))
     head, tail = F.xxhash64(F.lit(0), F.slice(tokens, F.lit(1), size)), F.xxhash64(F.lit(1), F.slice(tokens, n - size + 1, size))
-    return F.struct(F.xxhash64(tokens).alias("line"), _key(tokens).alias("key"), _leaf(tokens).alias("leaf"), (n > 1).alias("told"), head.alias("head"), tail.alias("tail"))
+    return F.struct(F.xxhash64(tokens).alias("line"), _key(tokens).alias("key"), _leaf(tokens).alias("leaf"), (n >= LONG).alias("long"), (n > 1).alias("told"), head.alias("head"), tail.alias("tail"))
 
 
 def _families(seen: DataFrame, work: Workspace) -> DataFrame:
-    """(text_key, family) of every text in (text_key, line, head, tail): family is null where it counts for nothing."""
+    """(text_key, family, mostly) of every text in (text_key, line, head, tail): family is null where it counts for nothing, mostly tells a mostly original text."""
     rows = seen.select("text_key", "line", F.explode(F.array("head", "tail")).alias("part"))
     again = rows.select("text_key", "part").distinct().groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
     lines = rows.join(again.hint("merge"), "part", "left").groupBy("text_key", "line").agg(F.max(F.when(F.col("n").isNotNull(), F.struct("n", "part"))).alias("x"))
@@ -64,11 +64,11 @@ def _families(seen: DataFrame, work: Workspace) -> DataFrame:
     like = F.filter("shared", lambda x: (2 * x["n"] >= F.col("middle")) & (x["n"] <= 2 * F.col("middle")))
     texts = texts.withColumn("middle", middle).withColumn("mark", F.array_min(F.transform(like, lambda x: F.struct(F.xxhash64(x["part"]).alias("part"), x["n"].alias("n")))))
     own = F.col("lines") - F.size("shared")
-    texts = work.save(texts.select("text_key", "mark.part", "mark.n", (own >= F.greatest(F.lit(1), OWN * F.col("lines"))).alias("own")))
+    texts = work.save(texts.select("text_key", "mark.part", "mark.n", (own >= F.greatest(F.lit(1), OWN * F.col("lines"))).alias("own"), (own >= MOSTLY * F.col("lines")).alias("mostly")))
     groups = texts.groupBy("part").agg(F.count("*").alias("texts"), F.sum(F.col("own").cast("int")).alias("owns"))
     free = F.col("own") & (F.col("part").isNull() | (F.col("owns") >= GROUP * F.col("texts")))
     family = F.when(free, F.col("text_key")).when(F.col("texts") >= MARKED * F.col("n"), F.col("part"))
-    return texts.join(groups.hint("merge"), "part", "left").select("text_key", family.alias("family"))
+    return texts.join(groups.hint("merge"), "part", "left").select("text_key", family.alias("family"), "mostly")
 
 
 def _templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -89,19 +89,20 @@ def boilerplate(spark: SparkSession, docs: DataFrame, work: Workspace) -> tuple[
     """(text_key, keys): for each text that holds any, its line keys under recurring templates; and the table of recurring line keys."""
     texts = docs.select(F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines")).filter("text_key is not null")
     told = texts.select("text_key", F.explode(F.transform(F.transform("lines", _tokens), _line)).alias("x")).filter("x.told")
-    every = work.save(told.select("text_key", "x.line", "x.key", "x.leaf", "x.head", "x.tail").distinct())
+    every = work.save(told.select("text_key", "x.line", "x.key", "x.leaf", "x.long", "x.head", "x.tail").distinct())
     families = _families(every, work)
-    seen = work.save(every.filter("key is not null").select("text_key", "key", "leaf").join(families.hint("merge"), "text_key"))
+    seen = work.save(every.filter("key is not null").select("text_key", "key", "leaf", "long").join(families.hint("merge"), "text_key"))
     # a leaf that may generalise: several different lines, in enough families
-    forms = seen.groupBy("leaf", "key", "family").agg(F.count("*").alias("n"))
-    lone = forms.groupBy("leaf", "key").agg(F.count("family").alias("families")).groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("families").alias("families"))
-    leaves = work.save(lone.filter((F.col("lines") > 1) & (F.col("families") >= LEAST_TEXTS)).select("leaf"))
+    forms = seen.groupBy("leaf", "key", "family").agg(F.max("long").alias("long"))
+    lone = forms.groupBy("leaf", "key").agg(F.count("family").alias("families"), F.max("long").alias("long")).groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("families").alias("families"), F.max("long").alias("long"))
+    enough = F.col("families") >= F.when(F.col("long"), LEAST_LONG).otherwise(LEAST_TEXTS)
+    leaves = work.save(lone.filter((F.col("lines") > 1) & enough).select("leaf"))
     tokens = texts.select(F.explode(F.transform("lines", _tokens)).alias("tokens")).select("tokens", _leaf(F.col("tokens")).alias("leaf"), _key(F.col("tokens")).alias("key"))
     grown = work.save(_templates(tokens.filter("key is not null"), leaves))
     under = seen.join(grown, ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key"))
-    spread = under.groupBy("template", "family", "text_key").agg(F.count("*").alias("lines")).groupBy("template", "family").agg(F.count("*").alias("texts"))
-    spread = spread.groupBy("template").agg(F.count("family").alias("families"), F.sum("texts").alias("texts"))
-    common = spread.filter((F.col("families") >= LEAST_TEXTS) & (F.col("families") >= LEAST_SPREAD * F.col("texts"))).select("template")
+    spread = under.groupBy("template", "family").agg(F.max("long").alias("long"), F.max(F.col("mostly") & (F.col("family") == F.col("text_key"))).alias("mostly"))
+    spread = spread.groupBy("template").agg(F.count("family").alias("families"), F.max("long").alias("long"), F.count(F.when(F.col("mostly"), 1)).alias("mostly"))
+    common = spread.filter((F.col("families") >= LEAST_TEXTS) | (F.col("long") & (F.col("mostly") >= LEAST_LONG))).select("template")
     drop = work.save(under.select("key", "template").distinct().join(common, "template").select("key").distinct())
     small = drop.count() <= BROADCAST_IDS
     held = seen.select("text_key", "key").join(F.broadcast(drop) if small else drop, "key")

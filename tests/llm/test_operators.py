@@ -308,6 +308,17 @@ def test_lines_shared_by_independent_texts_go(spark):
     assert not any(_dropped(spark, [_edited(rng, base, 0.03) for _ in range(300)]))
 
 
+def test_near_copies_leave_the_count_of_families(spark):
+    rng = np.random.default_rng(9)
+    notice, base = _prose(rng, 9), [_prose(rng, int(rng.integers(5, 16))) for _ in range(12)]
+    alone = ["\n".join([*(_prose(rng, 10) for _ in range(5)), notice]) for _ in range(40)]
+    assert _dropped(spark, alone + [_edited(rng, base, 0.03) + "\n" + notice for _ in range(600)]) == [1] * 640
+    for n in (2, 4):
+        passage, base = _prose(rng, 30), [_prose(rng, 25) for _ in range(8)]
+        texts = ["\n".join([*(_prose(rng, 10) for _ in range(4)), passage]) for _ in range(n)]
+        assert _dropped(spark, texts + [_edited(rng, base, 0.02) for _ in range(n)]) == [1] * n + [0] * n
+
+
 def brute_cost(roles):
     """Least cost over all labelings, by exhaustive search with a priority on states."""
     best = {chat_format.START: 0.0}
