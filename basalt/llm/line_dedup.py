@@ -1,6 +1,6 @@
 """Line deduplication with a log-template tree of fixed depth, in DataFrame functions only.
 
-A line's tokens with digits become `<*>`. The tree's first level is the token count, the next LEAD levels are the leading
+A line's tokens with digits become `<*>`, unless too few of its tokens are words. The tree's first level is the token count, the next LEAD levels are the leading
 tokens; a leaf's lines vote on each further position, and a position without a majority token is a variable field. A line
 that has all the fixed tokens of its leaf's template is counted under it, any other line under itself. A template is
 boilerplate if it recurs in at least LEAST_TEXTS families of texts, or a long one in LEAST_LONG mostly original texts.
@@ -27,14 +27,21 @@ LEAST_TEXTS, LEAST_LONG, LONG, MOSTLY = 5, 2, 20, 0.5
 #: Words of a line's part at most. Part of a text's lines that must be its own, part of a group's texts that must have such
 #: lines, and part of the texts with a group's mark that must be in the group for it to count.
 PART, OWN, GROUP, MARKED = 5, 0.1, 0.5, 0.5
-#: Part of a leaf's lines that a token needs to stand in the template, and part of a template's tokens that must be fixed.
+#: Part of a leaf's lines that a token needs to stand in the template, and part of a template's tokens that must be fixed words.
 MAJORITY, FIXED = 0.5, 0.6
 FIELD = "<*>"
 
 
+def _words(tokens: Column) -> Column:
+    """Number of tokens with letters and no digit: neither fields nor punctuation."""
+    return F.size(F.filter(tokens, lambda x: x.rlike(r"^[^0-9]*\p{L}[^0-9]*$")))
+
+
 def _tokens(line: Column) -> Column:
-    """Blank-separated tokens, those with digits generalised."""
-    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(line), " ")
+    """Blank-separated tokens, those with digits generalised where the rest says enough: a row of numbers stands for itself."""
+    general = F.array(F.split(F.regexp_replace(line, r"[^ 0-9]*[0-9][^ ]*", FIELD), " "))
+    general = F.get(F.filter(general, lambda x: _words(x) >= FIXED * F.size(x)), F.lit(0))
+    return F.coalesce(F.when(line.rlike("[0-9]"), general), F.split(line, " "))
 
 
 def _key(tokens: Column) -> Column:
@@ -80,7 +87,7 @@ def _templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     field = F.when(F.col("n") > MAJORITY * F.col("all"), F.col("token")).otherwise(FIELD)
     shape = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", field.alias("token")))).alias("shape"))
     shape = shape.select("leaf", F.transform("shape", lambda x: x["token"]).alias("shape"), F.xxhash64("leaf", F.lit("template")).alias("template"))
-    shape = shape.filter(F.size(F.filter("shape", lambda x: x != FIELD)) >= FIXED * F.size("shape"))
+    shape = shape.filter(_words(F.col("shape")) >= FIXED * F.size("shape"))
     fits = F.forall(F.zip_with("tokens", "shape", lambda a, b: (a == b) | (b == FIELD)), lambda x: x)
     return rows.join(shape, "leaf").filter(fits).select("leaf", "key", "template")
 

@@ -319,6 +319,12 @@ def test_near_copies_leave_the_count_of_families(spark):
         assert _dropped(spark, texts + [_edited(rng, base, 0.02) for _ in range(n)]) == [1] * n + [0] * n
 
 
+def test_rows_of_numbers_stand_for_themselves(spark):
+    rng = np.random.default_rng(10)
+    texts = [f"{_prose(rng, 12)}\n{i} 7 {1900 + i} 3\n| {i} | {i * i} |\nPage {i} of {i + 9}\nAll rights reserved by owner number {i}\n1 2 3 4" for i in range(20)]
+    assert _dropped(spark, texts) == [2] * 20
+
+
 def brute_cost(roles):
     """Least cost over all labelings, by exhaustive search with a priority on states."""
     best = {chat_format.START: 0.0}
