@@ -153,11 +153,11 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, band, part, slice, node, comp, query, asks, sig), sorted by the first four, to the nodes of a group that are
-    worth comparing: (key, part, slice, node, comp, others), others of a query being the nodes to hold it against.
+    """(key, band, part, slice, node, comp, query, asks, sig, bands), sorted by the first four, to the nodes of a group that
+    are worth comparing: (key, part, slice, node, comp, others), others of a query being the nodes to hold it against.
 
     A group holds at most some BLOCK_ROWS queries and as many rows to hold them against. A pair is told in the first band
-    that it shares and no other.
+    that it shares and no other; the keys of the bands tell it, as a signature's coordinates are cut to 8 bits.
     """
     was, rows = None, []
 
@@ -167,13 +167,14 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in _TOLD.types], schema=_TOLD)
         code: dict[bytes, int] = {}
         x, y = (np.frombuffer(b"".join(r[4] for r in part), np.uint8).reshape(-1, COORDS) for part in (ask, all_))
+        kx, ky = (np.array([r[5] for r in part]) for part in (ask, all_))
         cx, cy = (np.array([code.setdefault(r[1], len(code)) for r in part]) for part in (ask, all_))
         qy, out, used = np.array([r[2] for r in all_]), [], set()
         for i in range(len(ask)):
             equal = y == x[i]
             good = np.flatnonzero((equal.mean(axis=1) >= LEAST_ESTIMATE) & (cy != cx[i]))
             if good.size:
-                good = good[equal[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == was[1]]
+                good = good[(ky[good] == kx[i]).argmax(axis=1) == was[1]]
             others = [j for j in good.tolist() if not qy[j] or ask[i][0] < all_[j][0]]
             if others:
                 used.update(others)
@@ -184,7 +185,8 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         key = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-        for k, row in zip(key, zip(*(batch.column(i).to_pylist() for i in range(4, 9)), strict=True), strict=True):
+        bands = batch.column(9).flatten().to_numpy().reshape(-1, BANDS)
+        for k, row in zip(key, zip(*(batch.column(i).to_pylist() for i in range(4, 9)), bands, strict=True), strict=True):
             if k != was:
                 if rows:
                     yield told()
@@ -245,8 +247,8 @@ def _cross_links(mixed: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFram
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     last = ["node", "comp", "query"]
-    asks = rows.filter("query").select("key", "band", own(parts).alias("part"), upto(slices).alias("slice"), *last, F.lit(True).alias("asks"), "sig")
-    rest = rows.select("key", "band", upto(parts).alias("part"), own(slices).alias("slice"), *last, F.lit(False).alias("asks"), "sig")
+    asks = rows.filter("query").select("key", "band", own(parts).alias("part"), upto(slices).alias("slice"), *last, F.lit(True).alias("asks"), "sig", "bands")
+    rest = rows.select("key", "band", upto(parts).alias("part"), own(slices).alias("slice"), *last, F.lit(False).alias("asks"), "sig", "bands")
     both = asks.union(rest).repartition("key", "band", "part", "slice").sortWithinPartitions("key", "band", "part", "slice")
     told = both.mapInArrow(tk.tidy(_crossed), "key long, part int, slice int, node binary, comp binary, others array<binary>")
     full = told.join(sets, "node").select("key", "part", "slice", "node", "comp", "others", "shingles")
@@ -278,7 +280,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     wanted = work.save(classes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))
     sets = work.save(with_ids(docs, wanted, "inner").select("text", "node").mapInArrow(tk.tidy(_sets), "node binary, shingles binary").dropDuplicates(["node"]))
     work.drop(wanted)
-    sigs = work.save(classes.join(sets.select("node"), "node").select("node", "sig"))
+    sigs = work.save(classes.join(sets.select("node"), "node").select("node", "sig", "bands"))
     sig = lambda n: sigs.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
     links = comps = None
     for turn in range(STARS + 1):

@@ -86,6 +86,24 @@ def test_near_duplicates_of_a_large_family(spark):
     assert got == {i: root(i) for i in range(len(out))}
 
 
+def test_pair_is_told_in_the_first_band_that_it_shares():
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, near_dedup.RING, near_dedup.COORDS)
+    y = x.copy()
+    y[: near_dedup.ROWS] ^= 1 << 8  # the first band agrees in the low 8 bits only
+    keys = [[int(z) for z in (c.reshape(near_dedup.BANDS, near_dedup.ROWS) * np.arange(1, 6)).sum(axis=1)] for c in (x, y)]
+    schema = pa.schema(
+        [("key", pa.int64()), ("band", pa.int32()), ("part", pa.int32()), ("slice", pa.int32()), ("node", pa.binary()), ("comp", pa.binary()), ("query", pa.bool_()), ("asks", pa.bool_()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    )
+    told = []
+    for band in range(1, near_dedup.BANDS):
+        a, b = ((n, n, c.astype(np.uint8).tobytes(), k) for n, c, k in ((b"a", x, keys[0]), (b"b", y, keys[1])))
+        group = [(keys[0][band], band, 0, 0, *r[:2], q, asks, *r[2:]) for r, q, asks in ((a, True, True), (a, True, False), (b, False, False))]
+        batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, g)) for g in group], schema=schema)
+        told += [(band, r["node"], r["others"]) for out in near_dedup._crossed(iter([batch])) for r in out.to_pylist() if r["others"]]
+    assert told == [(1, b"a", [b"b"])]
+
+
 def test_exact_duplicates(spark, docs, none):
     out = rows(exact_dedup.exact_duplicates(spark, docs))
     assert len(out) == len(ROWS) and exact_dedup.exact_duplicates(spark, none).count() == 0
