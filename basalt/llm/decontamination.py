@@ -2,15 +2,15 @@
 
 Numbers, names and units become typed placeholders; windows of WINDOW template words are hashed and looked up among those
 of the benchmark. Along each alignment of a document with an item, the slots must agree: one value of the item always
-stands for one value of the document and the other way round, so a re-parameterised question is still caught and a chance
-mix of templates is not.
+stands for one value of the document and the other way round, so a re-parameterised question is still caught; windows that
+hold a contradicting slot are left out.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,7 +139,10 @@ class Index:
 
 
 def _cover(index: Index, item: int, hits: list[tuple[int, int]], words: list[str], kinds: np.ndarray) -> float:
-    """Part of the item's words in matching windows of a document, after alignments with contradicting slots are left out."""
+    """Part of the item's words in matching windows of a document, after windows that hold a contradicting slot are left out.
+
+    Equal values never contradict; of the others, those that stand at the most places are taken first.
+    """
     lines = defaultdict(list)
     for at, place in hits:
         lines[at - place].append(place)
@@ -148,11 +151,19 @@ def _cover(index: Index, item: int, hits: list[tuple[int, int]], words: list[str
     back: dict[tuple[int, str], str] = {}
     for shift, places in sorted(lines.items(), key=lambda x: (-len(x[1]), x[0])):
         mine = sorted({p + j for p in places for j in range(WINDOW)})
-        pairs = [(int(index.kinds[item][p]), index.words[item][p], words[p + shift]) for p in mine if index.kinds[item][p] in (1, 2)]
-        to, fro = dict(there), dict(back)
-        if all(to.setdefault((k, a), b) == b and fro.setdefault((k, b), a) == a for k, a, b in pairs):
-            there, back = to, fro
-            covered.update(mine)
+        pairs = {p: (int(index.kinds[item][p]), index.words[item][p], words[p + shift]) for p in mine if index.kinds[item][p] in (1, 2)}
+        to, fro, bad = dict(there), dict(back), set()
+        for (k, a, b), _ in sorted(Counter(pairs.values()).items(), key=lambda x: (x[0][1] != x[0][2], -x[1])):
+            if a != b and (to.get((k, a), b) != b or fro.get((k, b), a) != a):
+                bad.add((k, a, b))
+            else:
+                to.setdefault((k, a), b)
+                fro.setdefault((k, b), a)
+        good = {p + j for p in places if not any(pairs.get(p + j) in bad for j in range(WINDOW)) for j in range(WINDOW)}
+        for k, a, b in (pairs[p] for p in sorted(good) if p in pairs):
+            there.setdefault((k, a), b)
+            back.setdefault((k, b), a)
+        covered |= good
     return len(covered) / max(1, len(index.words[item]))
 
 

@@ -287,6 +287,18 @@ def test_decontamination(spark, docs, none):
     assert len(edge) == len(ROWS) and not any(r["contaminated"] for r in edge)
 
 
+def _leaks(spark, items, texts):
+    frame = lambda x, id_: spark.createDataFrame(list(enumerate(x)), f"{id_} long, text string")
+    return {r["doc_id"]: r["items"] for r in rows(decontamination.find_leaks(spark, frame(texts, "doc_id"), frame(items, "item_id")))}
+
+
+def test_a_contradicting_slot_costs_its_windows_only(spark):
+    item = "Along the wide river Orla many old mills were built by the farmers of the valley, and near Orla town a bridge of stone still stands today"
+    sums = "A baker sells 14 loaves of rye bread in the morning and then 20 more of them later in the day before the shop is closed for the night"
+    texts = [item.replace("near Orla", "near Vesta"), sums.replace("14", "6").replace("20", "6"), "nothing of this is here " + BASE]
+    assert _leaks(spark, [item, sums], texts) == {0: [0], 1: [1], 2: []}
+
+
 def test_line_dedup(spark, docs, none):
     rng = np.random.default_rng(5)
     say = lambda n: " ".join(f"u{k}q" if False else f"u{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in rng.integers(0, 17_000, n))
