@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders; windows of WINDOW template words are hashed and looked up among those
 of the benchmark. Along each alignment of a document with an item, the slots must agree: one value of the item always
 stands for one value of the document and the other way round, so a re-parameterised question is still caught; windows that
-hold a contradicting slot are left out.
+hold a contradicting slot are left out. Windows of the case-folded words themselves are looked up in the same index, shorter
+ones for short items, so a verbatim copy is caught whatever its words are and however they are capitalised.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .workspace import bound_batches
 WINDOW = 8
 #: A window with fewer plain words than this says too little to be looked up.
 LEAST_PLAIN = 4
+#: An item of fewer words says too little to be looked up by its words.
+LEAST_WORDS = 3
 #: An item is found if so much of its words lies in windows that match with consistent slots.
 LEAST_COVER = 0.5
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks.
@@ -48,29 +51,31 @@ class Canon:
 
     def learn(self, new: list[bytes] | None) -> None:
         if new is None:
-            self.code, self.kind, self.upper, self.closes = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool)
+            self.code, self.exact, self.kind, self.upper, self.closes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool)
             return
-        codes, kinds, upper, closes = [], [], [], []
+        codes, exact, kinds, upper, closes = [], [], [], [], []
         for w in new:
             t = w.decode()
             bare = t.strip(_EDGE)
             low = bare.lower()
             kind = 1 if re.search(r"\d", bare) else 3 if low in UNITS else 0 if bare else -1
             codes.append({1: NUMBER, 3: UNIT}.get(kind, low.encode()))
+            exact.append(bare.casefold().encode())
             kinds.append(kind)
             upper.append(kind == 0 and bare[:1].isupper())
             closes.append(t.rstrip("\"')]”’»")[-1:] in (".", "!", "?", ":"))
-        buf = np.frombuffer(b"".join(c + b" " for c in codes), np.uint8)
-        starts, _, at = tk.words(buf, np.array([0, buf.size]))
-        h = np.zeros(len(codes), np.uint64)
-        h[[i for i, c in enumerate(codes) if c]] = tk.word_hashes(buf, starts)
-        self.code = np.concatenate([self.code, h])
+        for name, all_ in (("code", codes), ("exact", exact)):
+            buf = np.frombuffer(b"".join(c + b" " for c in all_), np.uint8)
+            starts, _, at = tk.words(buf, np.array([0, buf.size]))
+            h = np.zeros(len(all_), np.uint64)
+            h[[i for i, c in enumerate(all_) if c]] = tk.word_hashes(buf, starts)
+            setattr(self, name, np.concatenate([getattr(self, name), h]))
         self.kind = np.concatenate([self.kind, np.array(kinds, np.int8)])
         self.upper = np.concatenate([self.upper, np.array(upper, bool)])
         self.closes = np.concatenate([self.closes, np.array(closes, bool)])
 
     def __call__(self, column: pa.Array) -> Iterator[tuple]:
-        """(first row, template codes, kinds, first template word of each text, start and end byte of each word, bytes)."""
+        """(first row, template codes, codes of the words themselves, kinds, first template word of each text, start and end byte of each word, bytes)."""
         for lo, hi, buf, offs in tk.blocks(column):
             starts, ends, at = tk.words(buf, offs)
             w = self.memo(buf, starts, ends)
@@ -82,7 +87,7 @@ class Canon:
             kind[name] = 2
             code = np.where(name, _NAME_CODE, code)
             real = kind >= 0
-            yield lo, code[real], kind[real], np.concatenate([[0], np.cumsum(real)])[at], starts[real], ends[real], buf
+            yield lo, code[real], self.exact[w][real], kind[real], np.concatenate([[0], np.cumsum(real)])[at], starts[real], ends[real], buf
 
 
 _NAME_CODE = tk.word_hashes(np.frombuffer(NAME, np.uint8), np.zeros(1, np.int64))[0]
@@ -98,39 +103,53 @@ def window_hashes(code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.nd
     return tk.mix(h), plain >= LEAST_PLAIN
 
 
+def exact_hashes(exact: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the case-folded words of the window of the given size that begins at each word."""
+    n = max(0, exact.size - size + 1)
+    h = np.full(n, size, np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for j in range(size):
+        h += exact[j : j + n] * _mul[j]
+    return tk.mix(h)
+
+
 def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     data = buf.tobytes()
-    return [data[a:b].decode().strip(_EDGE).lower() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [data[a:b].decode().strip(_EDGE).casefold() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 @dataclass
 class Index:
-    """Windows of a block of items: sorted hashes with (item, place), and each item's words."""
+    """Windows of a block of items: sorted hashes with (item, place, size), each item's words, and the sizes of windows of the words themselves."""
 
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    size: np.ndarray
     ids: list[int]
     words: list[list[str]]
     kinds: list[np.ndarray]
+    sizes: list[int]
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str]) -> Index:
-        canon, hashes, item, place, words, kinds = Canon(), [], [], [], [], []
+        canon, hashes, item, place, size, words, kinds = Canon(), [], [], [], [], [], []
         for k, t in enumerate(texts):
             words.append([])
             kinds.append(np.zeros(0, np.int8))
-            for _, code, kind, _, s, e, buf in canon(pa.array([t])):
+            for _, code, exact, kind, _, s, e, buf in canon(pa.array([t])):
                 words[k], kinds[k] = _slots(buf, s, e), kind
                 h, good = window_hashes(code, kind)
-                at = np.flatnonzero(good)
-                hashes.append(h[at])
-                item.append(np.full(at.size, k))
-                place.append(at)
+                n = min(WINDOW, exact.size)
+                own = exact_hashes(exact, n) if n >= LEAST_WORDS else np.zeros(0, np.uint64)
+                for h, at, n in ((h, np.flatnonzero(good), WINDOW), (own, np.arange(own.size), n)):
+                    hashes.append(h[at])
+                    item.append(np.full(at.size, k))
+                    place.append(at)
+                    size.append(np.full(at.size, n))
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        hashes, item, place = cat(hashes, np.uint64), cat(item, np.int64), cat(place, np.int64)
+        hashes, item, place, size = cat(hashes, np.uint64), cat(item, np.int64), cat(place, np.int64), cat(size, np.int64)
         order = np.lexsort((place, item, hashes))
-        return cls(hashes[order], item[order], place[order], ids, words, kinds)
+        return cls(hashes[order], item[order], place[order], size[order], ids, words, kinds, sorted({min(WINDOW, len(w)) for w in words if len(w) >= LEAST_WORDS}))
 
     def sieve(self) -> np.ndarray:
         bits = np.zeros(1 << 22, bool)
@@ -138,19 +157,19 @@ class Index:
         return bits
 
 
-def _cover(index: Index, item: int, hits: list[tuple[int, int]], words: list[str], kinds: np.ndarray) -> float:
+def _cover(index: Index, item: int, hits: list[tuple[int, int, int]], words: list[str], kinds: np.ndarray) -> float:
     """Part of the item's words in matching windows of a document, after windows that hold a contradicting slot are left out.
 
     Equal values never contradict; of the others, those that stand at the most places are taken first.
     """
-    lines = defaultdict(list)
-    for at, place in hits:
-        lines[at - place].append(place)
+    lines = defaultdict(set)
+    for at, place, size in hits:
+        lines[at - place].add((place, size))
     covered: set[int] = set()
     there: dict[tuple[int, str], str] = {}
     back: dict[tuple[int, str], str] = {}
     for shift, places in sorted(lines.items(), key=lambda x: (-len(x[1]), x[0])):
-        mine = sorted({p + j for p in places for j in range(WINDOW)})
+        mine = sorted({p + j for p, n in places for j in range(n)})
         pairs = {p: (int(index.kinds[item][p]), index.words[item][p], words[p + shift]) for p in mine if index.kinds[item][p] in (1, 2)}
         to, fro, bad = dict(there), dict(back), set()
         for (k, a, b), _ in sorted(Counter(pairs.values()).items(), key=lambda x: (x[0][1] != x[0][2], -x[1])):
@@ -159,7 +178,7 @@ def _cover(index: Index, item: int, hits: list[tuple[int, int]], words: list[str
             else:
                 to.setdefault((k, a), b)
                 fro.setdefault((k, b), a)
-        good = {p + j for p in places if not any(pairs.get(p + j) in bad for j in range(WINDOW)) for j in range(WINDOW)}
+        good = {p + j for p, n in places if not any(pairs.get(p + j) in bad for j in range(n)) for j in range(n)}
         for k, a, b in (pairs[p] for p in sorted(good) if p in pairs):
             there.setdefault((k, a), b)
             back.setdefault((k, b), a)
@@ -175,17 +194,18 @@ def _search(told):
         for batch in batches:
             found: list[list[int]] = [[] for _ in range(batch.num_rows)]
             most = [0.0] * batch.num_rows
-            for lo, code, kind, first, s, e, buf in canon(batch.column(1)):
+            for lo, code, exact, kind, first, s, e, buf in canon(batch.column(1)):
                 h, good = window_hashes(code, kind)
-                maybe = np.flatnonzero(sieve[(h & mask).astype(np.int64)] & good)
-                left = np.searchsorted(index.hashes, h[maybe], "left")
-                right = np.searchsorted(index.hashes, h[maybe], "right")
                 hits = defaultdict(lambda: defaultdict(list))
-                doc = np.searchsorted(first, maybe, "right") - 1
-                for at, d, a, b in zip(maybe.tolist(), doc.tolist(), left.tolist(), right.tolist(), strict=True):
-                    if a < b and at + WINDOW <= first[d + 1]:
+                for h, good in ((h, good), *((exact_hashes(exact, n), True) for n in index.sizes)):
+                    maybe = np.flatnonzero(sieve[(h & mask).astype(np.int64)] & good)
+                    left = np.searchsorted(index.hashes, h[maybe], "left")
+                    right = np.searchsorted(index.hashes, h[maybe], "right")
+                    doc = np.searchsorted(first, maybe, "right") - 1
+                    for at, d, a, b in zip(maybe.tolist(), doc.tolist(), left.tolist(), right.tolist(), strict=True):
                         for x in range(a, b):
-                            hits[d][int(index.item[x])].append((at - int(first[d]), int(index.place[x])))
+                            if at + index.size[x] <= first[d + 1]:
+                                hits[d][int(index.item[x])].append((at - int(first[d]), int(index.place[x]), int(index.size[x])))
                 for d, items in hits.items():
                     a, b = int(first[d]), int(first[d + 1])
                     words, kinds = _slots(buf, s[a:b], e[a:b]), kind[a:b]
@@ -203,7 +223,7 @@ def _search(told):
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, items (ids found, ascending), cover (the largest part of an item found).
 
-    Items of fewer than WINDOW words, null items and items with a null id hold no window and are never found. A null or
+    Items of fewer than LEAST_WORDS words, null items and items with a null id hold no window and are never found. A null or
     empty text is clean. Repeated rows are judged alike. Every window of a text is looked up. A benchmark beyond
     BLOCK_BYTES is taken in blocks, each of which passes over the documents once; an empty one leaves all clean.
     """

@@ -292,6 +292,12 @@ def _leaks(spark, items, texts):
     return {r["doc_id"]: r["items"] for r in rows(decontamination.find_leaks(spark, frame(texts, "doc_id"), frame(items, "item_id")))}
 
 
+def test_verbatim_copies_are_found_whatever_their_words(spark):
+    items = ["What comes next: 3, 5, 9, 17, 33, 65, 129?", "Who wrote the Iliad and when?", "Along the wide river many old mills were built by the farmers of the valley", "yes"]
+    texts = ["So. " + items[0] + " Well", "ask " + items[1] + " and so on", items[2].upper(), items[2].title(), "yes " + BASE, "What comes next: 4, 6, 9, 18, 34, 66, 130?", "Who wrote the Iliad"]
+    assert _leaks(spark, items, texts) == {0: [0], 1: [1], 2: [2], 3: [2], 4: [], 5: [], 6: []}
+
+
 def test_a_contradicting_slot_costs_its_windows_only(spark):
     item = "Along the wide river Orla many old mills were built by the farmers of the valley, and near Orla town a bridge of stone still stands today"
     sums = "A baker sells 14 loaves of rye bread in the morning and then 20 more of them later in the day before the shop is closed for the night"
