@@ -6,9 +6,38 @@ import copy
 import inspect
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import checkpoints
+
+
+def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Adds, under each name, the sum of its column over the rows before in the order given (ascending; rows that tie are in any order).
+
+    Rows are range-partitioned and written with their range; sums per range, a row each on the driver, give the offsets, so
+    no task holds all rows. The number of ranges follows spark.sql.shuffle.partitions.
+    """
+    checkpoints(df.sparkSession)
+    names, terms = [f"_o{i}" for i in range(len(order))], [f"_t{i}" for i in range(len(sums))]
+    ranged = df.withColumns({n: c if isinstance(c, Column) else F.col(c) for n, c in [*zip(names, order, strict=True), *zip(terms, sums.values(), strict=True)]})
+    ranged = ranged.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()).checkpoint()
+    rows = sorted(ranged.groupBy("_range").agg(*(F.sum(t).alias(t) for t in terms)).collect(), key=lambda r: r["_range"])
+    line = Window.partitionBy("_range").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    for out, t in zip(sums, terms, strict=True):
+        upto, start = 0, []
+        for r in rows:
+            start += [F.lit(r["_range"]), F.lit(upto)]
+            upto += r[t] or 0
+        here = F.coalesce(F.sum(t).over(line), F.lit(0))
+        ranged = ranged.withColumn(out, here + F.create_map(*start)[F.col("_range")] if start else here)
+    return ranged.drop("_range", *names, *terms)
+
+
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds each row's place from 0 in the order given."""
+    return running(df, order, {out: F.lit(1)})
+
 
 class Operator:
     """Parameters are the constructor's arguments and are kept under their names; fitted state ends in an underscore."""
@@ -61,6 +90,11 @@ def r2(df: DataFrame, true: str, pred: str) -> float:
     return 1 - res / (tot + 1e-15)
 
 
+def add_bias(df: DataFrame, features: list[str], name: str = "bias") -> tuple[DataFrame, list[str]]:
+    """df with a column of ones, and the features with it in front."""
+    return df.withColumn(name, F.lit(1.0)), [name, *features]
+
+
 def classes_of(df: DataFrame, label: str) -> list:
     """Sorted distinct labels."""
     return [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label).collect()]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..sources.workspace import checkpoints
 from .base import Operator
 
 
@@ -45,25 +46,32 @@ class KMeans(_Centred):
     def __init__(self, features, n_clusters=8, init="kmeans++", n_init=10, max_iter=300, tol=1e-4, random_state=0):
         self.features, self.n_clusters, self.init, self.n_init, self.max_iter, self.tol, self.random_state = features, n_clusters, init, n_init, max_iter, tol, random_state
 
-    def _luck(self, seed):
-        return (F.pmod(F.xxhash64(*self.features, F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 2))
+    def _points(self, df):
+        """(features, _n): each distinct point once, with its number of rows; a start drawn from these never holds a point twice."""
+        return df.groupBy(*self.features).agg(F.count("*").alias("_n"))
 
-    def _start(self, df, seed):
+    def _wait(self, seed):
+        """Exponential waiting time at the rate of a point's rows: the k least are k rows' points drawn without replacement."""
+        u = (F.pmod(F.xxhash64(*self.features, F.lit(seed)), F.lit(1 << 50)) + 1) / F.lit(float((1 << 50) + 2))
+        return -F.log(u) / F.col("_n")
+
+    def _start(self, points, seed):
         if not isinstance(self.init, str):
             return np.array(self.init, float)
-        pick = lambda key, n: np.array([list(r) for r in df.orderBy(key).select(*self.features).limit(n).collect()], float)
+        pick = lambda key, n: np.array([list(r) for r in points.orderBy(key, *self.features).select(*self.features).limit(n).collect()], float)
         if self.init == "random":
-            return pick(self._luck(seed), self.n_clusters)
-        c = pick(self._luck(seed), 1)
-        while len(c) < self.n_clusters:  # weighted by squared distance: the least exponential waiting time
-            wait = -F.log(self._luck(seed + 7919 * len(c))) / F.nullif(self._nearest(c)["d"], F.lit(0.0))
-            c = np.vstack([c, pick(F.coalesce(wait, F.lit(float("inf"))), 1)])
+            return pick(self._wait(seed), self.n_clusters)
+        c = pick(self._wait(seed), 1)
+        while len(c) < self.n_clusters:  # weighted by rows and squared distance; a point that is a centre never comes
+            more = pick(F.coalesce(self._wait(seed + 7919 * len(c)) / F.nullif(self._nearest(c)["d"], F.lit(0.0)), F.lit(float("inf"))), 1)
+            c = np.vstack([c, more])
         return c
 
     def fit(self, df):
         df, best = df.persist(), None
-        for start in range(1 if not isinstance(self.init, str) else self.n_init):
-            c = self._start(df, (self.random_state or 0) * 1000 + start)
+        points = self._points(df).persist() if isinstance(self.init, str) else None
+        for start in range(self.n_init if points is not None else 1):
+            c = self._start(points, (self.random_state or 0) * 1000 + start)
             for n_iter in range(1, self.max_iter + 1):
                 rows = df.withColumn("_n", self._nearest(c)["cluster"]).groupBy("_n").agg(*(F.avg(f).alias(f) for f in self.features)).collect()
                 new = c.copy()
@@ -76,6 +84,8 @@ class KMeans(_Centred):
             if best is None or inertia < best[0]:
                 best = (inertia, c, n_iter)
         df.unpersist()
+        if points is not None:
+            points.unpersist()
         self.inertia_, self.cluster_centers_, self.n_iter_ = best
         return self
 
@@ -88,7 +98,8 @@ class MiniBatchKMeans(_Centred):
 
     def partial_fit(self, batch):
         if getattr(self, "cluster_centers_", None) is None:
-            self.cluster_centers_ = KMeans(self.features, self.n_clusters, random_state=self.random_state)._start(batch, 0)
+            start = KMeans(self.features, self.n_clusters, random_state=self.random_state)
+            self.cluster_centers_ = start._start(start._points(batch), self.random_state or 0)
             self.counts_ = np.ones(len(self.cluster_centers_))
         rows = batch.withColumn("_n", self._nearest(self.cluster_centers_)["cluster"]).groupBy("_n").agg(F.count("*").alias("_k"), *(F.avg(f).alias(f) for f in self.features)).collect()
         for r in rows:
@@ -98,13 +109,14 @@ class MiniBatchKMeans(_Centred):
         return self
 
     def fit(self, df):
-        self.cluster_centers_, df = None, df.persist()
-        luck = KMeans(self.features, random_state=self.random_state)._luck
+        checkpoints(df.sparkSession)
+        # rows are told apart by a number that is written with them, so copies of a point are drawn one by one
+        self.cluster_centers_, df = None, df.select(*self.features, F.monotonically_increasing_id().alias("_row")).checkpoint()
+        luck = lambda i: F.pmod(F.xxhash64("_row", F.lit(i), F.lit(self.random_state or 0)), F.lit(1 << 50)) / F.lit(float(1 << 50))
         share = min(1.0, 4 * self.batch_size / max(1, df.count()))
         for i in range(self.max_iter):
             self.partial_fit(df.filter(luck(i) <= share).orderBy(luck(i)).limit(self.batch_size))
         self.inertia_ = df.agg(F.sum(self._nearest(self.cluster_centers_)["d"])).first()[0]
-        df.unpersist()
         return self
 
 
@@ -134,8 +146,6 @@ class DBSCAN(Operator):
         self.features, self.row_id, self.eps, self.min_samples, self.metric = features, row_id, eps, min_samples, metric
 
     def fit_predict(self, df):
-        from ..sources.workspace import checkpoints
-
         checkpoints(df.sparkSession)
         x = _point(self.features)
         eps = self.eps
@@ -169,7 +179,7 @@ class DBSCAN(Operator):
 class GaussianMixture(Operator):
     """EM; each iteration is one pass of Arrow batches that sums responsibilities and moments. full, diag or spherical.
 
-    init_means fixes the start; else random rows. Stops when the total log-likelihood moves less than tol.
+    init_means fixes the start; else distinct points of random rows. Stops when the total log-likelihood moves less than tol.
     """
 
     kind = "clusterer"
@@ -209,8 +219,10 @@ class GaussianMixture(Operator):
 
     def fit(self, df):
         df, p, best = df.persist(), len(self.features), None
+        seeds = KMeans(self.features, self.n_components, "random")
+        points = seeds._points(df).persist() if self.init_means is None else None
         for start in range(self.n_init if self.init_means is None else 1):
-            means = np.array(self.init_means, float) if self.init_means is not None else KMeans(self.features, self.n_components, "random")._start(df, (self.random_state or 0) * 1000 + start)
+            means = np.array(self.init_means, float) if self.init_means is not None else seeds._start(points, (self.random_state or 0) * 1000 + start)
             params, was = (np.full(self.n_components, 1 / self.n_components), means, np.array([np.eye(p)] * self.n_components)), None
             for n_iter in range(1, self.max_iter + 1):
                 ll, rows, n, s, q = self._pass(df, params)
@@ -227,6 +239,8 @@ class GaussianMixture(Operator):
             if best is None or ll > best[0]:
                 best = (ll, params, n_iter, rows)
         df.unpersist()
+        if points is not None:
+            points.unpersist()
         self.lower_bound_, (self.weights_, self.means_, self.covariances_), self.n_iter_, _ = best
         return self
 

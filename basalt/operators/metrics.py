@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import running
+
+#: Labels of a confusion matrix, which has a cell for each pair.
+MOST_LABELS = 2000
+
 
 def _one(df: DataFrame, c: Column) -> float:
     return df.agg(c).first()[0]
@@ -18,6 +23,8 @@ def confusion_matrix(df, true, pred) -> DataFrame:
     """(true, pred, n) for every pair of labels, zeros included."""
     n = df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
     labels = n.select(F.col("true").alias("label")).union(n.select("pred")).filter("label is not null").distinct()
+    if (k := labels.count()) > MOST_LABELS:
+        raise ValueError(f"{k} labels make {k * k} cells; count the pairs that occur instead")
     grid = labels.select(F.col("label").alias("true")).crossJoin(F.broadcast(labels.select(F.col("label").alias("pred"))))
     return grid.join(n, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -69,12 +76,12 @@ def classification_report(df, true, pred, text=False) -> DataFrame | str:
 
 
 def _cumulative(df, true, score) -> DataFrame:
-    """(score, tp, fp, pos, neg) after each distinct score, from the highest down. Tied rows count together, so sums run over distinct scores only."""
+    """(score, p, n, tp, fp, pos, neg) after each distinct score, from the highest down. Tied rows count together, so sums run over distinct scores only, range by range."""
     y = F.col(true).cast("double")
     by = df.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    return by.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).crossJoin(F.broadcast(total))
+    by = running(by, [-F.col("score").cast("double")], {"tp": F.col("p"), "fp": F.col("n")})
+    pos, neg = by.agg(F.sum("p"), F.sum("n")).first()
+    return by.select("score", "p", "n", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("n")).alias("fp"), F.lit(pos).alias("pos"), F.lit(neg).alias("neg"))
 
 
 def roc_curve(df, true, score) -> DataFrame:
@@ -86,11 +93,8 @@ def roc_curve(df, true, score) -> DataFrame:
 
 def roc_auc_score(df, true, score) -> float:
     """Trapezoids between distinct scores, which ties cannot reorder."""
-    c = _cumulative(df, true, score)
-    w = Window.orderBy(F.desc("score"))
-    was = lambda x: F.coalesce(F.lag(x).over(w), F.lit(0.0))
-    area = c.withColumn("a", (F.col("fp") - was("fp")) * (F.col("tp") + was("tp")) / 2)
-    return _one(area, F.sum("a") / F.max(F.col("pos") * F.col("neg")))
+    area = F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")) / 2)
+    return _one(_cumulative(df, true, score), area / F.max(F.col("pos") * F.col("neg")))
 
 
 def precision_recall_curve(df, true, score) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Operator, gram
+from ..sources.workspace import checkpoints
+from .base import Operator, gram, numbered
+
+#: Rows of a dictionary that is broadcast, columns that a category may become, and rows of a block of all-against-all searches.
+BROADCAST_ROWS, MOST_CATEGORIES, BLOCK_ROWS = 500_000, 5000, 20_000
 
 
 class _Scaler(Operator):
@@ -87,8 +92,14 @@ class Normalizer(Operator):
 
 
 def _categories(df: DataFrame, c: str) -> DataFrame:
-    """(category, code): rank among the sorted distinct values."""
-    return df.select(F.col(c).alias("category")).filter(F.col(c).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.orderBy("category")) - 1)
+    """(category, code): rank among the sorted distinct values, numbered range by range and written once."""
+    known = df.select(F.col(c).alias("category")).filter(F.col(c).isNotNull()).distinct()
+    return numbered(known, ["category"], "code").withColumn("code", F.col("code").cast("int")).checkpoint()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A dictionary is broadcast if it is counted to be small, else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 class LabelEncoder(Operator):
@@ -103,7 +114,7 @@ class LabelEncoder(Operator):
 
     def _join(self, df, key, value, out):
         self._check("classes_")
-        return df.join(self.classes_.select(F.col(key).alias(self.column if key == "category" else self.output or "code"), F.col(value).alias(out)), self.column if key == "category" else self.output or "code", "left")
+        return df.join(_small(self.classes_.select(F.col(key).alias(self.column if key == "category" else self.output or "code"), F.col(value).alias(out))), self.column if key == "category" else self.output or "code", "left")
 
     def transform(self, df):
         out = self._join(df, "category", "code", self.output or "code")
@@ -126,28 +137,48 @@ class OrdinalEncoder(Operator):
     def transform(self, df):
         self._check("categories_")
         for f in self.features:
-            df = df.join(self.categories_[f].withColumnsRenamed({"category": f, "code": "_code"}), f, "left").withColumn(f, F.coalesce(F.col("_code").cast("double"), F.lit(-1.0))).drop("_code")
+            df = df.join(_small(self.categories_[f].withColumnsRenamed({"category": f, "code": "_code"})), f, "left").withColumn(f, F.coalesce(F.col("_code").cast("double"), F.lit(-1.0))).drop("_code")
         return df
 
 
 class OneHotEncoder(Operator):
-    """A 0/1 column for each category, named column_category; unknown: an error, or all zero if ignored."""
+    """A 0/1 column for each category, named column_category; unknown: an error when the row is computed, or all zero if ignored.
 
-    def __init__(self, features, drop=None, handle_unknown="error"):
-        self.features, self.drop, self.handle_unknown = features, drop, handle_unknown
+    With sparse, one column `column_onehot` instead: the number of the category's column, null for none. A column of more
+    than MOST_CATEGORIES categories is an error unless sparse.
+    """
+
+    def __init__(self, features, drop=None, handle_unknown="error", sparse=False):
+        self.features, self.drop, self.handle_unknown, self.sparse = features, drop, handle_unknown, sparse
 
     def fit(self, df):
-        self.categories_ = {f: [r[0] for r in _categories(df, f).orderBy("code").collect()] for f in self.features}
+        self.tables_ = {f: _categories(df, f) for f in self.features}
+        self.categories_ = {}
+        for f, t in self.tables_.items():
+            cats = [r[0] for r in t.orderBy("code").limit(MOST_CATEGORIES + 1).collect()] if not self.sparse else []
+            if len(cats) > MOST_CATEGORIES:
+                raise ValueError(f"{f!r} has more than {MOST_CATEGORIES} categories; use sparse=True")
+            self.categories_[f] = cats
         return self
 
+    def _known(self, f, found):
+        """The value, or an error where it is unknown and that is not ignored."""
+        if self.handle_unknown != "error":
+            return F.col(f)
+        bad = F.raise_error(F.concat(F.lit(f"unknown category in {f!r}: "), F.col(f).cast("string")))
+        return F.when(F.col(f).isNull() | found, F.col(f)).otherwise(bad)
+
     def transform(self, df):
         self._check("categories_")
+        skip = int(self.drop == "first")
         for f, cats in self.categories_.items():
-            if self.handle_unknown == "error":
-                bad = df.filter(F.col(f).isNotNull() & ~F.col(f).isin(cats)).select(f).first()
-                if bad is not None:
-                    raise ValueError(f"unknown category {bad[0]!r} in {f!r}")
-            df = df.withColumns({f"{f}_{c}": F.coalesce((F.col(f) == c).cast("double"), F.lit(0.0)) for c in cats[self.drop == "first" :]})
+            if self.sparse:
+                df = df.join(_small(self.tables_[f].withColumnsRenamed({"category": f, "code": "_code"})), f, "left")
+                place = F.when(self._known(f, F.col("_code").isNotNull()).isNotNull() & (F.col("_code") >= skip), F.col("_code") - skip)
+                df = df.withColumn(f"{f}_onehot", place).drop("_code")
+            else:
+                value = self._known(f, F.col(f).isin(cats))
+                df = df.withColumns({f"{f}_{c}": F.coalesce((value == c).cast("double"), F.lit(0.0)) for c in cats[skip:]})
         return df
 
 
@@ -185,31 +216,72 @@ class SimpleImputer(Operator):
         return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(v)) for f, v in zip(self.features, self.statistics_, strict=True)})
 
 
+def nearest(queries: DataFrame, points: DataFrame, key: str, n_features: int, k: int) -> DataFrame:
+    """(key, rank, point, d): the k points nearest to each query, by (distance, point id), over the coordinates that both have.
+
+    queries are (key, x) and points (id, x), x arrays of doubles with nulls; d is the sum of squares, and a point that shares
+    no coordinate is infinitely far. Points and queries are dealt to blocks; every block of queries meets every block of points
+    in a task of its own, which returns k rows a query, never a row a pair; then the best of each block meet by query.
+    """
+    blocks, slices = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (points, queries))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = points.withColumn("_b", own("id", blocks)).withColumn("_s", all_(slices))
+    asked = queries.withColumn("_b", all_(blocks)).withColumn("_s", own(key, slices))
+
+    def matrix(column):
+        flat = [[np.nan if v is None else v for v in row] for row in column]
+        return np.array(flat, float).reshape(len(flat), n_features)
+
+    def best(ask: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or there.empty:
+            return pd.DataFrame({"key": [], "point": [], "d": []})
+        there = there.sort_values("id")
+        q, p, ids, out = matrix(ask["x"]), matrix(there["x"]), there["id"].to_numpy(), []
+        gap = np.isnan(p)
+        p0 = np.where(gap, 0.0, p)
+        for i in range(0, len(q), 256):
+            part = q[i : i + 256]
+            hole = np.isnan(part)
+            x = np.where(hole, 0.0, part)
+            d, shared = np.zeros((len(part), len(p))), np.zeros((len(part), len(p)), bool)
+            for j in range(n_features):
+                both = ~hole[:, j, None] & ~gap[None, :, j]
+                d += np.where(both, (x[:, j, None] - p0[None, :, j]) ** 2, 0.0)
+                shared |= both
+            d[~shared] = np.inf
+            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(part)), top.shape[1])
+            out.append(pd.DataFrame({"key": ask["key"].to_numpy()[i : i + 256][rows], "point": ids[top.ravel()], "d": d[rows, top.ravel()]}))
+        return pd.concat(out)
+
+    asked = asked.select("_b", "_s", F.col(key).alias("key"), "x")
+    found = asked.groupBy("_b", "_s").cogroup(spread.select("_b", "_s", "id", "x").groupBy("_b", "_s")).applyInPandas(best, "key long, point long, d double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "point"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
 class KNNImputer(Operator):
     """Mean of the k nearest training rows, by the distance over shared observed columns.
 
-    The k are chosen before those without the value are left out; none left gives 0. Training rows go to the broadcast side,
-    whose size must stay under max_rows; only rows with a gap are compared.
+    The k are chosen before those without the value are left out; none left gives 0. Only rows with a gap are compared, in
+    blocks: the work grows with gaps times training rows, memory with neither. row_id must be a distinct integer.
     """
 
-    def __init__(self, features, row_id, n_neighbors=5, max_rows=50_000):
-        self.features, self.row_id, self.n_neighbors, self.max_rows = features, row_id, n_neighbors, max_rows
+    def __init__(self, features, row_id, n_neighbors=5):
+        self.features, self.row_id, self.n_neighbors = features, row_id, n_neighbors
 
     def fit(self, df):
-        self.train_ = df.select(F.col(self.row_id).alias("_t"), *(F.col(f).cast("double").alias(f"_{f}") for f in self.features))
-        if self.train_.limit(self.max_rows + 1).count() > self.max_rows:
-            raise ValueError(f"more than {self.max_rows} training rows; sample them first")
+        self.train_ = df.select(F.col(self.row_id).cast("long").alias("id"), _numbers(self.features).alias("x"))
         return self
 
     def transform(self, df):
         self._check("train_")
-        gap = F.greatest(*(F.col(f).isNull() for f in self.features))
-        shared = sum((F.col(f).isNotNull() & F.col(f"_{f}").isNotNull()).cast("int") for f in self.features)
-        d = sum(F.coalesce((F.col(f) - F.col(f"_{f}")) ** 2, F.lit(0.0)) for f in self.features)
-        pairs = df.filter(gap).select(self.row_id, *self.features).crossJoin(F.broadcast(self.train_)).withColumn("_d", F.when(shared > 0, F.sqrt(d)).otherwise(F.lit(float("inf"))))
-        near = pairs.groupBy(self.row_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_t", *(f"_{f}" for f in self.features)))), 1, self.n_neighbors).alias("_near"))
-        near = near.select(self.row_id, F.explode("_near").alias("x")).groupBy(self.row_id).agg(*(F.avg(f"x._{f}").alias(f"_{f}") for f in self.features))
-        out = df.join(near, self.row_id, "left")
+        gap = F.greatest(*(F.col(f).isNull() for f in self.features), F.lit(False))
+        asked = df.filter(gap).select(F.col(self.row_id).cast("long").alias("_key"), _numbers(self.features).alias("x"))
+        near = nearest(asked, self.train_, "_key", len(self.features), self.n_neighbors).join(self.train_, F.col("point") == F.col("id"))
+        near = near.groupBy("_key").agg(*(F.avg(F.col("x")[i]).alias(f"_{f}") for i, f in enumerate(self.features)))
+        out = df.join(near, F.col(self.row_id).cast("long") == F.col("_key"), "left")
         return out.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"_{f}"), F.lit(0.0)) for f in self.features}).select(*df.columns)
 
 
@@ -304,9 +376,17 @@ def _shares(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
 
+def _numbers(features: list[str]) -> Column:
+    return F.array(*(F.col(f).cast("double") for f in features))
+
+
 def _numbered(df: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
-    """Place of each row in a random order of its class, fixed by row_id and seed."""
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(row_id, F.lit(seed)), row_id)))
+    """Place from 1 of each row in a random order of its class, fixed by row_id and seed; numbered range by range."""
+    first = df.groupBy(label).agg(F.count("*").alias("_c")).orderBy(label).collect()
+    before = dict(zip((r[0] for r in first), np.cumsum([0, *(r["_c"] for r in first)]).tolist()))
+    told = df.sparkSession.createDataFrame(list(before.items()), df.select(F.col(label).alias("_l")).schema.add("_b", "long"))
+    out = numbered(df, [label, F.xxhash64(row_id, F.lit(seed)), row_id], "_place")
+    return out.join(F.broadcast(told), F.col(label).eqNullSafe(F.col("_l"))).withColumn("_place", F.col("_place") - F.col("_b") + 1).drop("_l", "_b")
 
 
 class RandomUnderSampler(Operator):
@@ -338,28 +418,30 @@ class RandomOverSampler(Operator):
 
 
 class SMOTE(Operator):
-    """New minority rows on the line from a random row to one of its k nearest of the class (self excluded)."""
+    """New minority rows on the line from a random row to one of its k nearest of the class (self excluded), found in blocks."""
 
-    def __init__(self, features, label, row_id, k_neighbors=5, random_state=0, max_rows=20_000):
-        self.features, self.label, self.row_id, self.k_neighbors, self.random_state, self.max_rows = features, label, row_id, k_neighbors, random_state, max_rows
+    def __init__(self, features, label, row_id, k_neighbors=5, random_state=0):
+        self.features, self.label, self.row_id, self.k_neighbors, self.random_state = features, label, row_id, k_neighbors, random_state
 
     def fit_resample(self, df):
+        checkpoints(df.sparkSession)
         n = _shares(df, self.label)
         most, spark = max(n.values()), df.sparkSession
         out = df.select(*self.features, self.label)
         for c, size in sorted(n.items(), key=str):
             if size == most:
                 continue
-            if size < 2 or size > self.max_rows:
-                raise ValueError(f"class {c!r} has {size} rows; 2 to {self.max_rows} can be compared with one another")
+            if size < 2:
+                raise ValueError(f"class {c!r} has one row, which has no neighbour")
             k = min(self.k_neighbors, size - 1)
-            rows = _numbered(df.filter(F.col(self.label) == c), self.label, self.row_id, 0).select("_place", F.array(*(F.col(f).cast("double") for f in self.features)).alias("x"))
-            other = rows.select(F.col("_place").alias("_q"), F.col("x").alias("y"))
-            d = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-            near = rows.crossJoin(F.broadcast(other)).filter("_place != _q").groupBy("_place", "x").agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("d"), "_q", "y"))), 1, k).alias("near"))
-            luck = lambda i: F.xxhash64("id", F.lit(self.random_state), F.lit(i))  # noqa: B023,E731
-            draws = spark.range(most - size).select((F.pmod(luck(1), F.lit(size)) + 1).cast("int").alias("_place"), F.pmod(luck(2), F.lit(k)).cast("int").alias("j"), (F.pmod(luck(3), F.lit(1 << 24)) / F.lit(float(1 << 24))).alias("u"))
-            new = draws.join(near, "_place").select(F.zip_with("x", F.get("near", F.col("j"))["y"], lambda a, b: a + F.col("u") * (b - a)).alias("z"))
+            rows = _numbered(df.filter(F.col(self.label) == c), self.label, self.row_id, 0).select(F.col("_place").cast("long").alias("id"), _numbers(self.features).alias("x")).checkpoint()
+            luck = lambda i: F.xxhash64("id", F.lit(self.random_state), F.lit(i))
+            draws = spark.range(most - size).select((F.pmod(luck(1), F.lit(size)) + 1).alias("_key"), (F.pmod(luck(2), F.lit(k)) + 1).alias("rank"), (F.pmod(luck(3), F.lit(1 << 24)) / F.lit(float(1 << 24))).alias("u"))
+            # one more than k, as a row is its own nearest, or ties with copies that are
+            near = nearest(rows.select(F.col("id").alias("_key"), "x"), rows, "_key", len(self.features), k + 1).filter("_key != point")
+            near = near.withColumn("rank", F.row_number().over(Window.partitionBy("_key").orderBy("d", "point")))
+            ends = draws.join(near, ["_key", "rank"]).join(rows.select(F.col("id").alias("_key"), "x"), "_key").join(rows.select(F.col("id").alias("point"), F.col("x").alias("y")), "point")
+            new = ends.select(F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
             out = out.unionByName(new.select(*(F.col("z")[i].alias(f) for i, f in enumerate(self.features)), F.lit(c).alias(self.label)))
         return out
 

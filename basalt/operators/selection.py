@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from . import metrics
-from .base import Operator, r2
+from .base import Operator, numbered, r2, running
 
 
 class _Folds:
@@ -22,23 +22,34 @@ class _Folds:
         return self.n_splits
 
     def split(self, df):
-        """(train, test) frames."""
+        """(train, test) frames; the cached folds are released when the last pair has been taken."""
         df = self.assign(df).persist()
-        for k in range(self.get_n_splits(df)):
-            yield df.filter(F.col("fold") != k).drop("fold"), df.filter(F.col("fold") == k).drop("fold")
+        try:
+            for k in range(self.get_n_splits(df)):
+                yield df.filter(F.col("fold") != k).drop("fold"), df.filter(F.col("fold") == k).drop("fold")
+        finally:
+            df.unpersist()
 
     def _order(self):
         return [F.xxhash64(self.row_id, F.lit(self.random_state or 0)), self.row_id] if self.shuffle else [self.row_id]
 
 
+def _slice(place, n, k):
+    """Number of the one of k contiguous slices of n rows that holds a place (from 0); the first n mod k slices are one larger."""
+    small, large = F.floor(n / k), n % k
+    edge = large * (small + 1)
+    return F.when(place < edge, F.floor(place / (small + 1))).otherwise(large + F.floor((place - edge) / F.greatest(small, F.lit(1)))).cast("int")
+
+
 class KFold(_Folds):
-    """Adds `fold`: contiguous by row_id, the first n mod k folds one larger. A global order, so one task numbers the ids."""
+    """Adds `fold`: contiguous by row_id, the first n mod k folds one larger. Rows are numbered range by range, in many tasks."""
 
     def __init__(self, row_id, n_splits=5, shuffle=False, random_state=None):
         self.row_id, self.n_splits, self.shuffle, self.random_state = row_id, n_splits, shuffle, random_state
 
     def assign(self, df):
-        return df.withColumn("fold", F.ntile(self.n_splits).over(Window.orderBy(*self._order())) - 1)
+        n = df.count()
+        return numbered(df, self._order(), "_place").withColumn("fold", _slice(F.col("_place"), F.lit(n), self.n_splits)).drop("_place")
 
 
 class StratifiedKFold(KFold):
@@ -49,7 +60,12 @@ class StratifiedKFold(KFold):
         self.label = label
 
     def assign(self, df):
-        return df.withColumn("fold", F.ntile(self.n_splits).over(Window.partitionBy(self.label).orderBy(*self._order())) - 1)
+        # numbered by (class, order): a row's place in its class is its place less the rows of the classes before
+        counts = {r[0]: r[1] for r in df.groupBy(self.label).count().orderBy(self.label).collect()}
+        before = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist()))
+        told = df.sparkSession.createDataFrame([(k, v, before[k]) for k, v in counts.items()], df.select(F.col(self.label).alias("_c")).schema.add("_n", "long").add("_b", "long"))
+        out = numbered(df, [self.label, *self._order()], "_place").join(F.broadcast(told), F.col(self.label).eqNullSafe(F.col("_c")))
+        return out.withColumn("fold", _slice(F.col("_place") - F.col("_b"), F.col("_n"), self.n_splits)).drop("_place", "_c", "_n", "_b")
 
 
 class LeaveOneOut(_Folds):
@@ -60,7 +76,7 @@ class LeaveOneOut(_Folds):
         return df.count()
 
     def assign(self, df):
-        return df.withColumn("fold", F.row_number().over(Window.orderBy(self.row_id)) - 1)
+        return numbered(df, [self.row_id], "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
 def compute_score(model, df: DataFrame, scoring: str) -> float:
@@ -104,23 +120,30 @@ def cross_val_score(estimator, df, row_id, cv=5, scoring="accuracy") -> list[flo
 
 
 class GridSearchCV(Operator):
-    """Every combination in key order; the first best wins. step__param reaches into a pipeline."""
-
-    kind = "classifier"
+    """Every combination in key order, over the same cached folds; the first best wins. step__param reaches into a pipeline."""
 
-    def __init__(self, estimator, param_grid, row_id, cv=5, scoring="accuracy", refit=True):
+    def __init__(self, estimator, param_grid, row_id, cv=5, scoring=None, refit=True):
         self.estimator, self.param_grid, self.row_id, self.cv, self.scoring, self.refit = estimator, param_grid, row_id, cv, scoring, refit
 
     @property
     def label(self):
         return self.estimator.label
 
+    @property
+    def kind(self):
+        return self.estimator.kind
+
     def fit(self, df):
         self.cv_results_ = []
-        for values in itertools.product(*self.param_grid.values()):
-            params = dict(zip(self.param_grid, values, strict=True))
-            scores = cross_val_score(self.estimator.clone().set_params(**params), df, self.row_id, self.cv, self.scoring)
-            self.cv_results_.append({"params": params, "mean": float(np.mean(scores)), "std": float(np.std(scores))})
+        scoring = self.scoring or ("accuracy" if self.kind == "classifier" else "r2")
+        grid = [dict(zip(self.param_grid, values, strict=True)) for values in itertools.product(*self.param_grid.values())]
+        scores: list[list[float]] = [[] for _ in grid]
+        for train, test in _splitter(self.estimator, self.cv, self.row_id).split(df):
+            with ThreadPoolExecutor(4) as pool:
+                told = list(pool.map(lambda p: float(compute_score(self.estimator.clone().set_params(**p).fit(train), test, scoring)), grid))  # noqa: B023
+            for s, x in zip(scores, told, strict=True):
+                s.append(x)
+        self.cv_results_ = [{"params": p, "mean": float(np.mean(s)), "std": float(np.std(s))} for p, s in zip(grid, scores, strict=True)]
         best = max(self.cv_results_, key=lambda r: r["mean"])
         self.best_params_, self.best_score_ = best["params"], best["mean"]
         if self.refit:
@@ -131,7 +154,7 @@ class GridSearchCV(Operator):
         return self.best_estimator_.predict(df)
 
     def score(self, df):
-        return compute_score(self.best_estimator_, df, self.scoring)
+        return compute_score(self.best_estimator_, df, self.scoring or ("accuracy" if self.kind == "classifier" else "r2"))
 
 
 class PlattScaler(Operator):
@@ -164,25 +187,41 @@ class PlattScaler(Operator):
         return df.withColumn("calibrated", 1 / (1 + F.exp(F.col(self.score) * self.a_ + self.b_)))
 
 
+def _pooled(rows: list[list[float]]) -> list[list[float]]:
+    """Pool-adjacent-violators over blocks (first score, last score, mean, weight) in order."""
+    out: list[list[float]] = []
+    for row in rows:
+        out.append(list(row))
+        while len(out) > 1 and out[-2][2] > out[-1][2]:
+            _, hi, y, n = out.pop()
+            a = out[-1]
+            a[1], a[2], a[3] = hi, (a[2] * a[3] + y * n) / (a[3] + n), a[3] + n
+    return out
+
+
 class IsotonicCalibrator(Operator):
-    """Pool-adjacent-violators over distinct scores, interpolated between them. Distinct scores are summed up first, to max_points of them at most (else quantile groups)."""
+    """Pool-adjacent-violators over distinct scores, interpolated between them.
+
+    Distinct scores are summed up and range-partitioned; each range pools its own violators, which any solution pools too,
+    and the driver pools the blocks that are left: so many as the fitted function has steps in each range, not rows.
+    """
 
-    def __init__(self, score="score", label="label", max_points=100_000):
-        self.score, self.label, self.max_points = score, label, max_points
+    def __init__(self, score="score", label="label"):
+        self.score, self.label = score, label
 
     def fit(self, df):
         by = df.groupBy(F.col(self.score).cast("double").alias("s")).agg(F.avg(F.col(self.label).cast("double")).alias("y"), F.count("*").alias("n"))
-        if by.count() > self.max_points:
-            by = by.withColumn("g", F.ntile(self.max_points).over(Window.orderBy("s"))).groupBy("g").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.avg("s").alias("s"), F.sum("n").alias("n"))
-        rows = by.orderBy("s").collect()
-        blocks: list[list[float]] = []
-        for r in rows:
-            blocks.append([r.y, r.n, 1])
-            while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-                y, n, k = blocks.pop()
-                a = blocks[-1]
-                a[0], a[1], a[2] = (a[0] * a[1] + y * n) / (a[1] + n), a[1] + n, a[2] + k
-        self.x_, self.y_ = [r.s for r in rows], [b[0] for b in blocks for _ in range(int(b[2]))]
+
+        def part(frames):
+            rows: list[list[float]] = []
+            for pdf in frames:
+                rows = _pooled(rows + [[s, s, y, n] for s, y, n in zip(pdf["s"].tolist(), pdf["y"].tolist(), pdf["n"].tolist(), strict=True)])
+            yield pd.DataFrame(rows, columns=["a", "b", "y", "n"])
+
+        rows = by.repartitionByRange("s").sortWithinPartitions("s").mapInPandas(part, "a double, b double, y double, n double").collect()
+        blocks = _pooled(sorted(list(r) for r in rows))
+        ends = [(x, y) for a, b, y, _ in blocks for x in ((a, b) if a < b else (a,))]
+        self.x_, self.y_ = [x for x, _ in ends], [y for _, y in ends]
         return self
 
     def predict_proba(self, df):
@@ -268,15 +307,19 @@ def fivex2cv_ttest(est_a, est_b, df, row_id, alpha=0.05, random_state=0) -> dict
 
 def _ranks(df, keys, value):
     """Average ranks by value inside keys."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     same = Window.partitionBy(*keys, value)
-    return df.withColumn("rank", F.rank().over(w.orderBy(value)) + (F.count("*").over(same) - 1) / 2)
+    return df.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(same) - 1) / 2)
 
 
 def wilcoxon_test(df, a, b, alpha=0.05) -> dict:
-    """Signed ranks, zero differences left out; exact for up to 50 pairs without ties, else the normal approximation."""
-    d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d != 0").withColumn("m", F.abs("d"))
-    n, distinct, up, down, ties = _ranks(d, [], "m").agg(F.count("*"), F.count_distinct("m"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)), F.lit(0)).first()
+    """Signed ranks, zero differences left out; exact for up to 50 pairs without ties, else the normal approximation.
+
+    Differences are counted per size first; the sizes are then numbered range by range, so no task holds them all.
+    """
+    d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d != 0")
+    by = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("ups"))
+    rank = F.col("before") + (F.col("c") + 1) / 2
+    n, distinct, up, down = running(by, ["m"], {"before": F.col("c")}).agg(F.sum("c"), F.count("*"), F.sum(rank * F.col("ups")), F.sum(rank * (F.col("c") - F.col("ups")))).first()
     if not n:
         return _told(0.0, 1.0, alpha)
     stat = min(up, down)
@@ -286,7 +329,7 @@ def wilcoxon_test(df, a, b, alpha=0.05) -> dict:
             for s in range(len(ways) - 1, k - 1, -1):
                 ways[s] += ways[s - k]
         return _told(stat, min(1.0, 2 * sum(ways[: int(stat) + 1]) / 2**n), alpha)
-    ties = d.groupBy("m").count().agg(F.sum(F.col("count") ** 3 - F.col("count"))).first()[0]
+    ties = by.agg(F.sum(F.pow("c", F.lit(3)) - F.col("c"))).first()[0]
     z = (stat - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     return _told(stat, special.normal_two_sided(z), alpha)
 

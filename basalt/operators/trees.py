@@ -1,8 +1,9 @@
 """Decision trees, forests and boosting, grown level by level for many trees at once.
 
-A level is one job: rows are tagged with their node by an expression, unpivoted to (tree, node, feature, value), summed per
-distinct value, and running sums over the values of a node's feature give every split's gain. Only the best split of each
-node reaches the driver.
+Feature values become numbers of bins once: one bin a distinct value where there are few, else quantiles, so the candidate
+splits never follow the rows. A level is one job: Arrow batches sum the statistics per (node, feature, bin), these partial
+histograms are summed, and running sums over the bins of a node's feature give every split's gain. Only the best split of
+each node reaches the driver. Without bins every distinct value is a candidate, by a shuffle of (node, feature, value).
 """
 
 from __future__ import annotations
@@ -13,11 +14,16 @@ import random
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import checkpoints
 from .base import Classifier, Regressor, check_X_y, classes_of
 
+#: Candidate splits of a feature, rows that are summed up at once, and boosting rounds between checkpoints of the margin.
+MAX_BINS, CHUNK_ROWS, MARGIN_ROUNDS = 256, 100_000, 8
+
 
 @dataclass
 class Node:
@@ -30,6 +36,8 @@ class Node:
     gain: float = 0.0
     left: Node | None = None
     right: Node | None = None
+    bin: int = 0
+    extra: list | None = None
 
     @property
     def n_samples(self) -> float:
@@ -64,43 +72,146 @@ def _tagged(df: DataFrame, roots: list[Node], number: dict[int, int], weights: l
     return df.withColumn("_t", F.explode(tags)).filter("_t.node >= 0 and _t.weight > 0").select("*", "_t.node", "_t.weight").drop("_t")
 
 
-def grow(df: DataFrame, features: list[str], stats: list[Column], gain, allowed, *, trees: int = 1, weights=None, max_depth=None, midpoint=False, pick=None, done=lambda n: False, least_gain=None) -> list[Node]:
+def bins_of(df: DataFrame, features: list[str], max_bins: int = MAX_BINS) -> list[np.ndarray]:
+    """Upper ends of each feature's bins, all observed values: every one where there are about max_bins at most, else quantiles."""
+    cols = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features]
+    few = [n <= max_bins for n in df.agg(*(F.approx_count_distinct(c, 0.02) for c in cols)).first()]
+    cuts = [(i + 1) / max_bins for i in range(max_bins)]
+    found = df.agg(*(F.collect_set(c) if small else F.percentile_approx(c, cuts, 20 * max_bins) for c, small in zip(cols, few, strict=True))).first()
+    return [np.unique(np.array(x or [], float)) for x in found]
+
+
+def _binned(df: DataFrame, features: list[str], bins: list[np.ndarray], rest: list[str]) -> DataFrame:
+    """The rest columns and `codes`: the number of each feature's bin as 16-bit integers; a missing value lies beyond the last."""
+
+    def run(batches):
+        for batch in batches:
+            codes = np.empty((batch.num_rows, len(bins)), "<i2")
+            for j, edge in enumerate(bins):
+                x = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
+                codes[:, j] = np.where(np.isnan(x), edge.size, np.searchsorted(edge, x))
+            flat = pa.py_buffer(codes.tobytes())
+            told = pa.Array.from_buffers(pa.binary(2 * len(bins)), batch.num_rows, [None, flat]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(bins) :], told], names=[*rest, "codes"])
+
+    kinds = dict(df.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in rest) + "codes binary"
+    return df.select(*(F.col(f).cast("double").alias(f"_x{j}") for j, f in enumerate(features)), *rest).mapInArrow(run, schema)
+
+
+def _flat(root: Node, number: dict[int, int], at: dict[str, int]) -> np.ndarray:
+    """Rows of (feature, bin, left, right, number of an open leaf): feature is -1 in a leaf, number is -1 in a closed one."""
+    rows: list[list[int]] = []
+
+    def add(n: Node) -> int:
+        rows.append([-1, 0, 0, 0, number.get(id(n), -1)])
+        i = len(rows) - 1
+        if n.feature is not None:
+            rows[i][:4] = at[n.feature], n.bin, add(n.left), add(n.right)
+        return i
+
+    add(root)
+    return np.array(rows, np.int64)
+
+
+def _histogram(trees: list[np.ndarray], bins: list[np.ndarray], k: int, may: np.ndarray | None):
+    """Batches of (codes, statistics, weight of each tree) to partial sums by (node, feature, upper end of a bin)."""
+    p, size = len(bins), max((x.size for x in bins), default=0) + 1
+    values = np.full((p, size), np.nan)
+    for j, x in enumerate(bins):
+        values[j, : x.size] = x
+
+    def told(codes, stats, weights):
+        for t, nodes in enumerate(trees):
+            at = np.zeros(len(codes), np.int64)
+            while True:
+                inner = np.flatnonzero(nodes[at, 0] >= 0)
+                if not inner.size:
+                    break
+                here = nodes[at[inner]]
+                at[inner] = np.where(codes[inner, here[:, 0]] <= here[:, 1], here[:, 2], here[:, 3])
+            node, w = nodes[at, 4], weights[t]
+            rows = np.flatnonzero((node >= 0) & (w > 0))
+            if not rows.size:
+                continue
+            first = int(node[rows].min())
+            span = int(node[rows].max()) - first + 1
+            key = (((node[rows] - first)[:, None] * p + np.arange(p)) * size + codes[rows]).ravel()
+            seen = np.bincount(key, minlength=span * p * size)
+            cells = np.flatnonzero(seen)
+            n, j, code = cells // (p * size) + first, cells // size % p, cells % size
+            keep = code < np.array([x.size for x in bins])[j]
+            if may is not None:
+                keep &= may[n, j]
+            cells, n, j, code = cells[keep], n[keep], j[keep], code[keep]
+            sums = [np.bincount(key, np.repeat(s[rows] * w[rows], p), span * p * size)[cells] for s in stats]
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(values[j, code]), *map(pa.array, sums)], names=["node", "j", "x", *(f"s{i}" for i in range(k))])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i2").reshape(-1, p).astype(np.int64)
+            held.append((codes, *(c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])))
+            n += batch.num_rows
+            if n >= CHUNK_ROWS:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield from told(cols[0], cols[1 : 1 + k], cols[1 + k :])
+                held, n = [], 0
+        if n:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield from told(cols[0], cols[1 : 1 + k], cols[1 + k :])
+
+    return run
+
+
+def grow(df: DataFrame, features: list[str], stats: list[Column], gain, allowed, *, trees: int = 1, weights=None, max_depth=None, midpoint=False, pick=None, done=lambda n: False, least_gain=None, bins: list[np.ndarray] | None = None, total: list[Column] | None = None) -> list[Node]:
     """Trees over df. stats: columns whose weighted sums describe a node, the first constantly 1. gain(left, right, all) and
     allowed(left, right) judge a split by sums. Ties go to the first feature, then the lowest threshold. pick(tree): the
-    features of a node."""
-    k, weights = len(stats), weights or [F.lit(1.0)] * trees
+    features of a node. With bins, df holds `codes`, the features' bins. total: further sums over df; they go into .extra of the first root."""
+    k, weights, extra = len(stats), weights or [F.lit(1.0)] * trees, total or []
     names = [f"s{i}" for i in range(k)]
-    data = df.select(*features, *(s.cast("double").alias(n) for s, n in zip(stats, names, strict=True)), *(w.alias(f"w{i}") for i, w in enumerate(weights))).persist()
+    data = df.select(*(["codes"] if bins is not None else features), *(s.cast("double").alias(n) for s, n in zip(stats, names, strict=True)), *(w.cast("tinyint").alias(f"w{i}") for i, w in enumerate(weights)), *(e.alias(f"e{i}") for i, e in enumerate(extra))).persist()
     weights = [F.col(f"w{i}") for i in range(trees)]
-    total = data.agg(*(F.sum(F.col(n) * w) for w in weights for n in names)).first()
-    roots = [Node([float(x or 0) for x in total[t * k : (t + 1) * k]]) for t in range(trees)]
-    open_, depth = [(t, r) for t, r in enumerate(roots)], 0
+    whole = data.agg(*(F.sum(F.col(n) * w) for w in weights for n in names), *(F.sum(f"e{i}") for i in range(len(extra)))).first()
+    roots = [Node([float(x or 0) for x in whole[t * k : (t + 1) * k]]) for t in range(trees)]
+    roots[0].extra = list(whole[trees * k :])
+    open_, depth, at = [(t, r) for t, r in enumerate(roots)], 0, {f: j for j, f in enumerate(features)}
     while open_ and (max_depth is None or depth < max_depth):
         open_ = [(t, n) for t, n in open_ if not done(n)]
         if not open_:
             break
         number = {id(n): i for i, (_, n) in enumerate(open_)}
         chosen = [sorted(pick(t)) if pick else list(range(len(features))) for t, _ in open_]
-        rows = _tagged(data, roots, number, weights).select("node", "weight", *names, F.posexplode(F.array(*(F.col(f).cast("double") for f in features))).alias("j", "x"))
-        if pick:
-            may = F.create_map(*(v for i, c in enumerate(chosen) for v in (F.lit(i), F.array(*map(F.lit, c)))))
-            rows = rows.filter(F.array_contains(may[F.col("node")], F.col("j")))
-        sums = rows.groupBy("node", "j", "x").agg(*(F.sum(F.col(n) * F.col("weight")).alias(n) for n in names))
+        if bins is not None:
+            may = None
+            if pick:
+                may = np.zeros((len(open_), len(features)), bool)
+                for i, c in enumerate(chosen):
+                    may[i, c] = True
+            rows = data.select("codes", *names, *(f"w{i}" for i in range(trees))).mapInArrow(_histogram([_flat(r, number, at) for r in roots], bins, k, may), "node int, j int, x double, " + ", ".join(f"{n} double" for n in names))
+            sums = rows.groupBy("node", "j", "x").agg(*(F.sum(n).alias(n) for n in names))
+        else:
+            rows = _tagged(data, roots, number, weights).select("node", "weight", *names, F.posexplode(F.array(*(F.col(f).cast("double") for f in features))).alias("j", "x")).filter("x is not null")
+            if pick:
+                may = F.create_map(*(v for i, c in enumerate(chosen) for v in (F.lit(i), F.array(*map(F.lit, c)))))
+                rows = rows.filter(F.array_contains(may[F.col("node")], F.col("j")))
+            sums = rows.groupBy("node", "j", "x").agg(*(F.sum(F.col(n) * F.col("weight")).alias(n) for n in names))
         order = Window.partitionBy("node", "j").orderBy("x")
         run = sums.select("node", "j", "x", F.lead("x").over(order).alias("next"), *(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"l{i}") for i, n in enumerate(names)))
-        whole = F.create_map(*(v for i, (_, n) in enumerate(open_) for v in (F.lit(i), F.array(*map(F.lit, n.sums)))))
-        run = run.filter(F.col("next").isNotNull()).withColumn("_all", whole[F.col("node")])
+        known = data.sparkSession.createDataFrame([(i, n.sums) for i, (_, n) in enumerate(open_)], "node int, _all array<double>")
+        run = run.filter(F.col("next").isNotNull()).join(F.broadcast(known), "node")
         left, all_ = [F.col(f"l{i}") for i in range(k)], [F.col("_all")[i] for i in range(k)]
         right = [a - b for a, b in zip(all_, left, strict=True)]
         cut = (F.col("x") + F.col("next")) / 2 if midpoint else F.col("x")
         split = run.filter(allowed(left, right)).select("node", F.struct(gain(left, right, all_).alias("gain"), (-F.col("j")).alias("j"), (-F.col("x")).alias("x"), cut.alias("cut"), F.array(*left).alias("left")).alias("best"))
         best = split.groupBy("node").agg(F.max("best").alias("best")).collect()
         new = []
-        for r in best:
+        for r in sorted(best, key=lambda r: r.node):
             if least_gain is not None and not r.best.gain > least_gain:
                 continue
             t, n = open_[r.node]
             n.feature, n.threshold, n.gain = features[-r.best.j], r.best.cut, r.best.gain
+            n.bin = int(np.searchsorted(bins[-r.best.j], -r.best.x)) if bins is not None else 0
             n.left, n.right = Node(list(r.best.left)), Node([a - b for a, b in zip(n.sums, r.best.left, strict=True)])
             new += [(t, n.left), (t, n.right)]
         open_, depth = new, depth + 1
@@ -129,7 +240,13 @@ class _Tree:
         m = self._width()
         pick = (lambda _: rng.sample(range(len(self.features)), m)) if m < len(self.features) else None
         done = lambda n: n.n_samples < self.min_samples_split or self._pure(n.sums)
-        roots = grow(df, self.features, stats, weigh, allowed, max_depth=self.max_depth, pick=pick, done=done, **how)
+        weights, bins = how.pop("weights", None), None
+        if self.max_bins:
+            bins, k = bins_of(df, self.features, self.max_bins), len(stats)
+            every = [*stats, *(weights or [])]
+            df = _binned(df.select(*self.features, *(c.alias(f"_c{i}") for i, c in enumerate(every))), self.features, bins, [f"_c{i}" for i in range(len(every))])
+            stats, weights = [F.col(f"_c{i}") for i in range(k)], [F.col(f"_c{i}") for i in range(k, len(every))] or None
+        roots = grow(df, self.features, stats, weigh, allowed, max_depth=self.max_depth, pick=pick, done=done, weights=weights, bins=bins, **how)
         for leaf in (x for r in roots for x in r.leaves()):
             leaf.value = self._value(leaf.sums)
         return roots
@@ -163,10 +280,10 @@ class _Tree:
 
 
 class DecisionTree(_Tree, Classifier):
-    """CART. The threshold is an observed value, `<=` goes left, zero-gain splits are taken, leaves hold the majority (lowest on ties) or mean."""
+    """CART. max_bins bounds a feature's candidate splits; None takes every value. The threshold is an observed value, `<=` goes left, zero-gain splits are taken, leaves hold the majority (lowest on ties) or mean."""
 
-    def __init__(self, features, label, task="classification", criterion=None, max_depth=None, min_samples_split=2, min_samples_leaf=1, max_features=None, random_state=0):
-        self.features, self.label, self.task, self.criterion, self.max_depth = features, label, task, criterion, max_depth
+    def __init__(self, features, label, task="classification", criterion=None, max_depth=None, min_samples_split=2, min_samples_leaf=1, max_features=None, random_state=0, max_bins=MAX_BINS):
+        self.features, self.label, self.task, self.criterion, self.max_depth, self.max_bins = features, label, task, criterion, max_depth, max_bins
         self.min_samples_split, self.min_samples_leaf, self.max_features, self.random_state = min_samples_split, min_samples_leaf, max_features, random_state
 
     def fit(self, df):
@@ -180,18 +297,18 @@ class DecisionTree(_Tree, Classifier):
 
 
 class RandomForest(_Tree, Classifier):
-    """All trees grow in the same jobs. A row's multiplicity in a bag is Poisson(1), drawn from a hash of row_id, tree and seed."""
+    """All trees grow in the same jobs. A row's multiplicity in a bag is Poisson(1), drawn from a hash of row_id, tree and seed; more than 12 copies, one in 10^10 draws, count as 12."""
 
-    def __init__(self, features, label, row_id, n_estimators=100, task="classification", max_depth=None, min_samples_split=2, min_samples_leaf=1, max_features="sqrt", bootstrap=True, oob_score=False, random_state=0):
-        self.features, self.label, self.row_id, self.n_estimators, self.task, self.max_depth = features, label, row_id, n_estimators, task, max_depth
+    def __init__(self, features, label, row_id, n_estimators=100, task="classification", max_depth=None, min_samples_split=2, min_samples_leaf=1, max_features="sqrt", bootstrap=True, oob_score=False, random_state=0, max_bins=MAX_BINS):
+        self.features, self.label, self.row_id, self.n_estimators, self.task, self.max_depth, self.max_bins = features, label, row_id, n_estimators, task, max_depth, max_bins
         self.min_samples_split, self.min_samples_leaf, self.max_features, self.bootstrap, self.oob_score, self.random_state = min_samples_split, min_samples_leaf, max_features, bootstrap, oob_score, random_state
 
     def _bag(self, tree: int) -> Column:
         if not self.bootstrap:
             return F.lit(1.0)
-        u = F.pmod(F.xxhash64(self.row_id, F.lit(tree), F.lit(self.random_state or 0)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        u = F.pmod(F.xxhash64(self.row_id, F.lit(tree), F.lit(self.random_state or 0)), F.lit(1 << 50)) / F.lit(float(1 << 50))
         out, edge, term = F.lit(0.0), 0.0, math.exp(-1)
-        for k in range(7):
+        for k in range(12):
             edge, term = edge + term, term / (k + 1)
             out = out + (u >= edge).cast("double")
         return out
@@ -241,28 +358,39 @@ class _Boosted:
         return functools.reduce(lambda a, t: a + self.learning_rate * t.expression(), self.trees_, F.lit(self.init_))
 
     def _rounds(self, df, stats, gain, allowed, value, loss, **how):
-        """stats(margin): the columns of a round."""
-        data = check_X_y(df, self.features, self.label).persist()
+        """stats(margin): the columns of a round. The margin is a column to which a round adds one tree; it is written every MARGIN_ROUNDS rounds, so plans stay short."""
+        checkpoints(df.sparkSession)
+        df = check_X_y(df, self.features, self.label)
+        bins = bins_of(df, self.features, self.max_bins) if self.max_bins else None
+        data = df.select(*self.features, self.label).withColumns({"_row": F.monotonically_increasing_id(), "_m": F.lit(self.init_)})
+        if bins is not None:
+            data = _binned(data.withColumns({f"_f{j}": F.col(f) for j, f in enumerate(self.features)}), [f"_f{j}" for j in range(len(bins))], bins, [*self.features, self.label, "_row", "_m"])
+        data, m = data.checkpoint(), F.col("_m")
         self.trees_, self.train_losses_ = [], []
+        n = data.count()
         for i in range(self.n_estimators):
-            f = self._margin()
             keep = F.lit(1.0)
             if self.subsample < 1:
-                keep = (F.pmod(F.xxhash64(*self.features, F.lit(i), F.lit(self.random_state or 0)), F.lit(1 << 20)) < self.subsample * (1 << 20)).cast("double")
-            tree = grow(data, self.features, stats(f), gain, allowed, max_depth=self.max_depth, weights=[keep], **how)[0]
+                keep = (F.pmod(F.xxhash64("_row", F.lit(i), F.lit(self.random_state or 0)), F.lit(1 << 20)) < self.subsample * (1 << 20)).cast("double")
+            tree = grow(data, self.features, stats(m), gain, allowed, max_depth=self.max_depth, weights=[keep], bins=bins, total=[loss(m)], **how)[0]
+            if i:
+                self.train_losses_.append(tree.extra[0] / n)
             for leaf in tree.leaves():
                 leaf.value = value(leaf.sums)
             self.trees_.append(tree)
-            self.train_losses_.append(data.agg(loss(self._margin())).first()[0])
-        data.unpersist()
+            data = data.withColumn("_m", m + self.learning_rate * tree.expression())
+            if (i + 1) % MARGIN_ROUNDS == 0:
+                data = data.checkpoint()
+        if self.trees_:
+            self.train_losses_.append(data.agg(F.avg(loss(m))).first()[0])
         return self
 
 
 class GradientBoostingRegressor(_Boosted, Regressor):
     """From the mean; each tree fits the residuals; the learning rate damps every tree."""
 
-    def __init__(self, features, label, n_estimators=100, learning_rate=0.1, max_depth=3, min_samples_split=2, subsample=1.0, random_state=0):
-        self.features, self.label, self.n_estimators, self.learning_rate, self.max_depth, self.min_samples_split, self.subsample, self.random_state = features, label, n_estimators, learning_rate, max_depth, min_samples_split, subsample, random_state
+    def __init__(self, features, label, n_estimators=100, learning_rate=0.1, max_depth=3, min_samples_split=2, subsample=1.0, random_state=0, max_bins=MAX_BINS):
+        self.features, self.label, self.n_estimators, self.learning_rate, self.max_depth, self.min_samples_split, self.subsample, self.random_state, self.max_bins = features, label, n_estimators, learning_rate, max_depth, min_samples_split, subsample, random_state, max_bins
 
     _drop = staticmethod(lambda left, right, all_: _impurity(all_, "mse") - (left[0] * _impurity(left, "mse") + right[0] * _impurity(right, "mse")) / all_[0])
     _some = staticmethod(lambda left, right: (left[0] >= 1) & (right[0] >= 1))
@@ -275,7 +403,7 @@ class GradientBoostingRegressor(_Boosted, Regressor):
     def fit(self, df):
         y = F.col(self.label).cast("double")
         self.init_ = float(df.agg(F.avg(self.label)).first()[0])
-        return self._fit(df, lambda f: y - f, lambda f: F.avg((y - f) * (y - f)))
+        return self._fit(df, lambda f: y - f, lambda f: (y - f) * (y - f))
 
     def predict(self, df):
         self._check("trees_")
@@ -289,7 +417,7 @@ def _logit_start(df, label) -> float:
 
 def _bernoulli(y: Column, f: Column) -> Column:
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), 1 / (1 + F.exp(-f))))
-    return F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
+    return -(y * F.log(p) + (1 - y) * F.log(1 - p))
 
 
 class _BinaryBoosted(Classifier):
@@ -319,8 +447,8 @@ class GradientBoostingClassifier(_BinaryBoosted, GradientBoostingRegressor):
 class XGBoostClassifier(_BinaryBoosted, _Boosted):
     """Second-order boosting: leaf -G/(H+lambda), thresholds half way between neighbouring values, only splits of positive gain."""
 
-    def __init__(self, features, label, n_estimators=100, learning_rate=0.1, max_depth=6, min_child_weight=1.0, reg_lambda=1.0, gamma=0.0, subsample=1.0, colsample=1.0, random_state=0):
-        self.features, self.label, self.n_estimators, self.learning_rate, self.max_depth, self.min_child_weight = features, label, n_estimators, learning_rate, max_depth, min_child_weight
+    def __init__(self, features, label, n_estimators=100, learning_rate=0.1, max_depth=6, min_child_weight=1.0, reg_lambda=1.0, gamma=0.0, subsample=1.0, colsample=1.0, random_state=0, max_bins=MAX_BINS):
+        self.features, self.label, self.n_estimators, self.learning_rate, self.max_depth, self.min_child_weight, self.max_bins = features, label, n_estimators, learning_rate, max_depth, min_child_weight, max_bins
         self.reg_lambda, self.gamma, self.subsample, self.colsample, self.random_state = reg_lambda, gamma, subsample, colsample, random_state
 
     def fit(self, df):
@@ -342,10 +470,19 @@ class XGBoostClassifier(_BinaryBoosted, _Boosted):
         )
 
 
-def xgb_tree(df, features, g: Column, h: Column, max_depth=6, min_child_weight=1.0, reg_lambda=1.0, gamma=0.0) -> Node:
-    """A single tree on given gradients and curvatures."""
+def xgb_tree(df, features, g: Column, h: Column, max_depth=6, min_child_weight=1.0, reg_lambda=1.0, gamma=0.0, colsample=1.0, random_state=0, max_bins=MAX_BINS) -> Node:
+    """A single tree on given gradients and curvatures; each node sees a random part colsample of the features."""
     part = lambda s: s[1] * s[1] / (s[2] + reg_lambda)
-    root = grow(df, features, [F.lit(1.0), g, h], lambda a, b, c: 0.5 * (part(a) + part(b) - part(c)) - gamma, lambda a, b: (a[2] >= min_child_weight) & (b[2] >= min_child_weight), max_depth=max_depth, midpoint=True, least_gain=0.0)[0]
+    rng, p, bins = random.Random(random_state or 0), len(features), None
+    m = max(1, int(colsample * p))
+    df = df.select(*features, g.cast("double").alias("_g"), h.cast("double").alias("_h"))
+    if max_bins:
+        bins = bins_of(df, features, max_bins)
+        df = _binned(df, features, bins, ["_g", "_h"])
+    root = grow(
+        df, features, [F.lit(1.0), F.col("_g"), F.col("_h")], lambda a, b, c: 0.5 * (part(a) + part(b) - part(c)) - gamma, lambda a, b: (a[2] >= min_child_weight) & (b[2] >= min_child_weight),
+        max_depth=max_depth, midpoint=True, least_gain=0.0, bins=bins, pick=(lambda _: rng.sample(range(p), m)) if m < p else None,
+    )[0]
     for leaf in root.leaves():
         leaf.value = -leaf.sums[1] / (leaf.sums[2] + reg_lambda)
     return root

@@ -275,13 +275,13 @@ def test_windows_cover_every_word():
 
 def test_decontamination(spark, docs, none):
     item = "In the old harbour the captain Miller counted 14 crates of 20 kg each and sold 3 of them to Baker for 90 dollars before the storm"
-    other = "What is the sum of 12 and 30 when 12 apples and 30 pears of the old farm are put in one basket"
+    other = "Take 12 apples and 30 pears then 12 plums and 30 figs then 12 nuts and 30 dates"
     again = item.replace("Miller", "Smith").replace("14", "77").replace("20", "5").replace("Baker", "Jones").replace("90", "41").replace(" 3 ", " 9 ")
-    crossed = other.replace("12 and 30", "5 and 6").replace("12 apples and 30", "6 apples and 5")
+    crossed, agreed = (other.replace("12", "{}").replace("30", "{}").format(*x) for x in ((5, 6, 7, 8, 9, 4), (5, 6, 5, 6, 5, 6)))
     bench = spark.createDataFrame([(1, item), (2, other), (3, "too short"), (4, None), (None, item)], "item_id long, text string")
-    texts = ["Filler words. " + item + " and so on", again, crossed, "clean text about " + BASE, item.upper()]
+    texts = ["Filler words. " + item + " and so on", again, crossed, "clean text about " + BASE, item.upper(), agreed]
     out = {r["doc_id"]: r["items"] for r in rows(decontamination.find_leaks(spark, spark.createDataFrame([(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string"), bench))}
-    assert out[100] == [1] and out[101] == [1] and out[103] == []
+    assert out == {100: [1], 101: [1], 102: [], 103: [], 104: [1], 105: [2]}
     assert decontamination.find_leaks(spark, none, bench).count() == 0
     edge = rows(decontamination.find_leaks(spark, docs, bench.limit(0)))
     assert len(edge) == len(ROWS) and not any(r["contaminated"] for r in edge)
@@ -362,36 +362,76 @@ def test_rows_of_numbers_stand_for_themselves(spark):
 
 
 def brute_cost(roles):
-    """Least cost over all labelings, by exhaustive search with a priority on states."""
-    best = {chat_format.START: 0.0}
-    for r in roles:
-        new = {}
-        for a, c in best.items():
-            for b in range(4):
-                s = chat_format.STEPS[r][a][b]
-                if s is not None:
-                    new[b] = min(new.get(b, 1e9), c + s[0])
-        best = new
-    return min(c + chat_format.INSERT * len(chat_format.CLOSE[s]) for s, c in best.items())
-
-
-def test_chat_format(spark):
-    legal = re.compile(r"(?:<\|system\|>\n[^<]*<\|end\|>\n)?(?:<\|user\|>\n[^<]*<\|end\|>\n<\|assistant\|>\n[^<]*<\|end\|>\n)+")
+    """Least cost over every choice of a label for each turn and of joining it to the turn before."""
+    best = 1e9
+    for labels in itertools.product("sua", repeat=len(roles)):
+        other = sum(0 if r == x else 0.5 if r is None else 2 for r, x in zip(roles, labels))
+        if other >= best:
+            continue
+        for joins in itertools.product((False, True), repeat=len(roles) - 1):
+            if any(j and a != b for j, a, b in zip(joins, labels, labels[1:])):
+                continue
+            kept = [x for x, j in zip(labels, (False, *joins)) if not j]
+            if "s" in kept[1:]:
+                continue
+            body = "".join(kept[kept[0] == "s" :])  # (ua)+ once an empty turn is put between equal neighbours, before a first a and after a last u
+            empty = sum(x == y for x, y in zip(body, body[1:])) + (body[:1] == "a") + (body[-1:] == "u") + 2 * (not body)
+            best = min(best, other + 0.75 * sum(joins) + 1.5 * empty)
+    return best
+
+
+LEGAL = re.compile(r"(?:<\|system\|>\n[^<]*<\|end\|>\n)?(?:<\|user\|>\n[^<]*<\|end\|>\n<\|assistant\|>\n[^<]*<\|end\|>\n)+")
+LETTER = {"system": "s", "user": "u", "assistant": "a"}
+
+
+def _chat_cost(group):
+    total = 0.0
+    for r in group:
+        named = (r["role"] or "").strip().lower() in LETTER
+        total += {"keep": 0, "relabel": 2 if named else 0.5, "merge": 0.75, "merge_relabel": 0.75 + (2 if named else 0.5)}[r["action"]]
+        total += 1.5 * (len(r["inserted"]) + len(r["appended"]))
+    return total
+
+
+def _repaired(spark, data, parts=None):
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string" + ", h string, place string, rid long" * (len(data[0]) > 4))
+    out = sorted(rows(chat_format.repair(spark, df.repartition(parts) if parts else df)), key=lambda r: r["place"])
+    assert chat_format.repair(spark, df.limit(0)).count() == 0
+    convs = {}
+    for r in out:
+        convs.setdefault(r["conv_id"], []).append(r)
+    return convs
+
+
+def test_chat_format_has_the_least_cost(spark):
     rng = np.random.default_rng(6)
     names = ["system", "user", "assistant", "tool", None, " User "]
-    data = [(c, t, names[int(rng.integers(6))], f"c{c}t{t}") for c in range(40) for t in range(int(rng.integers(1, 9)))]
-    data += [(77, t, ["user", "assistant", "user"][t % 3], f"long{t}") for t in range(900)]
-    data += [(78, 0, "user", None), (78, 0, "user", None), (78, None, "assistant", ""), (None, 1, "user", "x")]
-    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
-    out = chat_format.repair(spark, df).toPandas().sort_values("place")
-    assert len(out) == len(data) and chat_format.repair(spark, df.limit(0)).count() == 0
-    cost = {"keep": 0, "merge": chat_format.MERGE}
-    for conv, g in out.groupby("conv_id", dropna=False):
-        assert legal.fullmatch("".join(g["rendered"])), conv
-        roles = [chat_format.STATE.get(r.strip().lower()) if isinstance(r, str) else None for r in g["role"]]
-        total = 0.0
-        for r, a, i, e in zip(roles, g["action"], g["inserted"], g["appended"]):
-            other = chat_format.RELABEL_UNKNOWN if r is None else chat_format.RELABEL
-            total += {"keep": 0, "relabel": other, "merge": cost["merge"], "merge_relabel": cost["merge"] + other}[a] + chat_format.INSERT * (len(i) + len(e))
-        assert total == pytest.approx(brute_cost(roles))
-        assert [x for x in re.findall(r"c\d+t\d+|long\d+", "".join(g["rendered"]))] == [x for x in g["rendered"].str.findall(r"c\d+t\d+|long\d+").sum()]
+    data = [(c, t, names[int(rng.integers(6))], f"c{c}t{t}") for c in range(60) for t in range(int(rng.integers(1, 6)))]
+    convs = _repaired(spark, data)
+    assert len(convs) == 60 and sum(map(len, convs.values())) == len(data)
+    for g in convs.values():
+        whole = "".join(r["rendered"] for r in g)
+        assert LEGAL.fullmatch(whole) and re.findall(r"c\d+t\d+", whole) == [f"c{r['conv_id']}t{r['turn']}" for r in g]
+        assert _chat_cost(g) == brute_cost([LETTER.get((r["role"] or "").strip().lower()) for r in g])
+
+
+def test_chat_format_over_partitions_and_segments(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "ROWS_PER_TASK", 100)
+    data = [(77, t, ["user", "assistant", "user"][t % 3], f"long{t}") for t in range(900)]
+    data += [(8, 5, "user", "same")] * 300  # repeated rows of one turn lie in several partitions
+    convs = _repaired(spark, data)
+    assert _chat_cost(convs[77]) == 299 * 0.75 + 1.5 and _chat_cost(convs[8]) == 298 * 0.75 + 2
+    for c in (77, 8):
+        assert LEGAL.fullmatch("".join(r["rendered"] for r in convs[c]))
+    assert [r["turn"] for r in convs[77]] == list(range(900))
+
+
+def test_chat_format_of_nulls_and_large_ids(spark):
+    big = 1152921504606846977
+    data = [(big, 0, "user", "a", "x", "y", 1), (big, 1, "assistant", "b", "x", "y", 1), (None, 1, "user", "x", None, "", 2), (None, None, None, None, "", "", 3)]
+    data += [(big + 1, t, "user", None, "x", "y", 1) for t in (None, 2**62, 2**62 + 1)] + [(5, 0, "assistant", "z" * 200_000, "", "", 4)]
+    convs = _repaired(spark, data, 3)
+    assert set(convs) == {big, big + 1, None, 5}
+    assert [(r["turn"], r["action"], r["inserted"], r["appended"]) for r in convs[big]] == [(0, "keep", [], []), (1, "keep", [], [])]
+    assert [r["turn"] for r in convs[big + 1]] == [None, 2**62, 2**62 + 1] and len(convs[None]) == 2
+    assert all(LEGAL.fullmatch("".join(r["rendered"] for r in g)) for g in convs.values())

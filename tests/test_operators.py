@@ -83,6 +83,26 @@ def test_trees(binary, regression):
     assert trees.DecisionTree(X, "label", max_depth=0).fit(binary).predict(binary).select("prediction").distinct().count() == 1
 
 
+def test_binned_trees_are_the_exact_ones(binary, regression):
+    coarse = regression.withColumns({x: F.round(x, 1) for x in X})
+    bounds = trees.bins_of(coarse, X)
+    assert [b.tolist() for b in bounds] == [sorted(r[0] for r in coarse.select(x).distinct().collect()) for x in X]
+    ours, exact = (trees.DecisionTree(X, "label", "regression", max_depth=3, max_bins=b).fit(coarse).tree_ for b in (256, None))
+    shape = lambda n: (n.feature, n.threshold, round(n.value or 0, 9), n.left and shape(n.left), n.right and shape(n.right))
+    assert shape(ours) == shape(exact)
+    few = trees.DecisionTree(X, "label", "regression", max_depth=4, max_bins=16).fit(regression)
+    assert few.score(regression) > 0.7
+    holes = binary.withColumn("x0", F.when(F.col("row_id") % 5 > 0, F.col("x0")))
+    assert trees.RandomForest(X, "label", "row_id", 5, max_depth=4).fit(holes).score(holes) > 0.8
+    g = regression.withColumns({"g": F.col("x0"), "h": F.lit(1.0)})
+    assert trees.xgb_tree(g, X, F.col("g"), F.col("h"), 2, colsample=0.5, random_state=3).depth() <= 2
+
+
+def test_many_boosting_rounds(regression):
+    g = trees.GradientBoostingRegressor(X, "label", 20, 0.3, 2, subsample=0.7).fit(regression)
+    assert len(g.train_losses_) == 20 and g.train_losses_[-1] < 0.3 * g.train_losses_[0] and g.score(regression) > 0.85
+
+
 def test_boosting(binary, regression):
     g = trees.GradientBoostingRegressor(X, "label", 5, 0.3, 2).fit(regression)
     assert g.train_losses_ == sorted(g.train_losses_, reverse=True)
@@ -114,6 +134,100 @@ def test_clustering(spark, blobs):
     assert np.allclose(np.sort(g.means_[:, 0])[-1], 6, atol=0.3)
 
 
+def test_starts_on_repeated_points(spark):
+    f = ["x0", "x1"]
+    four = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2 * 10.0).alias("x0"), (F.floor(F.col("id") / 2) % 2 * 10.0).alias("x1"))
+    for init in ("random", "kmeans++"):
+        k = cluster.KMeans(f, 4, init, n_init=1).fit(four)
+        assert k.inertia_ == 0 and len({tuple(c) for c in k.cluster_centers_.tolist()}) == 4
+    two = cluster.GaussianMixture(f, 2, max_iter=3, reg_covar=1e-2).fit(four)
+    assert not np.allclose(two.means_[0], two.means_[1])
+    assert cluster.MiniBatchKMeans(f, 4, 50, 5).fit(four).inertia_ < 4000
+
+
+def test_numbering_in_ranges(spark, binary):
+    from basalt.operators import optim
+    from basalt.operators.base import add_bias, numbered, running
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    assert [r.n for r in numbered(df, ["k"], "n").orderBy("k").collect()] == list(range(1000))
+    assert [r.s for r in running(df, [-F.col("k")], {"s": F.col("k")}).orderBy(F.desc("k")).limit(3).collect()] == [0, 999, 1997]
+    assert running(df.limit(0), ["k"], {"s": F.col("k")}).count() == 0
+    batches = optim.mini_batches(binary, "row_id", 30, seed=1).groupBy("batch").count().collect()
+    assert sorted(r[1] for r in batches) == [20, 30, 30, 30, 30, 30, 30]
+    folds = selection.StratifiedKFold("row_id", "label", 4).assign(binary).groupBy("label", "fold").count().collect()
+    assert max(r[2] for r in folds if r[0] == 0) - min(r[2] for r in folds if r[0] == 0) <= 1 and len(folds) == 8
+    plan = selection.KFold("row_id", 3).assign(binary)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+    assert [r.bias for r in add_bias(binary, X)[0].limit(2).collect()] == [1.0, 1.0]
+
+
+def test_isotonic_and_wilcoxon_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    s, y = np.round(rng.random(400), 2), (rng.random(400) < 0.5).astype(int)
+    iso = selection.IsotonicCalibrator().fit(spark.createDataFrame(list(zip(s.tolist(), y.tolist())), "score double, label int").repartition(6))
+    blocks = []
+    for v in np.unique(s):
+        blocks.append([y[s == v].mean(), (s == v).sum(), [v]])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            b = blocks.pop()
+            a = blocks[-1]
+            blocks[-1] = [(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]]
+    want = {v: m for m, _, vs in blocks for v in vs}
+    assert np.allclose(np.interp(sorted(want), iso.x_, iso.y_), [want[v] for v in sorted(want)])
+    d = np.round(rng.normal(0.2, 1, 300), 1)
+    got = selection.wilcoxon_test(spark.createDataFrame([(float(x), 0.0) for x in d], "a double, b double"), "a", "b")
+    d = d[d != 0]
+    size = np.abs(d)
+    rank = np.array([(size < v).sum() + ((size == v).sum() + 1) / 2 for v in size])
+    assert got["statistic"] == pytest.approx(min(rank[d > 0].sum(), rank[d < 0].sum()))
+
+
+def test_blocked_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(pre, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 6, (150, 3)).astype(float)
+    gaps = [[None if rng.random() < 0.2 else v for v in r] for r in x.tolist()]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(gaps)], "id long, x array<double>")
+    got = {}
+    for r in pre.nearest(df.select(F.col("id").alias("k"), "x"), df, "k", 3, 4).collect():
+        got.setdefault(r.k, []).append((r["rank"], r.point))
+
+    def dist(a, b):
+        both = [(p - q) ** 2 for p, q in zip(a, b) if p is not None and q is not None]
+        return sum(both) if both else float("inf")
+
+    for i, a in enumerate(gaps):
+        want = sorted(range(150), key=lambda j: (dist(a, gaps[j]), j))[:4]
+        assert [p for _, p in sorted(got[i])] == want
+
+
+def test_tables_and_models(spark, tmp_path, binary):
+    from basalt.sources import tables
+
+    for kind in ("parquet", "csv", "json", "orc"):
+        tables.write(binary, str(tmp_path / kind), kind, mode="overwrite")
+        assert tables.read(spark, str(tmp_path / kind), kind, schema=binary.schema).count() == 200
+    m = GaussianNB(X, "label").fit(binary)
+    tables.save_model(spark, m, str(tmp_path / "model"))
+    assert tables.load_model(spark, str(tmp_path / "model")).score(binary) == m.score(binary)
+    assert tables.missing_to_null(spark.createDataFrame([(float("nan"), -1.0), (2.0, 3.0)], "a double, b double"), ["a", "b"], -1.0).filter("a is null and b is null").count() == 1
+
+
+def test_checks(spark, binary):
+    from basalt.operators import base
+
+    with pytest.raises(ValueError, match="no column"):
+        base.check_array(binary, ["gone"])
+    with pytest.raises(ValueError, match="no column"):
+        base.check_X_y(binary, X, "gone")
+    with pytest.raises(ValueError, match="string"):
+        base.check_array(spark.createDataFrame([("a",)], "x0 string"), ["x0"])
+    with pytest.raises(RuntimeError, match="not fitted"):
+        base.check_is_fitted(GaussianNB(X, "label"), "theta_")
+    assert selection.GridSearchCV(linear.RidgeRegression(X, "label"), {"alpha": [0.1]}, "row_id").kind == "regressor"
+
+
 def test_decomposition(blobs, regression):
     p = decomposition.PCA(X).fit(regression)
     x, _ = design(regression)
@@ -138,8 +252,10 @@ def test_preprocessing(spark, regression):
     assert pre.KNNImputer(["x0", "x1"], "row_id", 3).fit_transform(knn).filter("row_id = 2").first()["x0"] == pytest.approx(1.05)
     cat = spark.createDataFrame([("a",), ("b",), ("a",), ("c",)], "c string")
     assert len(pre.OneHotEncoder(["c"]).fit_transform(cat).columns) == 4 and len(pre.OneHotEncoder(["c"], "first").fit_transform(cat).columns) == 3
-    with pytest.raises(ValueError):
-        pre.OneHotEncoder(["c"]).fit(cat).transform(spark.createDataFrame([("z",)], "c string"))
+    with pytest.raises(Exception, match="unknown category"):
+        pre.OneHotEncoder(["c"]).fit(cat).transform(spark.createDataFrame([("z",)], "c string")).collect()
+    sparse = pre.OneHotEncoder(["c"], handle_unknown="ignore", sparse=True).fit(cat).transform(spark.createDataFrame([("z",), ("a",), ("c",), (None,)], "c string"))
+    assert {r.c: r.c_onehot for r in sparse.collect()} == {"z": None, "a": 0, "c": 2, None: None}
     with pytest.raises(Exception, match="unseen"):
         pre.LabelEncoder("c").fit(cat).transform(spark.createDataFrame([("z",)], "c string")).collect()
     uneven = regression.withColumn("label", (F.col("row_id") < 30).cast("int"))
