@@ -3,7 +3,7 @@
 A document is the set of its distinct five-word shingles. One permutation scatters the shingles over a ring, a second
 one, shifted circularly by k, gives the k-th signature coordinate. Coordinates are banded; documents that share a band
 are candidates; a candidate pair is a link only after its full shingle sets are compared. Groups are never expanded into
-all pairs: texts with equal sets collapse first, a few rounds then link the members of each bucket to one hub, and only
+all pairs: texts with equal sets collapse first, a round then links the members of each bucket to one hub, and only
 members still in different components are held against their bucket, in blocks.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .workspace import Workspace, bound_batches, with_ids
+from .workspace import BROADCAST_IDS, Workspace, bound_batches, spread_join, with_ids
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -28,8 +28,8 @@ RING = 1 << 21
 PERCENT = 75
 #: A pair whose share of equal coordinates is below this is dropped before its sets are compared: more than six standard errors under the threshold.
 LEAST_ESTIMATE = 0.55
-#: Rounds that link the members of a bucket to one of them, before what is still apart is compared, in blocks of so many rows.
-STARS, BLOCK_ROWS = 1, 256
+#: Members of a bucket that are still apart after the round of hubs are compared in blocks of so many rows.
+BLOCK_ROWS = 256
 _MUL = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -83,8 +83,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seed = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
     mul = _MUL[:ROWS]
     for batch in batches:
-        ids, count, node, sig, keys = batch.column(0), [], [], [], []
-        for _, s in shingle_sets(batch.column(1)):
+        count, node, sig, keys = [], [], [], []
+        for _, s in shingle_sets(batch.column(2)):
             count.append(s.size)
             if s.size:
                 c = signature(s)
@@ -97,8 +97,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig.append(None)
                 keys.append(None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "node", "sig", "bands"],
+            [*batch.columns[:2], pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "row", "n_shingles", "node", "sig", "bands"],
         )
 
 
@@ -135,21 +135,54 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, comp) to (node, comp, new): each node below the least node that the partition's edges join it to; new marks rows that did not come in."""
+    over: dict[bytes, bytes] = {}
+    came: set[tuple[bytes, bytes]] = set()
+
+    def root(x: bytes) -> bytes:
+        top = x
+        while over.get(top, top) != top:
+            top = over[top]
+        while over.get(x, x) != top:
+            over[x], x = top, over[x]
+        return top
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            came.add((x, y))
+            a, b = root(x), root(y)
+            over.setdefault(x, a)
+            over.setdefault(y, b)
+            if a != b:
+                over[max(a, b)] = min(a, b)
+    rows = [(x, root(x)) for x in over]
+    rows = [r for r in rows if r[0] != r[1]]
+    for i in range(0, len(rows), 50_000):
+        part = rows[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.binary()), pa.array([r not in came for r in part], pa.bool_())], ["node", "comp", "new"])
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """(node, comp) for every node of the edges (a, b): comp is the least node reachable. Label spreading with pointer jumps."""
-    e = work.save(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).distinct())
-    lab = work.save(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    """(node, comp) for every node of the edges (a, b) but each component's least one: comp is the least node reachable.
+
+    Each partition joins what its own edges join; nodes then meet their other parents by a shuffle on the node, so that no
+    hub and no component goes to one task, and parents that got a parent are followed, until neither changes a row.
+    """
+    contracted = lambda df: df.mapInArrow(tk.tidy(_contract), "node binary, comp binary, new boolean")
+    up, read = contracted(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("comp"))).select("node", "comp"), []
     while True:
-        near = e.join(lab.select(F.col("node").alias("dst"), "comp"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("m"))
-        new = work.save(lab.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")))
-        jump = work.save(new.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp").select("node", F.col("far").alias("comp"), "was"))
-        moved = jump.filter(F.col("comp") != F.col("was")).limit(1).count()
-        work.drop(new)
-        work.drop(lab)
-        lab = jump
-        if not moved:
-            work.drop(e)
-            return lab.select("node", "comp")
+        now = work.save(contracted(up.repartition("node")))
+        for df in read:
+            work.drop(df)
+        higher = work.save(now.join(now.select(F.col("comp").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("comp")).agg(F.min("comp").alias("far")))
+        n = higher.count()
+        if not n and not now.filter("new").limit(1).count():
+            work.drop(higher)
+            return now.select("node", "comp")
+        read = [now, higher]
+        far = F.broadcast(higher) if n <= BROADCAST_IDS else higher
+        up = now.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +233,19 @@ _TOLD = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("slice", pa.int32
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, slice, node, comp, others, shingles), sorted by the first three, to links; components that the group's links join need no other link."""
+    """(key, part, slice, node, comp, others, shingles), sorted by the first three, to links of components; those that the group's links join need no other link."""
     was, rows = None, []
 
     def links():
         there = {r[0]: (r[1], np.frombuffer(r[3], np.uint64)) for r in rows if r[2] is None}
-        left, right, over = [], [], {}
+        left, right, over = [], [], {}  # components, not nodes
 
         def root(c: bytes) -> bytes:
             while c in over:
                 c = over[c]
             return c
 
-        for node, mine, others, data in (r for r in rows if r[2] is not None):
+        for _, mine, others, data in (r for r in rows if r[2] is not None):
             u = np.frombuffer(data, np.uint64)
             for o in others:
                 comp, v = there[o]
@@ -222,8 +255,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = np.intersect1d(u, v, assume_unique=True).size
                 if 100 * both >= PERCENT * (u.size + v.size - both):
                     over[max(a, b)] = min(a, b)
-                    left.append(node)
-                    right.append(o)
+                    left.append(mine)
+                    right.append(comp)
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     for batch in batches:
@@ -239,73 +272,77 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_links(mixed: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that share a bucket, from (key, band, node, comp): every member outside a bucket's largest component is held against all members, in blocks; signatures sieve, sets decide. No pair is a row."""
+    """Links (a, b) of components that share a bucket, from (key, band, node, comp): every member outside a bucket's largest component is held against all members, in blocks; signatures sieve, sets decide. No pair is a row."""
     per = mixed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     per = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("top"))
-    rows = mixed.join(per, "key").join(sigs, "node").withColumn("query", F.col("comp") != F.col("big"))
+    rows = mixed.join(per, "key").join(sigs.select("node", "sig", "bands"), "node").withColumn("query", F.col("comp") != F.col("big"))
     parts, slices = (F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS)).cast("int") for c in (F.col("m") - F.col("top"), F.col("m")))
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    last = ["node", "comp", "query"]
-    asks = rows.filter("query").select("key", "band", own(parts).alias("part"), upto(slices).alias("slice"), *last, F.lit(True).alias("asks"), "sig", "bands")
-    rest = rows.select("key", "band", upto(parts).alias("part"), own(slices).alias("slice"), *last, F.lit(False).alias("asks"), "sig", "bands")
-    both = asks.union(rest).repartition("key", "band", "part", "slice").sortWithinPartitions("key", "band", "part", "slice")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    asks = F.transform(upto(slices), lambda x: F.struct(own(parts).alias("part"), x.cast("int").alias("slice"), F.lit(True).alias("asks")))
+    rest = F.transform(upto(parts), lambda x: F.struct(x.cast("int").alias("part"), own(slices).alias("slice"), F.lit(False).alias("asks")))
+    both = rows.withColumn("at", F.explode(F.concat(F.when(F.col("query"), asks).otherwise(F.slice(asks, 1, 0)), rest)))
+    both = both.select("key", "band", "at.part", "at.slice", "node", "comp", "query", "at.asks", "sig", "bands")
+    both = both.repartition("key", "band", "part", "slice").sortWithinPartitions("key", "band", "part", "slice")
     told = both.mapInArrow(tk.tidy(_crossed), "key long, part int, slice int, node binary, comp binary, others array<binary>")
     full = told.join(sets, "node").select("key", "part", "slice", "node", "comp", "others", "shingles")
     return full.repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(tk.tidy(_compared), "a binary, b binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
-    return work.save(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tk.tidy(_linked), "a binary, b binary"))
+def _hub_links(shared: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes with that hub, of those of their buckets, whose signature is nearest, if their sets are similar enough."""
+    side = lambda df, n, c: df.select(F.col("node").alias(n), F.col(c).alias(f"s{n}"))
+    star = shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).repartition("a").distinct()
+    star = star.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sa", "sb")
+    near = star.mapInArrow(tk.tidy(_estimate), "a binary, b binary, estimate double").groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+    return near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").select("a", "b", "sa", "sb").mapInArrow(tk.tidy(_linked), "a binary, b binary")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(spark: SparkSession, docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, and the column named by row.
 
     Null or blank text: no shingles, linked with nothing, kept. Fewer than five words: the whole sequence is one shingle.
-    Equal shingle sets (repeated rows, copies) always share a component. A null doc_id takes part in no link: component_id
-    is null and the row is kept. Rows that repeat a doc_id get that id's smallest component. Other columns are ignored.
+    Equal shingle sets (repeated rows, copies) always share a component. component_id is the component's smallest doc_id.
+    Without row, kept means that doc_id is component_id: rows that repeat a doc_id get that id's smallest component and are
+    kept or not together, and a null doc_id takes part in no link: its component_id is null and the row is kept. With row,
+    a column of distinct longs that every read of docs gives alike, rows with a null doc_id take part too, and of each
+    component one row is kept, that with the smallest (doc_id, row), nulls last. Other columns are ignored.
     """
     work = Workspace(spark)
     bound_batches(spark)
-    docs = docs.select("doc_id", "text")
-    signed = work.save(docs.mapInArrow(tk.tidy(_sign), "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"))
-    full = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    classes = work.save(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    key = row or "doc_id"
+    docs = docs.select("doc_id", F.col(key).alias("row"), "text")
+    signed = work.save(docs.mapInArrow(tk.tidy(_sign), "doc_id long, row long, n_shingles long, node binary, sig binary, bands array<long>"))
+    full = signed.filter(F.col("node").isNotNull() & F.col("row").isNotNull())
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = work.save(full.groupBy("node").agg(F.min(first).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
-    many = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = work.save(every.join(many, "key").select("key", "band", "node"))
-    wanted = work.save(classes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))
-    sets = work.save(with_ids(docs, wanted, "inner").select("text", "node").mapInArrow(tk.tidy(_sets), "node binary, shingles binary").dropDuplicates(["node"]))
-    work.drop(wanted)
-    sigs = work.save(classes.join(sets.select("node"), "node").select("node", "sig", "bands"))
-    sig = lambda n: sigs.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
-    links = comps = None
-    for turn in range(STARS + 1):
-        open_ = shared.withColumn("comp", F.col("node"))
-        if comps is not None:
-            named = shared.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-            unlike = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-            open_ = named.join(unlike, "key", "left_semi")
-        open_ = work.save(open_)
-        if turn < STARS:
-            hubs = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.comp").alias("cb"))
-            star = open_.join(hubs, "key").filter("comp != cb").select(F.col("node").alias("a"), "b").distinct()
-            star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tk.tidy(_estimate), "a binary, b binary, estimate double")
-            found = _links(star.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), sets, work)
-        else:
-            found = work.save(_cross_links(open_, sigs, sets).distinct())
-        work.drop(open_)
-        links = found if links is None else work.save(links.union(found))
-        comps = components(links, work)
-    labelled = work.save(classes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")))
-    least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(least, "comp").select("node", "component_id")
-    own = F.coalesce("component_id", "doc_id")
-    return signed.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    # each bucket's hub: another one in each bucket, so that a node has many to choose from
+    hubs = every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("hub")).filter("n > 1")
+    hubs = work.save(hubs.select("key", F.col("hub.node").alias("hub"), "n"))
+    shared = work.save(spread_join(every, hubs, ["key"], "n", "inner").select("key", "band", "node", "hub"))
+    sigs = work.save(classes.join(shared.select("node").distinct(), "node", "left_semi"))
+    wanted = sigs.select(F.col("first.row").alias("row"), "node")
+    sets = work.save(with_ids(docs, wanted, "inner", "row").select("text", "node").mapInArrow(tk.tidy(_sets), "node binary, shingles binary").dropDuplicates(["node"]))
+    comps = work.save(components(work.save(_hub_links(shared, sigs, sets)), work))
+    named = shared.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+    unlike = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    mixed = work.save(named.join(unlike, "key", "left_semi"))
+    work.drop(shared)
+    more = components(work.save(_cross_links(mixed, sigs, sets)), work).select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    nodes = sigs.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = work.save(nodes.join(more, "comp", "left").select("node", "first", F.coalesce("far", "comp").alias("comp")))
+    least = nodes.groupBy("comp").agg(F.min("first").alias("least"))
+    named = nodes.join(least, "comp").select("node", "least")
+    named = work.save(classes.select("node", "first", "n").join(named, "node", "left").select("node", F.coalesce("least", "first").alias("least"), "n"))
+    out = spread_join(signed, named, ["node"], "n")
+    if row is None:
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+        return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    own = F.when(F.col("node").isNotNull(), F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("row") == F.col("least.row"), F.lit(True)).alias("kept"), F.col("row").alias(row))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; nulls, ties and repeats as in near_duplicates()."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,4 +1,4 @@
-"""Shared tables between the jobs of one operator, and joins whose broadcast is size-checked."""
+"""Shared tables between the jobs of one operator, and joins that bound what is broadcast and what meets in one task."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_IDS = 500_000
-
+#: A key with fewer rows than this is never dealt over several tasks.
+HOT_ROWS = 20_000
 
 #: Rows of text that go to a Python worker at once; a worker's memory follows them.
 BATCH_ROWS = 2000
@@ -22,11 +23,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a local one in local mode (tests) and else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if not isinstance(named, str):
         named = named.get() if named is not None and named.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="basalt-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -60,3 +63,22 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, key, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """left joined to right, which holds each key once; weight is a column of right, about the number of left rows with its key.
+
+    A key whose weight is above the bar is dealt over several tasks: its left rows by their place, its right row to each. The
+    bar is a BROADCAST_IDS-th of all weight at least, so at most BROADCAST_IDS keys are above it, and only these are
+    broadcast. right should be a saved table, as it is read twice.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    bar = max(HOT_ROWS, -(-total // BROADCAST_IDS))
+    hot = right.filter(F.col(weight) > bar).select(*keys, F.ceil(F.col(weight) / bar).cast("int").alias("_parts"))
+    if not hot.limit(1).count():
+        return left.join(right.drop(weight), keys, how)
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_part", place).drop("_parts")
+    parts = F.when(F.col(weight) > bar, F.ceil(F.col(weight) / bar).cast("int")).otherwise(1)
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
+    return left.join(right, [*keys, "_part"], how).drop("_part")
