@@ -214,32 +214,35 @@ def _search(told):
                         most[lo + d] = max(most[lo + d], c)
                         if c >= LEAST_COVER:
                             found[lo + d].append(index.ids[item])
-            found = [sorted(set(x)) for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.float64())], [*batch.schema.names[2:], "doc_id", "items", "cover"])
+            found = [sorted({*x, *was}) for x, was in zip(found, batch.column(2).to_pylist(), strict=True)]
+            most = [max(x, was) for x, was in zip(most, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.float64()), *batch.columns[4:]], batch.schema.names)
 
     return run
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, contaminated, items (ids found, ascending), cover (the largest part of an item found).
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id (or the columns named by keep), contaminated, items (ids found, ascending), cover (the
+    largest part of an item found); the last three replace columns of these names.
 
     Items of fewer than LEAST_WORDS words, null items and items with a null id hold no window and are never found. A null or
-    empty text is clean. Repeated rows are judged alike. Every window of a text is looked up. A benchmark beyond
-    BLOCK_BYTES is taken in blocks, each of which passes over the documents once; an empty one leaves all clean.
+    empty text is clean. Rows with a null or repeated doc_id are judged like any other, each by its own text. Every window of
+    a text is looked up. A benchmark beyond BLOCK_BYTES is taken in blocks, each of which passes over the documents once; an
+    empty one leaves all clean.
     """
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     bound_batches(spark)
-    out = docs.select("doc_id", "text").withColumns({"items": F.array().cast("array<long>"), "cover": F.lit(0.0)})
+    names = [c for c in (["doc_id"] if keep is None else keep) if c not in ("contaminated", "items", "cover")]
+    out = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.array().cast("array<long>").alias("_items"), F.lit(0.0).alias("_cover"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)))
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         told = spark.sparkContext.broadcast(Index.build([r.item_id for r in rows], [r.text for r in rows]))
-        named = out.select("doc_id", "text", F.col("items").alias("items0"), F.col("cover").alias("cover0"), F.col("text").alias("text0"))
-        found = named.mapInArrow(tk.tidy(_search(told)), "items0 array<long>, cover0 double, text0 string, doc_id long, items array<long>, cover double")
-        out = found.select("doc_id", F.col("text0").alias("text"), F.array_sort(F.array_union("items0", "items")).alias("items"), F.greatest("cover0", "cover").alias("cover")) if blocks > 1 else docs.select("doc_id", "text").mapInArrow(tk.tidy(_search(told)), "doc_id long, items array<long>, cover double")
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "cover")
+        out = out.mapInArrow(tk.tidy(_search(told)), out.schema)
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"), F.col("_cover").alias("cover"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents, searched for all of benchmark; nulls, ties and repeats as in find_leaks()."""
     return find_leaks(spark, *(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
