@@ -114,6 +114,13 @@ def gini(counts: Column) -> Column:
     return 1 - F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x / n) * (x / n))
 
 
+def information_gain(whole: Column, *parts: Column) -> Column:
+    """Entropy of an array of class counts, less the mean entropy of the parts' counts by their sizes."""
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    h = lambda c: entropy(F.transform(c, lambda x: x / size(c)))
+    return h(whole) - total([size(c) * h(c) for c in parts]) / size(whole)
+
+
 def clip_gradients(g: np.ndarray, max_norm: float = 5.0) -> np.ndarray:
     """By the global norm, on the driver."""
     norm = float(np.linalg.norm(g))

@@ -45,46 +45,37 @@ class _Kernel:
 
 
 class SVC(_Kernel, Classifier):
-    """Sequential minimal optimisation on labels -1 and 1; max_iter quiet passes end it, hard_limit passes in any case."""
+    """The dual problem on labels -1 and 1, by steps along the pair that violates optimality most.
 
-    def __init__(self, features, label, C=1.0, kernel="rbf", gamma=1.0, degree=3, coef0=1.0, tol=1e-3, max_iter=5, hard_limit=200, random_state=0, max_rows=5000):
-        self.features, self.label, self.C, self.kernel, self.gamma, self.degree, self.coef0, self.tol = features, label, C, kernel, gamma, degree, coef0, tol
-        self.max_iter, self.hard_limit, self.random_state, self.max_rows = max_iter, hard_limit, random_state, max_rows
+    gap_ is the largest violation left; fitting ends when it is below tol, or after max_iter steps a row.
+    """
+
+    def __init__(self, features, label, C=1.0, kernel="rbf", gamma=1.0, degree=3, coef0=1.0, tol=1e-3, max_iter=200, max_rows=5000):
+        self.features, self.label, self.C, self.kernel, self.gamma, self.degree, self.coef0, self.tol, self.max_iter, self.max_rows = features, label, C, kernel, gamma, degree, coef0, tol, max_iter, max_rows
 
     def fit(self, df):
         x, y = self._rows(df)
         if not set(np.unique(y)) <= {-1.0, 1.0}:
             raise ValueError("labels must be -1 and 1")
-        k, n, rng = self._k(x, x), len(y), np.random.default_rng(self.random_state)
-        a, b, f, quiet = np.zeros(n), 0.0, np.zeros(n), 0
-        for _ in range(self.hard_limit):
-            changed = 0
-            for i in range(n):
-                ei = f[i] + b - y[i]
-                if not ((y[i] * ei < -self.tol and a[i] < self.C) or (y[i] * ei > self.tol and a[i] > 0)):
-                    continue
-                j = int(rng.integers(n - 1))
-                j += j >= i
-                ej = f[j] + b - y[j]
-                lo, hi = (max(0, a[j] - a[i]), min(self.C, self.C + a[j] - a[i])) if y[i] != y[j] else (max(0, a[i] + a[j] - self.C), min(self.C, a[i] + a[j]))
-                eta = 2 * k[i, j] - k[i, i] - k[j, j]
-                if lo == hi or eta >= 0:
-                    continue
-                new = float(np.clip(a[j] - y[j] * (ei - ej) / eta, lo, hi))
-                if abs(new - a[j]) < 1e-5:
-                    continue
-                di, dj = y[i] * y[j] * (a[j] - new), new - a[j]
-                b1 = b - ei - y[i] * di * k[i, i] - y[j] * dj * k[i, j]
-                b2 = b - ej - y[i] * di * k[i, j] - y[j] * dj * k[j, j]
-                a[i], a[j] = a[i] + di, new
-                f += y[i] * di * k[i] + y[j] * dj * k[j]
-                b = b1 if 0 < a[i] < self.C else b2 if 0 < a[j] < self.C else (b1 + b2) / 2
-                changed += 1
-            quiet = 0 if changed else quiet + 1
-            if quiet >= self.max_iter:
+        k, weight = self._k(x, x), np.zeros(len(y))  # weight: signed, between 0 and C times the label
+        lowest, highest = np.minimum(0.0, self.C * y), np.maximum(0.0, self.C * y)
+        slack, self.gap_ = y.copy(), 0.0  # label less score without bias
+        for _ in range(self.max_iter * len(y)):
+            rise, fall = np.where(weight < highest, slack, -np.inf), np.where(weight > lowest, slack, np.inf)
+            i, j = int(rise.argmax()), int(fall.argmin())
+            self.gap_ = float(rise[i] - fall[j])
+            if not self.gap_ > self.tol:
                 break
-        keep = a > 1e-5
-        self.support_vectors_, self.dual_coef_, self.b_ = x[keep], (a * y)[keep], float(b)
+            bend = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+            step = min(self.gap_ / bend, highest[i] - weight[i], weight[j] - lowest[j])
+            weight[i] = highest[i] if step == highest[i] - weight[i] else weight[i] + step
+            weight[j] = lowest[j] if step == weight[j] - lowest[j] else weight[j] - step
+            slack -= step * (k[i] - k[j])
+        free = (weight > lowest + 1e-9) & (weight < highest - 1e-9)
+        up, down = slack[weight < highest], slack[weight > lowest]
+        bias = slack[free].mean() if free.any() else (up.max(initial=-np.inf) + down.min(initial=np.inf)) / 2
+        keep = np.abs(weight) > 1e-9
+        self.support_vectors_, self.dual_coef_, self.b_ = x[keep], weight[keep], float(bias) if np.isfinite(bias) else 0.0
         return self
 
     def predict(self, df):

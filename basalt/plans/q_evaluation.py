@@ -94,27 +94,60 @@ def cross_val(spark, d):
     return rounded(rows(spark, list(enumerate(s)), "fold int, score double"), "score")
 
 
-@query("cross_validate")
+def _folds_sql(of: str, k: int, by: str = "") -> str:
+    """Each row of o as a test row of its fold, once for each fold k as h."""
+    return f"SELECT o.*, ntile({k}) OVER ({by}ORDER BY id) - 1 AS fold FROM {of} o"
+
+
+_CV = f"""{_O}, f AS ({_folds_sql('o', 3, 'PARTITION BY b ')}), h AS (SELECT unnest([0, 1, 2]) AS k),
+ c AS (SELECT k, b, avg(y) m0, var_pop(y) + 1e-9 v0, avg(s) m1, var_pop(s) + 1e-9 v1, ln(count(*)::DOUBLE) lp FROM f, h WHERE fold <> k GROUP BY k, b),
+ z AS (SELECT f.id, f.b, c.k, arg_max(c.b, lp - 0.5 * (ln(v0) + ln(v1) + (y - m0) * (y - m0) / v0 + (s - m1) * (s - m1) / v1)) AS pred FROM f JOIN c ON f.fold = c.k GROUP BY f.id, f.b, c.k),
+ t AS (SELECT k, avg((b = pred)::INT) AS acc, count(*) FILTER (b = 1 AND pred = 1) / (count(*) FILTER (pred = 1) + 1e-15) AS pr, count(*) FILTER (b = 1 AND pred = 1) / (count(*) FILTER (b = 1) + 1e-15) AS re FROM z GROUP BY k)
+ SELECT CAST(k AS INT) AS fold, 'accuracy' AS metric, round(acc, 6) AS score FROM t UNION ALL SELECT CAST(k AS INT), 'f1', round(2 * pr * re / (pr + re + 1e-15), 6) FROM t"""
+
+
+@query("cross_validate", _CV)
 def cross_validate(spark, d):
-    return sel.cross_validate(GaussianNB(["y", "s"], "b"), orders(spark, d), "id", 3, ["accuracy", "f1"]).select("fold", "metric", "score")
+    return rounded(sel.cross_validate(GaussianNB(["y", "s"], "b"), orders(spark, d), "id", 3, ["accuracy", "f1"]).select("fold", "metric", "score"), "score")
+
+
+_GRID = f"""{_O}, f AS ({_folds_sql('o', 3)}), h AS (SELECT unnest([0, 1, 2]) AS k), a AS (SELECT unnest([1.0, 1e7, 1e8])::DOUBLE AS alpha),
+ g AS (SELECT k, count(*)::DOUBLE n, sum(yhat) sx, sum(yhat * yhat) sxx, sum(y) sy, sum(yhat * y) sxy FROM f, h WHERE fold <> k GROUP BY k),
+ w AS (SELECT alpha, k, n, sx, sy, (n * sxy - sx * sy) / (n * (sxx + alpha) - sx * sx) AS wa FROM g, a),
+ t AS (SELECT alpha, k, 1 - sum(pow(y - wa * yhat - (sy - wa * sx) / n, 2)) / (var_pop(y) * count(*) + 1e-15) AS score FROM f JOIN w ON fold = k GROUP BY alpha, k),
+ m AS (SELECT alpha, avg(score) AS mean, stddev_pop(score) AS std FROM t GROUP BY alpha)
+ SELECT alpha, round(mean, 6) AS mean, round(std, 6) AS std, alpha = (SELECT arg_max(alpha, mean) FROM m) AS best FROM m"""
 
 
-@query("grid_search")
+@query("grid_search", _GRID)
 def grid(spark, d):
-    g = sel.GridSearchCV(RidgeRegression(["yhat"], "y"), {"alpha": [0.1, 1.0, 10.0]}, "id", 3, "r2").fit(orders(spark, d))
-    return rows(spark, [(r["params"]["alpha"], r["mean"], r["std"], r["params"] == g.best_params_) for r in g.cv_results_], "alpha double, mean double, std double, best boolean")
+    g = sel.GridSearchCV(RidgeRegression(["yhat"], "y"), {"alpha": [1.0, 1e7, 1e8]}, "id", 3, "r2").fit(orders(spark, d))
+    return rounded(rows(spark, [(r["params"]["alpha"], r["mean"], r["std"], r["params"] == g.best_params_) for r in g.cv_results_], "alpha double, mean double, std double, best boolean"), "mean", "std")
 
 
-@query("platt_scaler")
+_PLATT = f"{_O}, n AS (SELECT sum(b)::DOUBLE AS pos, sum(1 - b)::DOUBLE AS neg FROM o), g AS (SELECT s, CASE WHEN b = 1 THEN (pos + 1) / (pos + 2) ELSE 1 / (neg + 2) END AS t, count(*)::DOUBLE AS c FROM o, n GROUP BY s, b, pos, neg), w0 AS (SELECT 0.0::DOUBLE AS a, ln((neg + 1) / (pos + 1)) AS k FROM n)"
+for _i in range(10):  # Newton's steps, far more than it takes
+    _PLATT += f", q{_i} AS (SELECT a, k, s, t, c, 1 / (1 + exp(a * s + k)) AS p FROM g, w{_i}), h{_i} AS (SELECT any_value(a) AS a, any_value(k) AS k, sum(c * s * (t - p)) AS g1, sum(c * (t - p)) AS g2, sum(c * p * (1 - p) * s * s) AS h11, sum(c * p * (1 - p)) AS h22, sum(c * p * (1 - p) * s) AS h12 FROM q{_i})"
+    _PLATT += f", w{_i + 1} AS (SELECT a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12 + 1e-10) AS a, k - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12 + 1e-10) AS k FROM h{_i})"
+
+
+@query("platt_scaler", f"{_PLATT} SELECT id, round(1 / (1 + exp(a * s + k)), 6) AS calibrated FROM o, w10")
 def platt(spark, d):
     p = sel.PlattScaler("s", "b").fit(orders(spark, d))
-    return p.predict_proba(orders(spark, d)).select("id", "calibrated")
+    return rounded(p.predict_proba(orders(spark, d)).select("id", "calibrated"), "calibrated")
+
 
+# the least of the greatest means over the stretches that hold a score is what pooling violators comes to
+_ISO = f"""{_O}, g AS (SELECT s, row_number() OVER (ORDER BY s) AS i, sum(sum(b)) OVER (ORDER BY s) AS sb, sum(count(*)) OVER (ORDER BY s) AS sn, sum(b) AS b, count(*) AS n FROM o GROUP BY s),
+ st AS (SELECT a.i AS a, z.i AS z, (z.sb - a.sb + a.b)::DOUBLE / (z.sn - a.sn + a.n) AS m FROM g a JOIN g z ON a.i <= z.i),
+ v AS (SELECT i, max(least_m) AS fitted FROM (SELECT g.i, a, min(m) AS least_m FROM g JOIN st ON a <= g.i AND z >= g.i GROUP BY g.i, a) GROUP BY i)
+ SELECT id, round(fitted, 6) AS calibrated FROM o JOIN (SELECT s, i FROM g) USING (s) JOIN v USING (i)"""
 
-@query("isotonic_calibrator")
+
+@query("isotonic_calibrator", _ISO)
 def isotonic(spark, d):
     p = sel.IsotonicCalibrator("s", "b").fit(orders(spark, d))
-    return p.predict_proba(orders(spark, d)).select("id", "calibrated")
+    return rounded(p.predict_proba(orders(spark, d)).select("id", "calibrated"), "calibrated")
 
 
 @query("calibrated_classifier")
@@ -140,11 +173,12 @@ def mcnemar(spark, d):
 
 @query(
     "friedman_test",
-    f"{_O}, z AS (SELECT id, 0 i, -y v FROM o UNION ALL SELECT id, 1, -yhat FROM o UNION ALL SELECT id, 2, -s * 200 FROM o), r AS (SELECT i, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2.0 k FROM z), a AS (SELECT avg(k) r, count(*) n FROM r GROUP BY i) SELECT round(12.0 * max(n) / 12 * sum((r - 2) * (r - 2)), 6) AS statistic FROM a",
+    f"{_O}, z AS (SELECT id, 0 i, -y v FROM o UNION ALL SELECT id, 1, -yhat FROM o UNION ALL SELECT id, 2, -s * 200 FROM o), r AS (SELECT i, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2.0 k FROM z), a AS (SELECT avg(k) r, count(*) n FROM r GROUP BY i) SELECT round(12.0 * max(n) / 12 * sum((r - 2) * (r - 2)), 6) AS statistic, round(exp(-12.0 * max(n) / 12 * sum((r - 2) * (r - 2)) / 2), 6) AS p_value FROM a",
 )
 def friedman(spark, d):
     o = orders(spark, d).withColumn("s", F.col("s") * 200)
-    return row(spark, statistic=sel.friedman_test(o, ["y", "yhat", "s"], "id")["statistic"])
+    t = sel.friedman_test(o, ["y", "yhat", "s"], "id")
+    return row(spark, statistic=t["statistic"], p_value=t["p_value"])
 
 
 @query("five_by_two_cv_ttest")
@@ -153,11 +187,16 @@ def five(spark, d):
     return row(spark, statistic=sel.fivex2cv_ttest(GaussianNB(["u"], "b"), GaussianNB(["s"], "b"), o, "id")["statistic"])
 
 
-@query("decision_boundary_data")
+_MESH = f"""WITH l AS ({LINES_SQL}), c AS (SELECT status, avg(x0) m0, var_pop(x0) + 1e-9 v0, avg(x1) m1, var_pop(x1) + 1e-9 v1, ln(count(*)::DOUBLE) p FROM l GROUP BY status),
+ e AS (SELECT min(x0) - 0.5 a0, max(x0) + 0.5 b0, min(x1) - 0.5 a1, max(x1) + 0.5 b1 FROM l), g AS (SELECT i, j, a0 + i * ((b0 - a0) / 19) AS x0, a1 + j * ((b1 - a1) / 19) AS x1 FROM range(20) r(i), range(20) s(j), e)
+ SELECT round(any_value(x0), 6) AS x0, round(any_value(x1), 6) AS x1, arg_max(status, p - 0.5 * (ln(v0) + ln(v1) + (x0 - m0) * (x0 - m0) / v0 + (x1 - m1) * (x1 - m1) / v1)) AS prediction FROM g, c GROUP BY i, j"""
+
+
+@query("decision_boundary_data", _MESH)
 def boundary(spark, d):
     from ..operators.charts import decision_boundary_data
 
-    return decision_boundary_data(GaussianNB(["x0", "x1"], "status").fit(lines(spark, d)), lines(spark, d), "x0", "x1", 20).select("x0", "x1", "prediction")
+    return decision_boundary_data(GaussianNB(["x0", "x1"], "status").fit(lines(spark, d)), lines(spark, d), "x0", "x1", 20).select(F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"), "prediction")
 
 
 @query("learning_curve_data")

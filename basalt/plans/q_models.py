@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators import bayes, cluster, decomposition, linear, metrics, svm, trees
+from ..operators import bayes, cluster, decomposition, linear, metrics, svm
 from ..operators.pipeline import make_pipeline
 from ..operators.preprocess import StandardScaler
 from ..sources.tables import table
@@ -95,81 +95,35 @@ def logistic(spark, d):
     return row(spark, coef=float(m.coef_[0][0]), intercept=float(m.intercept_[0]))
 
 
-@query("logistic_regression_softmax")
-def logistic_softmax(spark, d):
-    f = lines(spark, d).withColumn("x", F.col("x0") / 50)
-    m = linear.LogisticRegression(["x", "x2"], "flag", multi_class="softmax", n_iter=5).fit(f)
-    return m.predict(f).groupBy("flag", "prediction").count()
+def _classes_sql(joint: bool, steps: int = 3) -> str:
+    """Gradient steps of the three-class problem from zero, unrolled; w/C covers the bias, C is 1 and the rate 0.1."""
+    out = f"WITH l AS (SELECT row_number() OVER () AS r, x0 / 50 AS x, x2, flag FROM ({LINES_SQL})), w0 AS (SELECT DISTINCT flag AS c, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS d FROM l)"
+    for i in range(steps):
+        p = "exp(z) / sum(exp(z)) OVER (PARTITION BY r)" if joint else "1 / (1 + exp(-z))"
+        out += f", z{i} AS (SELECT r, c, x, x2, flag, a, b, d, a + b * x + d * x2 AS z FROM l, w{i}), p{i} AS (SELECT *, {p} - (flag = c)::INT AS e FROM z{i})"
+        out += f", w{i + 1} AS (SELECT c, any_value(a) - 0.1 * (avg(e) + any_value(a)) AS a, any_value(b) - 0.1 * (avg(e * x) + any_value(b)) AS b, any_value(d) - 0.1 * (avg(e * x2) + any_value(d)) AS d FROM p{i} GROUP BY c)"
+    return f"{out} SELECT c AS flag, round(a, 6) AS a, round(b, 6) AS b, round(d, 6) AS d FROM w{steps}"
 
 
-@query("logistic_regression_ovr")
-def logistic_ovr(spark, d):
-    f = lines(spark, d).withColumn("x", F.col("x0") / 50)
-    m = linear.LogisticRegression(["x", "x2"], "flag", n_iter=5).fit(f)
-    return m.predict(f).groupBy("flag", "prediction").count()
+for _name, _how in (("logistic_regression_softmax", "softmax"), ("logistic_regression_ovr", "ovr")):
 
-
-@query("early_stopping", "SELECT 6::BIGINT AS stopped")
-def early_stopping(spark, d):
-    stop = linear.EarlyStopping(patience=3)
-    return row(spark, stopped=next(i for i, s in enumerate([5.0, 4.0, 3.0, 3.0, 3.1, 2.99995, 3.0], 0) if stop(s)) + 1)
-
-
-_STUMP = f"""WITH f AS ({PARTS_SQL}), a AS (SELECT count(*)::DOUBLE n, sum(price) s, sum(price * price) q FROM f),
- c AS (SELECT size x, sum(count(*)) OVER w::DOUBLE n, sum(sum(price)) OVER w s, sum(sum(price * price)) OVER w q, lead(size) OVER (ORDER BY size) nx FROM f GROUP BY size WINDOW w AS (ORDER BY size)),
- b AS (SELECT c.x, c.nx, c.n ln, c.s ls, a.n - c.n rn, a.s - c.s rs, (c.q - c.s * c.s / c.n) + (a.q - c.q - (a.s - c.s) * (a.s - c.s) / (a.n - c.n)) sse FROM c, a WHERE c.n < a.n ORDER BY sse, c.x LIMIT 1)"""
-
-
-@query("decision_tree", f"{_STUMP} SELECT round(x, 6) AS threshold, round(ls / ln, 6) AS left_value, round(rs / rn, 6) AS right_value FROM b")
-def decision_tree(spark, d):
-    t = trees.DecisionTree(["size"], "price", "regression", max_depth=1).fit(parts(spark, d)).tree_
-    return row(spark, threshold=t.threshold, left_value=t.left.value, right_value=t.right.value)
-
-
-@query("decision_tree_classifier")
-def decision_tree_classifier(spark, d):
-    f = parts(spark, d)
-    return trees.DecisionTree(["size", "price"], "label", max_depth=3).fit(f).predict(f).groupBy("label", "prediction").count()
-
-
-@query("random_forest")
-def random_forest(spark, d):
-    f = parts(spark, d)
-    m = trees.RandomForest(["size", "price"], "label", "id", 5, max_depth=3, oob_score=True).fit(f)
-    return m.predict(f).groupBy("label", "prediction").agg(F.count("*").alias("n"), F.round(F.avg(F.lit(m.oob_score_)), 6).alias("oob"))
-
-
-@query("gradient_boosting_regressor", f"{_STUMP} SELECT id, round(s / n + 0.1 * (CASE WHEN size <= x THEN ls / ln ELSE rs / rn END - s / n), 6) AS prediction FROM f, a, b")
-def gbr(spark, d):
-    f = parts(spark, d)
-    return rounded(trees.GradientBoostingRegressor(["size"], "price", 1, max_depth=1).fit(f).predict(f).select("id", "prediction"), "prediction")
+    @query(_name, _classes_sql(_how == "softmax"))
+    def logistic_classes(spark, d, how=_how):
+        f = lines(spark, d).withColumn("x", F.col("x0") / 50)
+        m = linear.LogisticRegression(["x", "x2"], "flag", multi_class=how, n_iter=3).fit(f)
+        return rounded(rows(spark, [(c, float(a), *map(float, w)) for c, a, w in zip(m.classes_, m.intercept_, m.coef_, strict=True)], "flag string, a double, b double, d double"), "a", "b", "d")
 
 
-def _hot(spark, d):
-    return parts(spark, d).withColumn("hot", (F.col("price") > 1400).cast("int"))
+_STOP = """WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY date_trunc('month', o_orderdate)) AS k, avg(o_totalprice) AS v FROM orders GROUP BY date_trunc('month', o_orderdate)),
+ r(k, best, misses) AS (SELECT 1::BIGINT, v, 0 FROM m WHERE k = 1 UNION ALL SELECT m.k, CASE WHEN v < best - 10 THEN v ELSE best END, CASE WHEN v < best - 10 THEN 0 ELSE misses + 1 END FROM r JOIN m ON m.k = r.k + 1)
+ SELECT CAST(coalesce(min(k) FILTER (misses >= 5), -1) AS BIGINT) AS stopped FROM r"""
 
 
-@query("gradient_boosting_classifier")
-def gbc(spark, d):
-    f = _hot(spark, d)
-    return trees.GradientBoostingClassifier(["size", "price"], "hot", 3, max_depth=2).fit(f).predict(f).groupBy("hot", "prediction").count()
-
-
-@query("xgb_classifier")
-def xgb(spark, d):
-    f = _hot(spark, d)
-    return trees.XGBoostClassifier(["size", "price"], "hot", 3, max_depth=2).fit(f).predict(f).groupBy("hot", "prediction").count()
-
-
-_XGB = f"""WITH f AS (SELECT size x, price / 1000 - 1.4 + size / 100 g FROM ({PARTS_SQL})), a AS (SELECT sum(g) g, count(*)::DOUBLE h FROM f),
- c AS (SELECT x, sum(sum(g)) OVER (ORDER BY x) gl, sum(count(*)) OVER (ORDER BY x)::DOUBLE hl, lead(x) OVER (ORDER BY x) nx FROM f GROUP BY x)
- SELECT round((x + nx) / 2, 6) AS threshold, round(0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)), 6) AS gain, round(-gl / (hl + 1), 6) AS left_value FROM c, a WHERE nx IS NOT NULL ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) DESC, x LIMIT 1"""
-
-
-@query("xgb_tree", _XGB)
-def xgb_tree(spark, d):
-    t = trees.xgb_tree(parts(spark, d), ["size"], F.col("price") / 1000 - 1.4 + F.col("size") / 100, F.lit(1.0), max_depth=1)
-    return row(spark, threshold=t.threshold, gain=t.gain, left_value=t.left.value)
+@query("early_stopping", _STOP)
+def early_stopping(spark, d):
+    months = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.avg("o_totalprice").alias("v")).orderBy("m").collect()
+    stop = linear.EarlyStopping(patience=5, min_delta=10)
+    return row(spark, stopped=next((i for i, r in enumerate(months, 1) if stop(r.v)), -1))
 
 
 _KM = f"WITH f AS (SELECT id, size, price / 100 AS price FROM ({PARTS_SQL})), c0 AS (SELECT * FROM (VALUES (0, 10.0::DOUBLE, 10.0::DOUBLE), (1, 25.0, 14.0), (2, 40.0, 18.0)) v(k, a, b))"
@@ -208,16 +162,35 @@ def dbscan(spark, d):
     return cluster.DBSCAN(["a", "b"], "id", 0.7, 4).fit_predict(f).select("id", "prediction")
 
 
-@query("gaussian_mixture", f"SELECT round(avg(size), 4) AS mean, round(var_pop(size) + 1e-6, 4) AS var FROM ({PARTS_SQL})")
-def gaussian_mixture(spark, d):
-    m = cluster.GaussianMixture(["size"], 1, init_means=[[20.0]]).fit(parts(spark, d))
-    return row(spark, 4, mean=float(m.means_[0][0]), var=float(m.covariances_[0][0][0]))
+def _mixture_sql(xs: list[str], starts: list[list[float]], steps: int) -> str:
+    """Steps of expectation and maximisation of a diagonal mixture with unit variances and equal weights at the start, unrolled."""
+    k, cols = len(starts), ", ".join(f"m{j}, v{j}" for j in range(len(xs)))
+    first = ", ".join(f"({i}, {1 / k}::DOUBLE, " + ", ".join(f"{m}::DOUBLE, 1.0::DOUBLE" for m in row) + ")" for i, row in enumerate(starts))
+    out = f"WITH f AS (SELECT id, size, price / 100 AS price FROM ({PARTS_SQL})), p0 AS (SELECT * FROM (VALUES {first}) t(k, w, {cols}))"
+    for i in range(steps):
+        log = " + ".join(f"-0.5 * (ln(2 * pi()) + ln(v{j}) + ({x} - m{j}) * ({x} - m{j}) / v{j})" for j, x in enumerate(xs))
+        means = ", ".join(f"sum(r * {x}) / n AS m{j}, sum(r * {x} * {x}) / n - (sum(r * {x}) / n) * (sum(r * {x}) / n) + 1e-6 AS v{j}" for j, x in enumerate(xs))
+        out += f", j{i} AS (SELECT f.*, p.k, ln(w) + {log} AS j FROM f, p{i} p), r{i} AS (SELECT *, exp(j - top) / sum(exp(j - top)) OVER (PARTITION BY id) AS r FROM (SELECT *, max(j) OVER (PARTITION BY id) AS top FROM j{i}))"
+        out += f", n{i} AS (SELECT *, sum(r) OVER (PARTITION BY k) + 1e-10 AS n, sum(r) OVER () AS nn FROM r{i}), p{i + 1} AS (SELECT k, any_value(n / nn) AS w, {means} FROM (SELECT k, {', '.join(xs)}, r, n, nn FROM n{i}) GROUP BY k, n)"
+    return out
 
 
-@query("gaussian_mixture_diag")
-def gaussian_mixture_diag(spark, d):
+_MIX = (("gaussian_mixture", ["size"], "full", [[15.0], [35.0]]), ("gaussian_mixture_diag", ["size", "price"], "diag", [[10.0, 12.0], [40.0, 16.0]]))
+for _name, _xs, _how, _starts in _MIX:
+
+    @query(_name, f"{_mixture_sql(_xs, _starts, 3)} SELECT k AS component, round(w, 4) AS w, " + ", ".join(f"round(m{j}, 4) AS m{j}, round(v{j}, 3) AS v{j}" for j in range(len(_xs))) + " FROM p3")
+    def gaussian_mixture(spark, d, xs=_xs, how=_how, starts=_starts):
+        m = cluster.GaussianMixture(xs, 2, how, 3, init_means=starts).fit(parts(spark, d).withColumn("price", F.col("price") / 100))
+        data = [(k, float(m.weights_[k]), *(float(v) for j in range(len(xs)) for v in (m.means_[k][j], m.covariances_[k][j][j]))) for k in range(2)]
+        names = [f"{a}{j}" for j in range(len(xs)) for a in "mv"]
+        out = rounded(rows(spark, data, "component int, w double, " + ", ".join(f"{n} double" for n in names)), "w", *(n for n in names if n[0] == "m"), digits=4)
+        return rounded(out, *(n for n in names if n[0] == "v"), digits=3)
+
+
+@query("gaussian_mixture_predict", f"{_mixture_sql(['size', 'price'], _MIX[1][3], 3)}, q AS (SELECT id, k, ln(w) - 0.5 * (ln(v0) + ln(v1) + (size - m0) * (size - m0) / v0 + (price - m1) * (price - m1) / v1) AS j FROM f, p3) SELECT id, arg_max(k, j) AS prediction FROM q GROUP BY id")
+def gaussian_mixture_predict(spark, d):
     f = parts(spark, d).withColumn("price", F.col("price") / 100)
-    return cluster.GaussianMixture(["size", "price"], 2, "diag", 5, init_means=[[10.0, 12.0], [40.0, 16.0]]).fit(f).predict(f).groupBy("prediction").count()
+    return cluster.GaussianMixture(["size", "price"], 2, "diag", 3, init_means=_MIX[1][3]).fit(f).predict(f).select("id", "prediction")
 
 
 _COV = f"SELECT var_samp(size) a, var_samp(p) c, covar_samp(size, p) b FROM (SELECT size, price / 100 p FROM ({PARTS_SQL}))"
@@ -229,11 +202,15 @@ def pca(spark, d):
     return row(spark, v0=m.explained_variance_[0], v1=m.explained_variance_[1])
 
 
-@query("pca_round_trip", f"SELECT id, round(size, 6) AS size, round(price, 6) AS price FROM ({PARTS_SQL})")
+_AXIS = f"WITH f AS (SELECT id, size, price / 100 AS p FROM ({PARTS_SQL})), c AS ({_COV}), v AS (SELECT b / sqrt(b * b + (l - a) * (l - a)) AS v0, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS v1 FROM (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM c)), m AS (SELECT avg(size) AS m0, avg(p) AS m1 FROM f)"
+
+
+@query("pca_round_trip", f"{_AXIS} SELECT id, round(m0 + v0 * (v0 * (size - m0) + v1 * (p - m1)), 4) AS size, round(m1 + v1 * (v0 * (size - m0) + v1 * (p - m1)), 4) AS p FROM f, v, m")
 def pca_round_trip(spark, d):
-    f = parts(spark, d)
-    m = decomposition.PCA(["size", "price"], whiten=False).fit(f)
-    return rounded(m.inverse_transform(m.transform(f)).select("id", "size", "price"), "size", "price")
+    """To the first component and back."""
+    f = parts(spark, d).withColumn("p", F.col("price") / 100)
+    m = decomposition.PCA(["size", "p"], 1, whiten=False).fit(f)
+    return rounded(m.inverse_transform(m.transform(f).select("id", "pc0")).select("id", "size", "p"), "size", "p", digits=4)
 
 
 @query("truncated_svd", f"SELECT round(sqrt((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)), 4) AS s0, round(sqrt((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b)), 4) AS s1 FROM (SELECT sum(size * size) a, sum(p * p) c, sum(size * p) b FROM (SELECT size, price / 100 p FROM ({PARTS_SQL})))")
@@ -252,7 +229,7 @@ def nmf(spark, d):
 @query("tsne")
 def tsne(spark, d):
     f = suppliers(spark, d).na.fill(0.0)
-    return decomposition.TSNE(["a", "b", "c"], "id", perplexity=8, n_iter=60).fit_transform(f)
+    return decomposition.TSNE(["a", "b", "c"], "id", perplexity=8).fit_transform(f)
 
 
 def _signed(spark, d):
@@ -263,19 +240,19 @@ def _signed(spark, d):
 @query("svc")
 def svc(spark, d):
     f = _signed(spark, d)
-    return svm.SVC(["a", "b"], "label", gamma=0.5, hard_limit=20).fit(f).predict(f).groupBy("label", "prediction").count()
+    return svm.SVC(["a", "b"], "label", gamma=0.5).fit(f).predict(f).groupBy("label", "prediction").count()
 
 
 @query("svc_linear")
 def svc_linear(spark, d):
     f = _signed(spark, d)
-    return svm.SVC(["a", "b"], "label", kernel="linear", hard_limit=20).fit(f).predict(f).groupBy("label", "prediction").count()
+    return svm.SVC(["a", "b"], "label", kernel="linear").fit(f).predict(f).groupBy("label", "prediction").count()
 
 
 @query("svr")
 def svr(spark, d):
     f = _signed(spark, d)
-    return svm.SVR(["a"], "b", max_iter=20).fit(f).predict(f).select("a", "prediction")
+    return svm.SVR(["a"], "b").fit(f).predict(f).select("a", "prediction")
 
 
 @query("pipeline_predict", f"WITH f AS ({PARTS_SQL}) SELECT id, round((SELECT regr_intercept(price, size) FROM f) + size * (SELECT regr_slope(price, size) FROM f), 4) AS prediction FROM f")

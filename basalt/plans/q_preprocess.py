@@ -137,11 +137,11 @@ def select_k_best(spark, d):
     return rows(spark, [(f,) for f in pre.SelectKBest(XS, "flag", k=2).fit(lines(spark, d)).get_support()], "feature string")
 
 
-@query("rfe")
+@query("rfe", f"WITH c AS (SELECT count(*) * var_pop(x0) + 1 AS a, count(*) * covar_pop(x0, x2) AS b, count(*) * var_pop(x2) + 1 AS d, count(*) * covar_pop(x0, x1) AS p, count(*) * covar_pop(x2, x1) AS q FROM ({LINES_SQL})), w AS (SELECT abs(d * p - b * q) > abs(a * q - b * p) AS first FROM c) SELECT 'x0' AS feature, CASE WHEN first THEN 1 ELSE 2 END AS ranking FROM w UNION ALL SELECT 'x2', CASE WHEN first THEN 2 ELSE 1 END FROM w")
 def rfe(spark, d):
     from ..operators.linear import RidgeRegression
 
-    r = pre.RFE(RidgeRegression(["x0", "x2", "x3"], "x1"), 1).fit(lines(spark, d))
+    r = pre.RFE(RidgeRegression(["x0", "x2"], "x1"), 1).fit(lines(spark, d))
     return rows(spark, sorted(r.ranking_.items()), "feature string, ranking int")
 
 
@@ -210,12 +210,10 @@ def impurity(spark, d):
 
 @query("information_gain", f"WITH o AS ({ORDERS_SQL}), e AS (SELECT g, count(*) n, -sum(p * log2(p)) * 1.0 h FROM (SELECT 0 g, b, count(*) / sum(count(*)) OVER () p FROM o GROUP BY b) GROUP BY g), k AS (SELECT side, sum(c) n, -sum(c / t * log2(c / t)) h FROM (SELECT s <= 0.5 side, b, count(*)::DOUBLE c, sum(count(*)) OVER (PARTITION BY s <= 0.5) t FROM o GROUP BY s <= 0.5, b) GROUP BY side) SELECT round(max(e.h) - sum(k.n * k.h) / sum(k.n), 6) AS gain FROM e, k")
 def information_gain(spark, d):
-    n = lambda c: [F.sum((F.lit(True) if c is None else c).cast("double") * (F.col("b") == v).cast("double")) for v in (0, 1)]
+    n = lambda c: F.array(*(F.sum((c & (F.col("b") == v)).cast("double")) for v in (0, 1)))
     left = F.col("s") <= 0.5
-    r = orders(spark, d).agg(F.array(*n(None)).alias("y"), F.array(*n(left)).alias("l"), F.array(*n(~left)).alias("r"))
-    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-    h = lambda c: expr.entropy(F.transform(c, lambda x: x / size(c)))
-    return r.select(F.round(h("y") - (size("l") * h("l") + size("r") * h("r")) / size("y"), 6).alias("gain"))
+    r = orders(spark, d).agg(n(F.lit(True)).alias("y"), n(left).alias("l"), n(~left).alias("r"))
+    return r.select(F.round(expr.information_gain(F.col("y"), F.col("l"), F.col("r")), 6).alias("gain"))
 
 
 @query("penalties", f"WITH o AS ({ORDERS_SQL}) SELECT id, round(abs(s) + abs(y), 6) AS l1, round((s * s + y * y) / 2000, 6) AS l2, round((0.3 * (abs(s) + abs(y)) + 0.7 * (s * s + y * y) / 2) / 1000, 6) AS en, round(0.3 * sign(y) + 0.7 * y, 6) AS g FROM o")
@@ -286,11 +284,17 @@ def mini_batches(spark, d):
     return optim.mini_batches(orders(spark, d), "id", 64, shuffle=False).select("batch", "id")
 
 
-@query("run_epoch")
+_EPOCH = f"""WITH RECURSIVE f AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 64 AS k, size / 50 AS x, size / 25 + (id % 5) / 10.0 AS t FROM ({PARTS_SQL})), b AS (SELECT k, avg(x * x) AS xx, avg(x * t) AS xt, avg(t * t) AS tt FROM f GROUP BY k),
+ r(k, w, loss) AS (SELECT -1::BIGINT, 0.0::DOUBLE, NULL::DOUBLE UNION ALL SELECT b.k, w - 0.1 * 2 * (w * xx - xt), w * w * xx - 2 * w * xt + tt FROM r JOIN b ON b.k = r.k + 1)
+ SELECT round(arg_max(w, k), 6) AS w, round(avg(loss), 6) AS loss FROM r"""
+
+
+@query("run_epoch", _EPOCH)
 def run_epoch(spark, d):
     loss = lambda x, y, p: ((x[:, 0] * p["w"] - y) ** 2).mean()
     grad = lambda x, y, p: {"w": np.array([2 * ((x[:, 0] * p["w"] - y) * x[:, 0]).mean()])}
-    p, mean = optim.run_epoch(parts(spark, d).withColumn("x", F.col("size") / 50).withColumn("t", F.col("size") / 25), "id", ["x"], "t", loss, grad, {"w": np.zeros(1)}, optim.SGD(0.1), 64)
+    f = parts(spark, d).withColumn("x", F.col("size") / 50).withColumn("t", F.col("size") / 25 + (F.col("id") % 5) / 10)
+    p, mean = optim.run_epoch(f, "id", ["x"], "t", loss, grad, {"w": np.zeros(1)}, optim.SGD(0.1, 0.0), 64, shuffle=False)
     return row(spark, w=float(p["w"][0]), loss=mean)
 
 

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import q_evaluation, q_models, q_preprocess  # noqa: E402,F401
+from . import q_evaluation, q_models, q_preprocess, q_trees  # noqa: E402,F401

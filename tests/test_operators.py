@@ -113,7 +113,13 @@ def test_boosting(binary, regression):
 def test_svm(binary, regression):
     signed = binary.limit(80).withColumn("label", 2 * F.col("label") - 1)
     for kernel in ("rbf", "linear"):
-        assert svm.SVC(X, "label", kernel=kernel, gamma=0.3, hard_limit=30).fit(signed).score(signed) > 0.7
+        m = svm.SVC(X, "label", kernel=kernel, gamma=0.3, tol=1e-6).fit(signed)
+        assert m.score(signed) > 0.7 and m.gap_ <= 1e-6
+        x, y = (signed.toPandas()[c].to_numpy(float) for c in (X, "label"))
+        f = svm.kernel_matrix(x, m.support_vectors_, kernel, 0.3) @ m.dual_coef_ + m.b_
+        # strong duality: the margin's loss and the dual's value meet at the optimum
+        norm = m.dual_coef_ @ svm.kernel_matrix(m.support_vectors_, m.support_vectors_, kernel, 0.3) @ m.dual_coef_
+        assert norm / 2 + np.maximum(0, 1 - y * f).sum() == pytest.approx(np.abs(m.dual_coef_).sum() - norm / 2, rel=1e-4)
     with pytest.raises(ValueError):
         svm.SVC(X, "label").fit(binary)
     assert svm.SVR(X, "label", C=10, kernel="linear").fit(regression).score(regression) > 0.9
@@ -145,6 +151,19 @@ def test_starts_on_repeated_points(spark):
     assert cluster.MiniBatchKMeans(f, 4, 50, 5).fit(four).inertia_ < 4000
 
 
+def test_smote_points_lie_between_neighbours(spark, blobs):
+    few = blobs.filter("label > 0 or row_id < 36").withColumn("label", (F.col("label") > 0).cast("int"))
+    base = few.filter("label = 0").toPandas()[["x0", "x1"]].to_numpy()
+    out = pre.SMOTE(["x0", "x1"], "label", "row_id", 3).fit_resample(few).filter("label = 0").toPandas()[["x0", "x1"]].to_numpy()
+    d = ((base[:, None] - base[None]) ** 2).sum(-1)
+    near = np.argsort(d + np.eye(len(base)) * 1e9, axis=1)[:, :3]
+    ends = [(base[i], base[j]) for i in range(len(base)) for j in near[i]]
+    for p in out:
+        best = min(np.linalg.norm(p - a - np.clip((p - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1) * (b - a)) for a, b in ends)
+        assert best < 1e-9
+    assert len(out) == 100
+
+
 def test_numbering_in_ranges(spark, binary):
     from basalt.operators import optim
     from basalt.operators.base import add_bias, numbered, running

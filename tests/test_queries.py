@@ -30,3 +30,9 @@ def test_against_duckdb(spark, duck, name):
     assert ours[0] == theirs[0] and len(ours[1]) == len(theirs[1])
     for a, b in zip(ours[1], theirs[1]):
         assert all(x == y or (isinstance(x, float) and abs(x - y) <= 2e-4 * max(1, abs(y))) for x, y in zip(a, b)), (a, b)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_runs(spark, name):
+    out = registry.QUERIES[name](spark, FOLDER).toPandas()
+    assert len(out) and len(set(out.columns)) == len(out.columns)
