@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import BROADCAST_IDS, Workspace
+from .workspace import BROADCAST_IDS, Workspace, spread_join
 
 #: Shorter lines recur by chance and are left alone.
 LEAST_TOKENS = 4
@@ -30,6 +30,8 @@ PART, OWN, GROUP, MARKED = 5, 0.1, 0.5, 0.5
 #: Part of a leaf's lines that a token needs to stand in the template, and part of a template's tokens that must be fixed words.
 MAJORITY, FIXED = 0.5, 0.6
 FIELD = "<*>"
+#: Bytes of the list of lines to drop, up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def _words(tokens: Column) -> Column:
@@ -44,94 +46,107 @@ def _tokens(line: Column) -> Column:
     return F.coalesce(F.when(line.rlike("[0-9]"), general), F.split(line, " "))
 
 
-def _key(tokens: Column) -> Column:
-    """Hash of a line; null where it is too short."""
-    return F.when(F.size(tokens) >= LEAST_TOKENS, F.xxhash64(tokens))
-
-
 def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD))
 
 
-def _line(tokens: Column) -> Column:
-    """A line's hash, key and leaf, whether it is long, and the hashes of its first and last words; of all, where they are few."""
+def _line(line: Column, tokens: Column) -> Column:
+    """Hashes of a line as it stands and of its tokens, its leaf, its size, and the hashes of its first and last words; of all, where they are few."""
     n = F.size(tokens)
     size = F.when(n < LEAST_TOKENS, n).otherwise(F.least(F.lit(PART), F.floor(n / 2).cast("int")))
     head, tail = F.xxhash64(F.lit(0), F.slice(tokens, F.lit(1), size)), F.xxhash64(F.lit(1), F.slice(tokens, n - size + 1, size))
-    return F.struct(F.xxhash64(tokens).alias("line"), _key(tokens).alias("key"), _leaf(tokens).alias("leaf"), (n >= LONG).alias("long"), (n > 1).alias("told"), head.alias("head"), tail.alias("tail"))
-
-
-def _families(seen: DataFrame, work: Workspace) -> DataFrame:
-    """(text_key, family, mostly) of every text in (text_key, line, head, tail): family is null where it counts for nothing, mostly tells a mostly original text."""
-    rows = seen.select("text_key", "line", F.explode(F.array("head", "tail")).alias("part"))
-    again = rows.select("text_key", "part").distinct().groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    lines = rows.join(again.hint("merge"), "part", "left").groupBy("text_key", "line").agg(F.max(F.when(F.col("n").isNotNull(), F.struct("n", "part"))).alias("x"))
-    texts = lines.groupBy("text_key").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list("x")).alias("shared"))
+    return F.struct(F.xxhash64(line).alias("raw"), F.xxhash64(tokens).alias("key"), _leaf(tokens).alias("leaf"), n.alias("n"), head.alias("head"), tail.alias("tail"))
+
+
+def _families(texts: DataFrame, work: Workspace) -> DataFrame:
+    """(text_key, family, mostly) of every text: family is null where it counts for nothing, mostly tells a mostly original text."""
+    of = lambda c: F.transform("lines", lambda x: x[c])
+    again = texts.select(F.explode(F.array_distinct(F.concat(of("head"), of("tail")))).alias("part")).groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    again = work.save(again.withColumn("rows", F.col("n")))
+    rows = texts.select("text_key", F.explode("lines").alias("x")).select("text_key", "x.key", F.explode(F.array("x.head", "x.tail")).alias("part"))
+    lines = spread_join(rows, again, ["part"], "rows", "inner").repartition("text_key").groupBy("text_key", "key").agg(F.max(F.struct("n", "part")).alias("x"))
+    shared = lines.groupBy("text_key").agg(F.array_sort(F.collect_list("x")).alias("shared"))
+    texts = texts.select("text_key", F.size(F.array_distinct(of("key"))).alias("lines")).join(shared.hint("merge"), "text_key", "left")
+    texts = texts.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<n: bigint, part: bigint>>")))
     middle = F.get("shared", F.floor(F.size("shared") / 2).cast("int"))["n"]
     like = F.filter("shared", lambda x: (2 * x["n"] >= F.col("middle")) & (x["n"] <= 2 * F.col("middle")))
     texts = texts.withColumn("middle", middle).withColumn("mark", F.array_min(F.transform(like, lambda x: F.struct(F.xxhash64(x["part"]).alias("part"), x["n"].alias("n")))))
     own = F.col("lines") - F.size("shared")
     texts = work.save(texts.select("text_key", "mark.part", "mark.n", (own >= F.greatest(F.lit(1), OWN * F.col("lines"))).alias("own"), (own >= MOSTLY * F.col("lines")).alias("mostly")))
-    groups = texts.groupBy("part").agg(F.count("*").alias("texts"), F.sum(F.col("own").cast("int")).alias("owns"))
-    free = F.col("own") & (F.col("part").isNull() | (F.col("owns") >= GROUP * F.col("texts")))
-    family = F.when(free, F.col("text_key")).when(F.col("texts") >= MARKED * F.col("n"), F.col("part"))
-    return texts.join(groups.hint("merge"), "part", "left").select("text_key", family.alias("family"), "mostly")
+    groups = work.save(texts.filter("part is not null").groupBy("part").agg(F.count("*").alias("texts"), F.sum(F.col("own").cast("int")).alias("owns"), F.count("*").alias("rows")))
+    free = F.col("own") & (F.col("mark").isNull() | (F.col("owns") >= GROUP * F.col("texts")))
+    family = F.when(free, F.col("text_key")).when(F.col("texts") >= MARKED * F.col("n"), F.col("mark"))
+    # a text without a mark gets a key of its own, so that such texts don't meet in one task
+    texts = texts.select("text_key", F.col("part").alias("mark"), F.coalesce("part", "text_key").alias("part"), "n", "own", "mostly")
+    return spread_join(texts, groups, ["part"], "rows").select("text_key", family.alias("family"), "mostly")
 
 
-def _templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(leaf, key, template): lines of the given leaves that agree with their leaf's template."""
-    small = leaves.count() <= BROADCAST_IDS
-    rows = lines.join(F.broadcast(leaves) if small else leaves, "leaf").groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))
+def _templates(rows: DataFrame, leaves: DataFrame, work: Workspace) -> DataFrame:
+    """(leaf, key, template) from the different lines (leaf, key, tokens) of the leaves: those that agree with their leaf's template."""
     votes = rows.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     best = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("all"))
     field = F.when(F.col("n") > MAJORITY * F.col("all"), F.col("token")).otherwise(FIELD)
-    shape = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", field.alias("token")))).alias("shape"))
-    shape = shape.select("leaf", F.transform("shape", lambda x: x["token"]).alias("shape"), F.xxhash64("leaf", F.lit("template")).alias("template"))
-    shape = shape.filter(_words(F.col("shape")) >= FIXED * F.size("shape"))
+    shape = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", field.alias("token")))).alias("shape"), F.max("all").alias("rows"))
+    shape = shape.select("leaf", F.transform("shape", lambda x: x["token"]).alias("shape"), F.xxhash64("leaf", F.lit("template")).alias("template"), "rows")
+    shape = work.save(shape.filter(_words(F.col("shape")) >= FIXED * F.size("shape")))
     fits = F.forall(F.zip_with("tokens", "shape", lambda a, b: (a == b) | (b == FIELD)), lambda x: x)
-    return rows.join(shape, "leaf").filter(fits).select("leaf", "key", "template")
+    return spread_join(rows, shape, ["leaf"], "rows", "inner").filter(fits).select("leaf", "key", "template")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it is counted to be small: for tables of a few numbers a row."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def boilerplate(spark: SparkSession, docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(text_key, keys): for each text that holds any, its line keys under recurring templates; and the table of recurring line keys."""
-    texts = docs.select(F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines")).filter("text_key is not null")
-    told = texts.select("text_key", F.explode(F.transform(F.transform("lines", _tokens), _line)).alias("x")).filter("x.told")
-    every = work.save(told.select("text_key", "x.line", "x.key", "x.leaf", "x.long", "x.head", "x.tail").distinct())
-    families = _families(every, work)
-    seen = work.save(every.filter("key is not null").select("text_key", "key", "leaf", "long").join(families.hint("merge"), "text_key"))
+def boilerplate(spark: SparkSession, docs: DataFrame, work: Workspace) -> DataFrame:
+    """(text_key, raws, copies): for each different text that holds any, the hashes of its lines under recurring templates, and its copies."""
+    raw = docs.filter("text is not null").select(F.xxhash64("text").alias("text_key"), F.array_distinct(F.split("text", "\n")).alias("lines"))
+    told = F.filter(F.transform(F.transform("lines", lambda x: F.struct(x.alias("line"), _tokens(x).alias("tokens"))), lambda x: _line(x["line"], x["tokens"])), lambda x: x["n"] > 1)
+    texts = work.save(raw.select("text_key", told.alias("lines")).groupBy("text_key").agg(F.first("lines").alias("lines"), F.count("*").alias("copies")))
+    families = _families(texts.select("text_key", "lines"), work)
+    keyed = texts.select("text_key", F.filter("lines", lambda x: x["n"] >= LEAST_TOKENS).alias("lines")).filter(F.size("lines") > 0)
+    seen = keyed.join(families.hint("merge"), "text_key").select("text_key", "family", "mostly", F.explode("lines").alias("x"))
+    seen = work.save(seen.select("text_key", "family", "mostly", "x.raw", "x.key", "x.leaf", (F.col("x.n") >= LONG).alias("long")))
+    forms = seen.groupBy("leaf", "key", "family").agg(F.max("long").alias("long"), F.max(F.col("mostly") & (F.col("family") == F.col("text_key"))).alias("mostly"), F.min("text_key").alias("text_key"))
+    forms = work.save(forms)
     # a leaf that may generalise: several different lines, in enough families
-    forms = seen.groupBy("leaf", "key", "family").agg(F.max("long").alias("long"))
-    lone = forms.groupBy("leaf", "key").agg(F.count("family").alias("families"), F.max("long").alias("long")).groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("families").alias("families"), F.max("long").alias("long"))
+    lone = work.save(forms.groupBy("leaf", "key").agg(F.count("family").alias("families"), F.max("long").alias("long"), F.min("text_key").alias("text_key")))
     enough = F.col("families") >= F.when(F.col("long"), LEAST_LONG).otherwise(LEAST_TEXTS)
-    leaves = work.save(lone.filter((F.col("lines") > 1) & enough).select("leaf"))
-    tokens = texts.select(F.explode(F.transform("lines", _tokens)).alias("tokens")).select("tokens", _leaf(F.col("tokens")).alias("leaf"), _key(F.col("tokens")).alias("key"))
-    grown = work.save(_templates(tokens.filter("key is not null"), leaves))
-    under = seen.join(grown, ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key"))
-    spread = under.groupBy("template", "family").agg(F.max("long").alias("long"), F.max(F.col("mostly") & (F.col("family") == F.col("text_key"))).alias("mostly"))
+    leaves = work.save(lone.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("families").alias("families"), F.max("long").alias("long")).filter((F.col("lines") > 1) & enough).select("leaf"))
+    # each of their lines is read again in one text that holds it
+    there = work.save(lone.join(_small(leaves), "leaf", "left_semi").select("text_key").distinct())
+    tokens = raw.join(_small(there), "text_key", "left_semi").select(F.explode(F.transform("lines", _tokens)).alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
+    tokens = tokens.select("tokens", _leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("key")).join(_small(leaves), "leaf", "left_semi")
+    grown = work.save(_templates(work.save(tokens.groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))), leaves, work))
+    under = forms.join(_small(grown), ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key"))
+    spread = under.groupBy("template", "family").agg(F.max("long").alias("long"), F.max("mostly").alias("mostly"))
     spread = spread.groupBy("template").agg(F.count("family").alias("families"), F.max("long").alias("long"), F.count(F.when(F.col("mostly"), 1)).alias("mostly"))
     common = spread.filter((F.col("families") >= LEAST_TEXTS) | (F.col("long") & (F.col("mostly") >= LEAST_LONG))).select("template")
     drop = work.save(under.select("key", "template").distinct().join(common, "template").select("key").distinct())
-    small = drop.count() <= BROADCAST_IDS
-    held = seen.select("text_key", "key").join(F.broadcast(drop) if small else drop, "key")
-    return work.save(held.groupBy("text_key").agg(F.collect_set("key").alias("keys"))), drop
+    held = seen.select("text_key", "raw", "key").join(_small(drop), "key", "left_semi").groupBy("text_key").agg(F.collect_set("raw").alias("raws"))
+    return work.save(held.join(texts.select("text_key", "copies"), "text_key"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with its text cut, and n_lines and n_dropped added (they replace columns of these names).
 
     A null text stays null with no lines; an empty one has one empty line, which stays. Lines of fewer than LEAST_TOKENS
-    tokens stay. Repeated rows and copies are one text for the counts and lose the same lines. Every line of a text is
-    parsed, however long the text. An empty table gives no rows.
+    tokens stay. Repeated rows and copies are one text for the counts and lose the same lines; texts are told apart by a
+    64-bit hash. Every line of a text is parsed, however long the text. An empty table gives no rows. Texts are moved only
+    where the list of lines to drop is beyond BROADCAST_BYTES; a text with many copies then goes to several tasks.
     """
     work = Workspace(spark)
     docs = docs.drop("n_lines", "n_dropped")
-    held, _ = boilerplate(spark, docs.select("text"), work)
-    held = held.select("text_key", "keys")
-    rows = docs.withColumn("_k", F.xxhash64("text")).join(held.withColumnRenamed("text_key", "_k").withColumnRenamed("keys", "_keys").hint("merge"), "_k", "left")
-    lines = F.split("text", "\n")
-    gone = lambda key: F.coalesce(F.array_contains(F.col("_keys"), key), F.lit(False))
-    kept = F.filter(lines, lambda x: ~gone(F.get(F.transform(F.array(_tokens(x)), _key), F.lit(0))))
-    rows = rows.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept))
+    held = boilerplate(spark, docs.select("text"), work).withColumnRenamed("text_key", "_k").withColumnRenamed("raws", "_raws")
+    size = held.agg(F.count("*"), F.sum(F.size("_raws"))).first()
+    # a null text has a key of its own row, as all of them would meet in one task
+    rows = docs.withColumn("_k", F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    if 40 * size[0] + 8 * (size[1] or 0) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(held.drop("copies")), "_k", "left")
+    else:
+        rows = spread_join(rows, held, ["_k"], "copies")
+    cut = F.col("_raws").isNotNull() & F.col("text").isNotNull()
+    rows = rows.withColumn("_kept", F.when(cut, F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_raws", F.xxhash64(x)))))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
     left = F.when(F.col("_kept").isNotNull(), F.size("_kept").cast("long")).otherwise(n)
     rows = rows.withColumns({"n_lines": n, "n_dropped": n - left})
@@ -139,5 +154,6 @@ def drop_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: n_lines, n_dropped and the digest of what is left; nulls, ties and repeats as in drop_lines()."""
     out = drop_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))

@@ -17,7 +17,7 @@ BATCH_ROWS = 2000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, as a text is much larger than the rows that the default is made for."""
+    """Smaller Arrow batches for the rest of this session, as a text is much larger than the rows that the default is made for. A plan reads the setting when it runs, so it can't be taken back here."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_ROOTS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that operators of this driver have saved. Results that were not written before can't be read any more."""
+    jvm = spark._jvm
+    while _ROOTS:
+        path = jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Written tables that cut lineage; they outlive lost executors because the folder is shared."""
 
@@ -42,6 +53,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -75,8 +87,6 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     total = right.agg(F.sum(weight)).first()[0] or 0
     bar = max(HOT_ROWS, -(-total // BROADCAST_IDS))
     hot = right.filter(F.col(weight) > bar).select(*keys, F.ceil(F.col(weight) / bar).cast("int").alias("_parts"))
-    if not hot.limit(1).count():
-        return left.join(right.drop(weight), keys, how)
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
     left = left.join(F.broadcast(hot), keys, "left").withColumn("_part", place).drop("_parts")
     parts = F.when(F.col(weight) > bar, F.ceil(F.col(weight) / bar).cast("int")).otherwise(1)
