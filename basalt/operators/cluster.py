@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..sources.workspace import checkpoints
-from .base import Operator
+from .base import Operator, numbered
+
+#: Points of a slice of a dense grid cell at least, and cells that may be cut into slices.
+SLICE_POINTS, SLICED_CELLS = 2000, 500_000
 
 
 def _point(features):
@@ -133,11 +136,43 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         lab = new.select("node", "comp")
 
 
+def _met(pts: DataFrame, cells: list, n: int, found, schema: str, extra: list[str]) -> DataFrame:
+    """found(a, b, same) over blocks of points (id, x, cell, extra) of equal or adjacent cells; same tells that both are one cell.
+
+    A cell of many points is cut into slices, each pair of which is a block of its own, so no task holds a dense cell and no
+    pair is a row. Slices hold so many points that at most SLICED_CELLS cells need them, which are broadcast.
+    """
+    bar = max(SLICE_POINTS, -(-n // SLICED_CELLS))
+    hot = pts.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > bar).select("cell", F.ceil(F.col("n") / bar).cast("int").alias("parts"))
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(cells))))
+    near = pts.withColumn("other", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda a, b: a + b))))
+    near = near.join(F.broadcast(hot), "cell", "left").join(F.broadcast(hot.select(F.col("cell").alias("other"), F.col("parts").alias("theirs"))), "other", "left")
+    own = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("theirs", F.lit(1)) - 1))
+    side = lambda k, first, second, i, j: near.filter(F.col(first) <= F.col(second)).select(F.lit(k).alias("side"), F.col(first).alias("ca"), F.col(second).alias("cb"), i.alias("i"), j.alias("j"), "id", "x", *extra)
+    both = side(0, "cell", "other", own, each).union(side(1, "other", "cell", each, own))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        return found(a, b, list(pdf["ca"].iloc[0]) == list(pdf["cb"].iloc[0]))
+
+    return both.groupBy("ca", "cb", "i", "j").applyInPandas(run, schema)
+
+
+def _within(a: pd.DataFrame, b: pd.DataFrame, eps: float):
+    """(rows of a, whether each point of b lies within eps of them), some rows at a time."""
+    if len(a) and len(b):
+        x, y = (np.array(c["x"].tolist(), float) for c in (a, b))
+        for k in range(0, len(x), 256):
+            yield slice(k, k + 256), ((x[k : k + 256, None] - y[None]) ** 2).sum(axis=2) <= eps * eps * (1 + 1e-12)
+
+
 class DBSCAN(Operator):
-    """Neighbours within eps, found by an equi-join of grid cells of that width (up to three dimensions of the grid).
+    """Neighbours within eps, found between points of equal or adjacent grid cells of that width (up to three dimensions of the grid).
 
     A point counts itself; clusters are numbered by their first core's row_id; a border point joins the cluster with the
-    smallest number; noise is -1. The cosine metric compares unit vectors at the equivalent Euclidean radius.
+    smallest number; noise is -1. The cosine metric compares unit vectors at the equivalent Euclidean radius. row_id must be
+    distinct integers.
     """
 
     kind = "clusterer"
@@ -152,24 +187,60 @@ class DBSCAN(Operator):
         if self.metric == "cosine":
             norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)) + 1e-10
             x, eps = F.transform(x, lambda v: v / norm), (2 * self.eps) ** 0.5
-        d = min(3, len(self.features))
-        pts = df.select(F.col(self.row_id).alias("id"), x.alias("x"))
-        cell = lambda c: [F.floor(c[i] / eps) for i in range(d)]
-        one = pts.select("id", "x", F.array(*cell(F.col("x"))).alias("cell"))
-        steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=d)))
-        two = pts.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.explode(F.transform(steps, lambda s: F.zip_with(F.array(*cell(F.col("x"))), s, lambda a, b: a + b))).alias("cell"))
-        dist = F.aggregate(F.zip_with("x", "x2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-        near = one.join(two, "cell").filter(dist <= eps * eps * (1 + 1e-12)).select("id", "id2").checkpoint()
-        core = near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_samples).select("id").checkpoint()
-        inner = near.join(core, "id").join(core.withColumnRenamed("id", "id2"), "id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        comps = _components(inner, core.withColumnRenamed("id", "node"))
-        first = {r.comp: i for i, r in enumerate(comps.select("comp").distinct().orderBy("comp").collect())}
-        self.n_clusters_, self.core_sample_indices_ = len(first), core
-        number = comps.sparkSession.createDataFrame([(k, v) for k, v in first.items()], "comp long, number int") if first else comps.select("comp", F.lit(0).alias("number")).limit(0)
-        cores = comps.join(F.broadcast(number), "comp").select(F.col("node").alias("id2"), "number")
-        told = near.join(cores, "id2").groupBy("id").agg(F.min(F.when(F.col("id") == F.col("id2"), F.col("number"))).alias("own"), F.min("number").alias("least"))
-        told = told.select(F.col("id").alias(self.row_id), F.coalesce("own", "least").alias("prediction"))
-        return df.join(told, self.row_id, "left").withColumn("prediction", F.coalesce("prediction", F.lit(-1)))
+        cells = list(range(min(3, len(self.features))))
+        pts = df.select(F.col(self.row_id).cast("long").alias("id"), x.alias("x"))
+        pts = pts.withColumn("cell", F.array(*(F.floor(F.col("x")[i] / eps) for i in cells))).checkpoint()
+        n = pts.count()
+
+        def counted(a, b, same):
+            up, down = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            for part, ok in _within(a, b, eps):
+                up[part] = ok.sum(axis=1)
+                down += ok.sum(axis=0)
+            out = [pd.DataFrame({"id": a["id"], "n": up})] + ([] if same else [pd.DataFrame({"id": b["id"], "n": down})])
+            return pd.concat(out)
+
+        def linked(a, b, same):
+            """Links that join the block's cores: no more than there are points."""
+            top, out = {}, []
+
+            def root(i):
+                while top.get(i, i) != i:
+                    top[i] = top.get(top[i], top[i])
+                    i = top[i]
+                return i
+
+            ids, others = a["id"].tolist(), b["id"].to_numpy()
+            for part, ok in _within(a, b, eps):
+                for i, near in zip(ids[part], ok, strict=True):
+                    for j in others[near].tolist():
+                        u, v = root(i), root(j)
+                        if u != v:
+                            top[max(u, v)] = min(u, v)
+                            out.append((i, j))
+            return pd.DataFrame(out, columns=["a", "b"])
+
+        def reached(a, b, same):
+            """The least cluster among the cores near each point."""
+            none = np.iinfo(np.int64).max
+            least = lambda c: c["number"].fillna(-1).astype(np.int64).replace(-1, none).to_numpy()
+            up, down, na, nb = np.full(len(a), none), np.full(len(b), none), least(a), least(b)
+            for part, ok in _within(a, b, eps):
+                up[part] = np.where(ok, nb[None], none).min(axis=1)
+                down = np.minimum(down, np.where(ok, na[part, None], none).min(axis=0))
+            out = pd.concat([pd.DataFrame({"id": a["id"], "number": up})] + ([] if same else [pd.DataFrame({"id": b["id"], "number": down})]))
+            return out[out["number"] < none]
+
+        counts = _met(pts, cells, n, counted, "id long, n long", []).groupBy("id").agg(F.sum("n").alias("n"))
+        core = counts.filter(F.col("n") >= self.min_samples).select("id").checkpoint()
+        links = _met(pts.join(core, "id").checkpoint(), cells, n, linked, "a long, b long", [])
+        comps = _components(links, core.withColumnRenamed("id", "node"))
+        number = numbered(comps.select("comp").distinct(), ["comp"], "number").checkpoint()
+        self.n_clusters_, self.core_sample_indices_ = number.count(), core
+        cores = comps.join(number, "comp").select(F.col("node").alias("id"), "number").checkpoint()
+        told = _met(pts.join(cores, "id", "left").checkpoint(), cells, n, reached, "id long, number long", ["number"]).groupBy("id").agg(F.min("number").alias("least"))
+        told = told.join(cores, "id", "left").select(F.col("id").alias("_id"), F.coalesce("number", "least").cast("int").alias("prediction"))
+        return df.join(told, F.col(self.row_id).cast("long") == F.col("_id"), "left").withColumn("prediction", F.coalesce("prediction", F.lit(-1))).drop("_id")
 
     def fit(self, df):
         self.labels_ = self.fit_predict(df)

@@ -156,19 +156,27 @@ def calibrated(spark, d):
     return sel.CalibratedClassifier(LogisticRegression(["y"], "hot", n_iter=10), "id", cv=2).fit(o).predict(o).groupBy("hot", "prediction").count()
 
 
-@query("paired_ttest", f"{_O}, z AS (SELECT y - yhat d FROM o) SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(*)) + 1e-15), 6) AS statistic FROM z")
+@query("paired_ttest", f"{_O}, z AS (SELECT y - yhat d FROM o), t AS (SELECT avg(d) / (stddev_samp(d) / sqrt(count(*)) + 1e-15) AS t FROM z) SELECT round(t, 6) AS statistic, abs(t) > 1.9602 AS significant FROM t")
 def ttest(spark, d):
-    return row(spark, statistic=sel.paired_ttest(orders(spark, d), "y", "yhat")["statistic"])
+    t = sel.paired_ttest(orders(spark, d), "y", "yhat")
+    return row(spark, statistic=t["statistic"], significant=t["significant"])
 
 
-@query("wilcoxon_test", f"{_O}, z AS (SELECT y - yhat d FROM o), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 k FROM z WHERE d <> 0) SELECT round(least(sum(k) FILTER (d > 0), sum(k) FILTER (d < 0)), 6)::DOUBLE AS statistic FROM r")
+_WILCOXON = f"""{_O}, z AS (SELECT y - yhat d FROM o), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 k FROM z WHERE d <> 0),
+ s AS (SELECT least(sum(k) FILTER (d > 0), sum(k) FILTER (d < 0))::DOUBLE AS w, count(*)::DOUBLE AS n FROM r), t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM r GROUP BY abs(d)))
+ SELECT round(w, 6) AS statistic, abs((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)) > 1.959964 AS significant FROM s, t"""
+
+
+@query("wilcoxon_test", _WILCOXON)
 def wilcoxon(spark, d):
-    return row(spark, statistic=float(sel.wilcoxon_test(orders(spark, d), "y", "yhat")["statistic"]))
+    t = sel.wilcoxon_test(orders(spark, d), "y", "yhat")
+    return row(spark, statistic=float(t["statistic"]), significant=t["significant"])
 
 
-@query("mcnemar_test", f"{_O}, c AS (SELECT count(*) FILTER (q = b AND q2 <> b) x, count(*) FILTER (q <> b AND q2 = b) z FROM o) SELECT round(pow(abs(x - z) - 1, 2) / (x + z + 1e-10), 6) AS statistic FROM c")
+@query("mcnemar_test", f"{_O}, c AS (SELECT count(*) FILTER (q = b AND q2 <> b) x, count(*) FILTER (q <> b AND q2 = b) z FROM o), t AS (SELECT pow(abs(x - z) - 1, 2) / (x + z + 1e-10) AS t FROM c) SELECT round(t, 6) AS statistic, t > 3.841459 AS significant FROM t")
 def mcnemar(spark, d):
-    return row(spark, statistic=sel.mcnemar_test(orders(spark, d), "b", "q", "q2")["statistic"])
+    t = sel.mcnemar_test(orders(spark, d), "b", "q", "q2")
+    return row(spark, statistic=t["statistic"], significant=t["significant"])
 
 
 @query(

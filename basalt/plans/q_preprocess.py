@@ -146,14 +146,21 @@ def rfe(spark, d):
 
 
 for _name, _op, _sql in (
-    ("random_under_sampler", lambda: pre.RandomUnderSampler("label", "id"), "SELECT label, (SELECT min(n) FROM c) AS n FROM c"),
-    ("random_over_sampler", lambda: pre.RandomOverSampler("label", "id"), "SELECT label, (SELECT max(n) FROM c) AS n FROM c"),
-    ("smote", lambda: pre.SMOTE(["size", "price"], "label", "id"), "SELECT label, (SELECT max(n) FROM c) AS n FROM c"),
+    ("random_under_sampler", lambda: pre.RandomUnderSampler("label", "id"), "(SELECT min(n) FROM c) AS n, (SELECT min(n) FROM c) AS different"),
+    ("random_over_sampler", lambda: pre.RandomOverSampler("label", "id"), "(SELECT max(n) FROM c) AS n, n AS different"),
 ):
 
-    @query(_name, f"WITH f AS ({PARTS_SQL}), c AS (SELECT label, count(*) n FROM f GROUP BY label) {_sql}")
+    @query(_name, f"WITH f AS ({PARTS_SQL}), c AS (SELECT label, count(*) n FROM f GROUP BY label) SELECT label, {_sql} FROM c")
     def resampled(spark, d, op=_op):
-        return op().fit_resample(parts(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+        f = parts(spark, d)
+        return op().fit_resample(f).join(f.select("id"), "id").groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"))
+
+
+@query("smote", f"WITH f AS ({PARTS_SQL}) SELECT label, (SELECT max(n) FROM (SELECT count(*) n FROM f GROUP BY label)) AS n, min(size) AS low, max(size) AS high, min(price) AS cheap, max(price) AS dear FROM f GROUP BY label")
+def smote(spark, d):
+    """New points lie between old ones, so no class grows wider."""
+    out = pre.SMOTE(["size", "price"], "label", "id").fit_resample(parts(spark, d))
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("price").alias("cheap"), F.max("price").alias("dear"))
 
 
 _NATION = "SELECT n_nationkey AS i, CAST(n_nationkey AS DOUBLE) / 10 AS a, CAST(n_regionkey AS DOUBLE) / 2 AS b FROM nation"

@@ -140,6 +140,27 @@ def test_clustering(spark, blobs):
     assert np.allclose(np.sort(g.means_[:, 0])[-1], 6, atol=0.3)
 
 
+def test_dbscan_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SLICE_POINTS", 15)
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(3, 0.4, (50, 2)), rng.uniform(-2, 6, (40, 2)), np.zeros((20, 2))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, x0 double, x1 double").repartition(3)
+    got = {r.row_id: r.prediction for r in cluster.DBSCAN(["x0", "x1"], "row_id", 0.4, 5).fit_predict(df).collect()}
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= 0.16
+    core, want, number = near.sum(1) >= 5, [-1] * len(x), 0
+    for i in range(len(x)):
+        if core[i] and want[i] < 0:
+            stack, want[i] = [i], number
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & core):
+                    if want[j] < 0:
+                        want[j] = number
+                        stack.append(j)
+            number += 1
+    want = [want[i] if core[i] else min((want[j] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))]
+    assert [got[i] for i in range(len(x))] == want
+
+
 def test_starts_on_repeated_points(spark):
     f = ["x0", "x1"]
     four = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2 * 10.0).alias("x0"), (F.floor(F.col("id") / 2) % 2 * 10.0).alias("x1"))
