@@ -23,50 +23,63 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
 #: States of the models: each letter, one state for digits and one for the rest.
 STATES = string.ascii_lowercase + string.ascii_uppercase + "0+"
-SAMPLES, SMOOTH = 3000, 0.5
+SAMPLES, SMOOTH = 6000, 0.5
 #: Log-likelihood ratio, in all and for each step, from which a string counts as random.
 LEAST_RATIO, LEAST_STEP = 12.0, 0.45
-#: Words of which ordinary identifiers are made.
+#: A string of fewer different characters is a separator or filler.
+LEAST_DISTINCT = 7
+#: Words of which ordinary identifiers are made, beside words made of syllables.
 WORDS = (
-    "account action active address admin agent alert amount array asset async auth balance batch block body buffer build button cache call "
-    "change channel check child class client code column command commit common config connect content context control count create cursor "
-    "custom data date debug default delete detail device display document domain download driver element email enable encode engine entry "
-    "error event exception export extend factory feature field file filter flag folder format frame function global group handler header "
-    "height history image import index info input instance interface item iterator job json key label language layer layout length level "
-    "library limit line link list listener load local location logger login manager market mask match member memory menu merge message "
-    "method mode model module monitor name network node notify number object offset option order output package page panel parameter parent "
-    "parse password path pattern payment permission phone plugin point policy pool position prefix preview price process product profile "
-    "project property provider proxy public query queue random range rate record refresh region register remote remove render report request "
-    "reset resource response result return review role root route rule sample schedule schema scope screen script search section security "
-    "select sender sequence server service session setting shape share signal simple single size source stack state static status step "
-    "storage store stream string style submit summary support switch symbol system table target task template test text theme thread time "
-    "title token tool total track transaction transfer transform tree trigger type unit update upload user util value vector version view "
-    "visible volume wait warning width window worker wrapper write the and of that with this have from they will would there their what "
-    "nation ation tion ment able ing er ed ly ness ous less ful ive est ish ity ence ance ing the on an in re at or es ou nd ha he th"
+    "account action address alert amount array asset auth balance batch block body buffer build cache call change channel check client code "
+    "column command commit config connect content context control count create cursor data date default delete detail device document "
+    "download driver element enable engine entry error event export factory field file filter flag folder format function global group "
+    "handler header history image import index info input instance item iterator job json key label layer length level library limit line "
+    "link list load local location logger login manager match member memory merge message method mode module monitor name network node "
+    "number object option order output package page parameter parent password path policy position prefix process product profile project "
+    "provider public query queue range record region register remote render report request reset resource result role root rule sample "
+    "schema scope search section server session the and of that with this have from they will"
 ).split()
+ONSETS = "b c d f g h j k l m n p r s t v w z br ch cz dr dz gr kr kw ll mn pl pr rz sch sh sk sl sn sp st str sw sz th tr vr zw".split() + [""] * 6
+VOWELS = "a e i o u y a e i o ai au ea ei eu ia ie io oe oo ou ue ui".split()
+CODAS = [""] * 4 + "n r s t l m k d ch ck ng nn ss st rt wski tz".split()
+ROWS = [string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_lowercase + string.digits, "qwertyuiopasdfghjklzxcvbnm", string.ascii_lowercase[::-1]]
+ALPHABETS = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"]
+
+
+def _ordinary(r: random.Random) -> str:
+    """An identifier, compound, path, address, date, separator, alphabet or row of numbers."""
+    made = lambda: "".join(r.choice(ONSETS) + r.choice(VOWELS) + r.choice(CODAS) for _ in range(r.randint(1, 5)))
+    number = lambda: str(r.randint(0, 10 ** r.randint(1, 6)))
+    word = lambda: r.choice(WORDS) if r.random() < 0.5 else made()
+    words, style = [word() for _ in range(r.randint(3, 7))], r.randrange(14)
+    if style < 4:
+        return r.choice("_-/").join(words)
+    if style == 4:
+        return "_".join(words).upper()
+    if style == 5:
+        return "".join(words)
+    if style < 8:
+        return words[0] + "".join(w.title() for w in words[1:])
+    if style == 8:
+        return r.choice("_-/").join(w + r.choice(["", "", number()]) for w in words)
+    if style == 9:
+        return r.choice(["https/", "www-", "http-", ""]) + "-".join(words) + r.choice(["-org", "-com", "/wiki/"]) + made().title()
+    if style == 10:
+        day, time = (r.choice(["", "-"]).join(f"{r.randint(*x):02d}" for x in parts) for parts in (((1900, 2030), (1, 12), (1, 28)), ((0, 23), (0, 59), (0, 59))))
+        return day + r.choice("T-_") + time + r.choice(["Z", "-" + word(), "_" + number(), "+0000"])
+    if style == 11:
+        unit = r.choice(["=", "-", "_", "+", "/", "=-", "-_", "/-", "0"]) if r.random() < 0.5 else r.choice(string.ascii_letters)
+        return (unit * 44)[: r.randint(20, 44)]
+    if style == 12:
+        return (r.choice(ROWS) * 4)[r.randrange(26) :][: r.randint(20, 44)]
+    return r.choice("-_/").join(number() for _ in range(r.randint(5, 9)))
 
 
 def labelled_samples(seed: int = 4) -> list[tuple[str, int]]:
-    """(string, 1 for random or 0 for ordinary): the training set, made by rule from a seed."""
+    """(string, 1 for random or 0 for ordinary): made by rule from a seed; another seed gives strings to measure on."""
     r, out = random.Random(seed), []
-    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"]
     for _ in range(SAMPLES):
-        out.append(("".join(r.choices(r.choice(alphabets), k=r.randint(20, 44))), 1))
-        words = r.choices(WORDS, k=r.randint(3, 7))
-        style = r.randrange(6)
-        if style == 0:
-            s = "_".join(words)
-        elif style == 1:
-            s = words[0] + "".join(w.title() for w in words[1:])
-        elif style == 2:
-            s = "-".join(words)
-        elif style == 3:
-            s = "/".join(words) + r.choice(["", str(r.randint(0, 2030))])
-        elif style == 4:
-            s = "_".join(words).upper()
-        else:
-            s = "".join(words)
-        out.append((s, 0))
+        out += [("".join(r.choices(r.choice(ALPHABETS), k=r.randint(20, 44))), 1), (_ordinary(r), 0)]
     return out
 
 
@@ -122,7 +135,7 @@ def scan(spark: SparkSession, docs: DataFrame, table: list[float] | None = None)
 
     def looks_random(m: Column) -> Column:
         ratio = _ratio(m, told)
-        return (ratio >= LEAST_RATIO) & (ratio >= LEAST_STEP * F.length(m))
+        return (ratio >= LEAST_RATIO) & (ratio >= LEAST_STEP * F.length(m)) & (F.size(F.array_distinct(F.split(m, ""))) >= LEAST_DISTINCT)
 
     t = F.coalesce("text", F.lit(""))
     hits = F.concat(*(_matches(t, k, p, g) for k, (p, g) in enumerate(((ASSIGN, value), (ACCESS, always), (HEX, always), (CANDIDATE, looks_random)))))
@@ -138,5 +151,6 @@ def scan(spark: SparkSession, docs: DataFrame, table: list[float] | None = None)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents, base spans and those that the models add; nulls, ties and repeats as in scan()."""
     found = scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
