@@ -30,6 +30,17 @@ PERCENT = 75
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that are still apart after the round of hubs are compared in blocks of so many rows.
 BLOCK_ROWS = 256
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
+ c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+ m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, coalesce(c.n, 0) AS n_shingles, least(doc_id, coalesce(m.b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m.b, doc_id)) AS kept FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.a = doc_id
+"""
 _MUL = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_minhash_near_dedup": near_dedup.ORACLE}
