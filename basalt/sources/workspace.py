@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the folder of spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """Makes checkpoint() usable: the folder of spark.checkpoint.dir; where that is unset, a local one in local mode (tests) and else an error."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="basalt-"))
