@@ -8,6 +8,7 @@ byte and row totals of the fine ranges then place every row on a line of bytes,
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,11 @@ from .workspace import Workspace
 SHARDS = 24
 #: Fine ranges per shard, and sampled keys per fine range: what the driver collects has this bound whatever the input.
 FINE, SAMPLES = 64, 16
-#: A fine range is overfull beyond so many times its share; this often are such ranges divided again.
-OVERFULL, ROUNDS = 4, 4
-#: Copies of a text stay in one shard if together they have at most this part of a shard's bytes.
-WHOLE_GROUP = 0.005
+#: A fine range is overfull beyond so many times its share, and is divided again until it is not or one row is left of it.
+OVERFULL = 4
+#: Copies of a text stay in one shard if together they have at most this part of a shard's bytes, or the bytes of the largest
+#: text, which no law can divide either.
+WHOLE_GROUP = 0.02
 _LEAST = -(1 << 63)
 
 
@@ -59,25 +61,25 @@ def _ranged(spark: SparkSession, slim: DataFrame, splitters: list[tuple[int, int
     return slim.withColumn("range", range_of("h", "id", "rid"))
 
 
-def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the column named by row (distinct longs).
 
-    The law is `bytes`: shards differ by about one document, however the sizes or copies are spread. size is the text's
+    The law is `bytes`: shards differ by about one document or one small group of copies, however the sizes or copies are spread. size is the text's
     UTF-8 bytes plus 8; null counts as empty. slot numbers a shard's rows in key order without gaps. A null doc_id sorts
     first among equal texts, and repeated rows are told apart by their place. An empty table gives no rows, a table of
     few rows leaves shards empty, and a single long text is never divided. Other columns are ignored.
     """
     work = Workspace(spark)
     text = F.coalesce("text", F.lit(""))
-    slim = work.save(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.monotonically_increasing_id().alias("rid")))
-    total = slim.agg(F.sum("size")).first()[0] or 0
+    slim = work.save(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("rid")))
+    total, largest = (x or 0 for x in slim.agg(F.sum("size"), F.max("size")).first())
     fine = shards * FINE
     splitters = _splitters(_sample(slim, total, fine * SAMPLES, 0), fine)
-    for turn in range(1, ROUNDS + 1):
+    for turn in itertools.count(1):
         ranged = _ranged(spark, slim, splitters)
         held = {r["range"]: (r.bytes, r.n) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-        over = {k: b for k, (b, n) in held.items() if n > 1 and b > OVERFULL * total / fine}
-        if not over or turn == ROUNDS:
+        over = {k: b for k, (b, n) in held.items() if n > 1 and b > OVERFULL * max(largest, total / fine)}
+        if not over:
             break
         part = ranged.filter(F.col("range").isin(list(over)))
         bytes_ = sum(over.values())
@@ -92,18 +94,25 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFra
     placed = ranged.join(F.broadcast(before), "range")
     placed = placed.withColumns({"upto": F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)), "slot": F.row_number().over(line) - 1, "mass": F.sum("size").over(group)})
     start = F.col("upto") - F.col("size")
-    middle = F.when(F.col("mass") <= WHOLE_GROUP * total / shards, F.min(start).over(group) + F.col("mass") / 2).otherwise(start + F.col("size") / 2)
+    middle = F.when(F.col("mass") <= max(largest, WHOLE_GROUP * total / shards), F.min(start).over(group) + F.col("mass") / 2).otherwise(start + F.col("size") / 2)
     number = F.floor((F.col("bytes_before") + middle) * shards / F.lit(float(max(1, total))))
-    placed = work.save(placed.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), number).cast("int").alias("shard"), (F.col("rows_before") + F.col("slot")).alias("row")))
+    placed = work.save(placed.select("doc_id", "rid", "size", "text_crc32", F.least(F.lit(shards - 1), number).cast("int").alias("shard"), (F.col("rows_before") + F.col("slot")).alias("row")))
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = placed.join(F.broadcast(first), "shard").withColumns({"law": F.lit("bytes"), "slot": F.col("row") - F.col("first"), "grown_shard": F.lit(None).cast("int")})
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *([F.col("rid").alias(row)] if row else []))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the documents (unique doc_id) into one folder per shard, in slot order inside each task."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Writes every row of docs into one folder per shard, in slot order inside each task; shard and slot replace columns of these names.
+
+    Rows get a number that is written with them, so null and repeated doc_ids lose and multiply nothing.
+    """
+    row = "_own_row"
+    rows = Workspace(spark).save(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()))
+    placed = rows.join(shard(spark, rows, shards, row).select(row, "shard", "slot"), row).drop(row)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; nulls, ties and repeats as in shard()."""
     return shard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
