@@ -257,12 +257,16 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t, d in zip(pdf["text"], pdf["doc_id"], strict=True):
             w = t.split()
             at = int(np.random.default_rng(abs(int(d))).integers(0, len(w) - most + 1)) if len(w) > most else 0
-            out.append(" ".join(x[:100] for x in w[at : at + most]))
+            out.append(" ".join(w[at : at + most]))
         yield pd.DataFrame({"text": out, "toxic": pdf["toxic"].to_numpy()})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Reader:
-    """Learns from a bounded sample of labelled rows outside the held-out third; an untrained network scores if there are none of a class."""
+    """Learns from a bounded sample of labelled rows outside the held-out third; an untrained network scores if there are none of a class.
+
+    Null texts, null ids and other labels than 0 and 1 teach nothing; an id labelled both ways is toxic. Rows that repeat a
+    doc_id all carry its label. Ties are broken by the text.
+    """
     known = labels.select("doc_id", "toxic").filter((_fold() != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     most = {1: POSITIVE_ROWS, 0: NEGATIVE_ROWS}
@@ -325,5 +329,6 @@ def score(spark: SparkSession, docs: DataFrame, net: Reader) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; nulls, ties and repeats as in train() and score()."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score(spark, docs.select("doc_id", "text"), train(docs, labels)).select("doc_id", (_fold() == 1).alias("held_out"), "score", "predicted")
