@@ -170,7 +170,7 @@ def _cover(index: Index, item: int, hits: list[tuple[int, int, int]], words: lis
     back: dict[tuple[int, str], str] = {}
     for shift, places in sorted(lines.items(), key=lambda x: (-len(x[1]), x[0])):
         mine = sorted({p + j for p, n in places for j in range(n)})
-        pairs = {p: (int(index.kinds[item][p]), index.words[item][p], words[p + shift]) for p in mine if index.kinds[item][p] in (1, 2)}
+        pairs = {p: (int(index.kinds[item][p]), index.words[item][p], words[p + shift]) for p in mine if index.kinds[item][p] > 0}
         to, fro, bad = dict(there), dict(back), set()
         for (k, a, b), _ in sorted(Counter(pairs.values()).items(), key=lambda x: (x[0][1] != x[0][2], -x[1])):
             if a != b and (to.get((k, a), b) != b or fro.get((k, b), a) != a):
@@ -221,26 +221,36 @@ def _search(told):
     return run
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id (or the columns named by keep), contaminated, items (ids found, ascending), cover (the
-    largest part of an item found); the last three replace columns of these names.
-
-    Items of fewer than LEAST_WORDS words, null items and items with a null id hold no window and are never found. A null or
-    empty text is clean. Rows with a null or repeated doc_id are judged like any other, each by its own text. Every window of
-    a text is looked up. A benchmark beyond BLOCK_BYTES is taken in blocks, each of which passes over the documents once; an
-    empty one leaves all clean.
-    """
+def _searched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, names: list[str]) -> DataFrame:
+    """_text, _items, _cover, and the columns named but text, as _c0, _c1, ..."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     bound_batches(spark)
-    names = [c for c in (["doc_id"] if keep is None else keep) if c not in ("contaminated", "items", "cover")]
-    out = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.array().cast("array<long>").alias("_items"), F.lit(0.0).alias("_cover"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)))
+    out = docs.select(F.lit(0).alias("_none"), F.col("text").alias("_text"), F.array().cast("array<long>").alias("_items"), F.lit(0.0).alias("_cover"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(names) if c != "text"))
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         told = spark.sparkContext.broadcast(Index.build([r.item_id for r in rows], [r.text for r in rows]))
         out = out.mapInArrow(tk.tidy(_search(told)), out.schema)
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"), F.col("_cover").alias("cover"))
+    return out
+
+
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, contaminated, items (ids found, ascending), cover (the largest part of an item found).
+
+    Items of fewer than LEAST_WORDS words, null items and items with a null id hold no window and are never found. A null or
+    empty text is clean. Rows with a null or repeated doc_id are judged like any other, each by its own text. Every window of
+    a text is looked up. A benchmark beyond BLOCK_BYTES is taken in blocks, each of which passes over the documents once; an
+    empty one leaves all clean. Other columns are ignored.
+    """
+    out = _searched(spark, docs, benchmark, ["doc_id"])
+    return out.select(F.col("_c0").alias("doc_id"), (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"), F.col("_cover").alias("cover"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item, judged as in find_leaks(), with the columns that came."""
+    out = _searched(spark, docs, benchmark, docs.columns).filter(F.size("_items") == 0)
+    return out.select(*(F.col("_text" if c == "text" else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ LEAST_POWER = 6
 BLOCK_TOKENS = 1 << 20
 HARD_EVERY = 1024
 #: Distinct units a worker keeps in mind (some 250 MB), and bytes of text encoded at once.
-MEMO_UNITS, ENCODE_BYTES = 1_500_000, 2 << 20
+MEMO_UNITS, ENCODE_BYTES = 1_500_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -268,4 +268,5 @@ def tokenizer_path() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of the rows of documents; nulls, ties and repeats as in pack()."""
     return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())

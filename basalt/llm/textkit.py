@@ -7,7 +7,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -120,8 +119,9 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = False) -> np.
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first occurrence of each distinct hash, and each occurrence's place among them."""
-    place, found = pd.factorize(hashes)
-    first = np.empty(found.size, np.int64)
+    told = pa.array(hashes).dictionary_encode()
+    place = told.indices.to_numpy()
+    first = np.empty(len(told.dictionary), np.int64)
     first[place[::-1]] = np.arange(hashes.size - 1, -1, -1)
     return first, place
 

@@ -13,7 +13,7 @@ BROADCAST_IDS = 500_000
 HOT_ROWS = 20_000
 
 #: Rows of text that go to a Python worker at once; a worker's memory follows them.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bound_batches(spark: SparkSession) -> None:
