@@ -52,13 +52,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Each row is judged by its own text, whatever its doc_id; null and empty texts stay."""
-    found = decontamination.find_leaks(spark, docs.withColumnsRenamed({c: f"{OWN}{c}" for c in docs.columns}).withColumns({c: F.col(f"{OWN}{c}") for c in ("doc_id", "text")}), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), [f"{OWN}{c}" for c in docs.columns])
-    return found.filter("not contaminated").select(*(F.col(f"{OWN}{c}").alias(c) for c in docs.columns))
+    return decontamination.without_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents in sequences: one row per piece. A null or empty text is its closing id; rows with a null or repeated doc_id are documents of their own."""
-    return packing.pack(spark, docs, packing.tokenizer_path(), ids_too=True, memo_units=300_000)
+    return packing.pack(spark, docs, packing.tokenizer_path(), ids_too=True, memo_units=150_000)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("packed", packed)]
