@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, sharding, textkit, toxicity
 
@@ -117,6 +118,38 @@ def test_exact_duplicates(spark, docs, none):
     assert sum(r["kept"] for r in out) == len(groups)
 
 
+def test_snapshot_screens_later_batches(spark, docs, none, tmp_path):
+    path = str(tmp_path / "snapshot")
+    old = [(i, f"text number {i % 40}") for i in range(90)] + [(500, None), (None, "nobody's")]
+    exact_dedup.write_snapshot(spark, spark.createDataFrame(old, "doc_id long, text string"), path)
+    new = [(1000 + i, f"text number {i}") for i in range(20, 60)] + [(2000, "text number 59"), (2001, ""), (None, "nobody's"), (None, "fresh"), (3, "fresh")]
+    out = rows(exact_dedup.screen(spark, spark.createDataFrame(new, "doc_id long, text string"), path))
+    assert len(out) == len(new) and exact_dedup.screen(spark, none, path).count() == 0
+    held = {}
+    for i, t in old:
+        held[t or ""] = max(held.get(t or "", -1), -1 if i is None else i)
+    for i, t in new:
+        r = next(x for x in out if x["doc_id"] == i and x["text_sha256"] == hashlib.sha256(t.encode()).hexdigest())
+        same = [j for j, u in new if u == t]
+        assert r["in_snapshot"] == (t in held) and r["group_size"] == len(same) and r["keep_id"] == max((j for j in same if j is not None), default=None)
+        assert (r["snapshot_id"] if r["snapshot_id"] is not None else -1) == held.get(t, -1)
+    assert sum(r["kept"] for r in out) == len({t for _, t in new} - set(held))
+    exact_dedup.write_snapshot(spark, none, str(tmp_path / "empty"))
+    assert not any(r["in_snapshot"] for r in rows(exact_dedup.screen(spark, docs, str(tmp_path / "empty"))))
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from basalt.llm import workspace
+
+    monkeypatch.setattr(workspace, "HOT_ROWS", 50)
+    left = spark.range(2000).selectExpr("case when id % 3 = 0 then 7 else id end as k", "id as v").repartition(4)
+    right = left.groupBy("k").count().withColumn("w", F.col("count")).filter("k % 5 < 3")
+    want = {(r.k, r.v, r["count"]) for r in left.join(right.drop("w"), "k", "left").collect()}
+    assert {(r.k, r.v, r["count"]) for r in workspace.spread_join(left, right, ["k"], "w").collect()} == want
+    inner = workspace.spread_join(left, right, ["k"], "w", "inner")
+    assert {(r.k, r.v, r["count"]) for r in inner.collect()} == {x for x in want if x[2] is not None} and inner.columns == ["k", "v", "count"]
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 100, 20_000):
@@ -145,6 +178,19 @@ def test_packing(spark, docs, none):
     assert max(pieces.values()) <= 4096 and sorted(got) == want
 
 
+def test_packing_of_several_blocks_and_one_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 3000)
+    data = [(7, "one short text. " * (i % 40)) for i in range(200)] + [(None, "a long one, without end " * 3000)] + [(8, "x " * 6000)]
+    out = rows(packing.pack(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(2), packing.tokenizer_path(), ids_too=True))
+    used, starts = {}, 0
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0) and len(r["ids"]) == r["length"]
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+        starts += r["start"] == 0
+    assert max(used.values()) <= 4096 and starts == len(data) and len(used) > 5
+    assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
+
+
 def test_units_straight_to_the_model():
     with open(packing.tokenizer_path(), encoding="utf-8") as f:
         encoder = packing.Encoder(f.read())
@@ -193,6 +239,28 @@ def test_sharding(spark, docs, none):
     assert len(size) == 8 and max(size.values()) / min(size.values()) < 1.02
 
 
+def test_shards_by_brute_force(spark, docs, none, tmp_path):
+    rng = np.random.default_rng(14)
+    data = [(i, ["copy of a common text " * 3, f"text {i} " * int(rng.integers(1, 40)), f"pair {i // 2}"][i % 3]) for i in range(900)] + [(None, "x"), (None, "x"), (5, "again"), (5, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    out = rows(sharding.shard(spark, df, 6))
+    want = sorted((i if i is not None else -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in data)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["text_crc32"]) for r in out) == want
+    assert {r["law"] for r in out} == {"bytes"} and {r["grown_shard"] for r in out} == {None}
+    size, groups, mass = {}, {}, {}
+    for r in out:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+        groups.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        mass[r["text_crc32"], r["size"]] = mass.get((r["text_crc32"], r["size"]), 0) + r["size"]
+    largest = max(r["size"] for r in out)
+    assert max(size.values()) - min(size.values()) <= 2 * largest
+    assert all(len(s) == 1 for g, s in groups.items() if mass[g] <= largest)
+    sharding.write_shards(spark, docs.withColumn("slot", F.lit("mine")), str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in rows(back)) == sorted((i or -1, t or "") for i, t in ROWS)
+    sharding.write_shards(spark, none, str(tmp_path / "none"), 3)
+
+
 def test_secret_scan(spark, docs, none):
     texts = ["password=hunter2222 x", 'API_KEY: "abcdefgh1234"', "secret=token: longvalue12", "é AKIA" + "Z9" * 8 + " token=short", "0123456789abcdef" * 3, "Xk29fQz81LmVw0RtYb73HsQe", "ordinary_identifier_of_the_account_manager", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.select("doc_id", "text"))
@@ -211,6 +279,31 @@ def test_secret_scan(spark, docs, none):
     assert random.get(5) == 1 and 6 not in random
 
 
+def test_markov_ratio_by_brute_force_and_on_strings_not_learnt_from(spark):
+    table = secret_scan.train(spark)
+    k = len(secret_scan.STATES)
+    state = lambda c: secret_scan.STATES.index("0" if c.isdigit() else c if c.isalpha() else "+")
+    counts = [{}, {}]
+    for s, y in secret_scan.labelled_samples():
+        for a, b in zip(s, s[1:]):
+            counts[y][state(a), state(b)] = counts[y].get((state(a), state(b)), 0) + 1
+    out = [sum(counts[y].get((a, b), 0) + secret_scan.SMOOTH for b in range(k)) for y in (0, 1) for a in range(k)]
+    chance = lambda y, a, b: (counts[y].get((a, b), 0) + secret_scan.SMOOTH) / out[y * k + a]
+    ratio = lambda s: sum(np.log(chance(1, state(a), state(b)) / chance(0, state(a), state(b))) for a, b in zip(s, s[1:]))
+    strings = [(s, y) for s, y in secret_scan.labelled_samples(99)[:3000] if len(s) >= 20]
+    hand = ["=" * 25, "2024-01-31T12-00-00Z-build", "123e4567-e89b-12d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyz", "https/www-wikipedia-org/wiki/Krakow", "Szczepanikiewiczowska"]
+    hand += ["Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "Llanfairpwllgwyngyllgogerychwyrndrobwll", "a" * 24, "12345678901234567890"]
+    strings += [(s, 0) for s in hand]
+    df = spark.createDataFrame([(i, f"see {s} there") for i, (s, _) in enumerate(strings)], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_random"] for r in rows(secret_scan.scan(spark, df, table))}
+    for i, (s, _) in enumerate(strings):
+        r = ratio(s)
+        assert found[i] == int(r >= secret_scan.LEAST_RATIO and r >= secret_scan.LEAST_STEP * len(s) and len(set(s)) >= secret_scan.LEAST_DISTINCT), s
+    caught = [found[i] for i, (_, y) in enumerate(strings) if y]
+    false = [found[i] for i, (_, y) in enumerate(strings) if not y]
+    assert np.mean(caught) > 0.99 and np.mean(false) < 0.005 and not any(false[-len(hand) :])
+
+
 def test_language_id(spark, docs, none):
     en, fr = "the of and that with have this from they would there their".split(), "le la les des une dans pour que est avec sont nous".split()
     rng = np.random.default_rng(3)
@@ -219,6 +312,25 @@ def test_language_id(spark, docs, none):
     model = language_id.train(df)
     out = rows(language_id.identify(spark, df, model))
     assert np.mean([r["lang_pred"] == r["lang"] for r in out]) > 0.98
+    plain, logits = language_id.LENGTHS, model.logits
+
+    def brute(t):
+        z, n = np.zeros(len(model.langs)), 0
+        for w in t.encode().lower().split():
+            w = b"<" + w + b">"
+            for k in language_id.GRAMS:
+                for a in range(len(w) - k + 1):
+                    h = k
+                    for c in w[a : a + k]:
+                        h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c * 0x9E3779B1 & 0xFFFFFFFF)
+                    z, n = z + logits[(h ^ h >> 15) & (language_id.BUCKETS - 1)], n + 1
+        e = np.exp((z / max(n, 1) + model.bias) / model.temperature)
+        return e / e.sum()
+
+    for r in [*out[:20], *(x for x in rows(language_id.identify(spark, docs.filter("length(text) < 500 and text like '%e%'"), model)))]:
+        p = brute(r["text"])
+        assert r["lang_pred"] == model.langs[int(p.argmax())] and r["score"] == pytest.approx(p.max(), abs=1e-6)
+        assert r["accepted"] == (p.max() >= model.thresholds[int(np.searchsorted(plain, len(r["text"].split())))])
     edge = rows(language_id.identify(spark, docs, model))
     assert len(edge) == len(ROWS) and all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or "")) for r in edge)
     assert all(0 <= r["score"] <= 1 for r in edge) and "kept" in edge[0]
@@ -226,6 +338,49 @@ def test_language_id(spark, docs, none):
     assert {r["lang_pred"] for r in rows(language_id.identify(spark, docs, None))} == {"und"}
 
 
+def test_rejection_of_what_was_not_learnt(spark):
+    rng = np.random.default_rng(31)
+    words = {la: ["".join(rng.choice(list(letters), int(rng.integers(3, 8)))) for _ in range(400)] for la, letters in (("aa", "abdefilmnor"), ("bb", "aceghijkstu"), ("zz", "qwxyzvkpj"))}
+    text = lambda la, n: " ".join(rng.choice(words[la], n))
+    known = [(i, text(la, int(rng.integers(2, 80))), la) for i, la in enumerate(["aa", "bb"] * 200)]
+    model = language_id.train(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    new = [(i, text(la, 60), la) for i, la in enumerate(["aa", "bb", "zz"] * 100)]
+    out = rows(language_id.identify(spark, spark.createDataFrame(new, "doc_id long, text string, lang string"), model))
+    share = {la: np.mean([r["accepted"] for r in out if r["lang"] == la]) for la in words}
+    assert share["aa"] > 0.98 and share["bb"] > 0.98 and share["zz"] < 0.7, share
+
+
+def test_scores_of_windows_by_brute_force(spark, docs):
+    net = toxicity.Reader(3)
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def brute(text):
+        codes = [x for x, _ in itertools.groupby((text or "").encode().lower().split())]
+        best = []
+        for a in range(0, max(1, len(codes) - toxicity.STRIDE), toxicity.STRIDE):
+            x = net.embed(toxicity.word_inputs(codes[a : a + toxicity.WINDOW])).astype(float) if codes else np.zeros((0, 24))
+            states = []
+            for way, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+                s, made = np.zeros(toxicity.HIDDEN), {}
+                for t in order:
+                    i, g = x[t] @ w[f"in{way}"] + w[f"c{way}"], s @ w[f"u{way}"]
+                    z, r, h = sig(i[:8] + g[:8]), sig(i[8:16] + g[8:16]), None
+                    h = np.tanh(i[16:] + r * g[16:])
+                    s = z * s + (1 - z) * h
+                    made[t] = s
+                states.append([made[t] for t in range(len(x))])
+            both = np.array([np.concatenate(p) for p in zip(*states)]).reshape(-1, 16)
+            att = np.exp(both @ w["att"])
+            best.append(float((att / att.sum()) @ both @ w["out"] if len(x) else 0.0) + float(w["bias"][0]))
+        return sig(max(best))
+
+    texts = [r["text"] for r in rows(docs) if len(r["text"] or "") < 500] + [" ".join(f"w{i % 37}x{i % 11}" for i in range(n)) for n in (1, 63, 64, 65, 97, 300)]
+    got = {r["doc_id"]: r["score"] for r in rows(toxicity.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net))}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute(t), abs=2e-5), t
+
+
 def test_gradients_of_the_reader():
     net = toxicity.Reader(0)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
@@ -292,6 +447,12 @@ def _leaks(spark, items, texts):
     return {r["doc_id"]: r["items"] for r in rows(decontamination.find_leaks(spark, frame(texts, "doc_id"), frame(items, "item_id")))}
 
 
+def test_units_must_agree(spark):
+    item = "Walk 12 km north then ride 9 km east then swim 4 km south then run 7 km west"
+    texts = [item.replace(" km", " miles"), item.replace("12 km", "12 miles").replace("9 km", "9 hours").replace("4 km", "4 kg")]
+    assert _leaks(spark, [item], texts) == {0: [0], 1: []}
+
+
 def test_verbatim_copies_are_found_whatever_their_words(spark):
     items = ["What comes next: 3, 5, 9, 17, 33, 65, 129?", "Who wrote the Iliad and when?", "Along the wide river many old mills were built by the farmers of the valley", "yes"]
     texts = ["So. " + items[0] + " Well", "ask " + items[1] + " and so on", items[2].upper(), items[2].title(), "yes " + BASE, "What comes next: 4, 6, 9, 18, 34, 66, 130?", "Who wrote the Iliad"]
