@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import _frame
 from pyspark.sql import functions as F
 
 from basalt.functions import special
@@ -125,6 +126,24 @@ def test_svm(binary, regression):
     assert svm.SVR(X, "label", C=10, kernel="linear").fit(regression).score(regression) > 0.9
 
 
+def _duality(m, x, y, kernel, gamma):
+    """Loss of the primal, value of the dual: they meet at the optimum."""
+    f = svm.kernel_matrix(x, m.support_vectors_, kernel, gamma) @ m.dual_coef_ + m.b_
+    norm = m.dual_coef_ @ svm.kernel_matrix(m.support_vectors_, m.support_vectors_, kernel, gamma) @ m.dual_coef_
+    return norm / 2 + m.C * np.maximum(0, 1 - y * f).sum(), (m.dual_coef_ * y[[np.flatnonzero((x == v).all(1))[0] for v in m.support_vectors_]]).sum() - norm / 2
+
+
+def test_svc_linear_on_many_rows(spark):
+    # 200 distinct rows, 30 copies of each: more than were taken before
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((200, 2)), 3)
+    y = np.where(x @ [1.0, 0.5] + 0.3 * rng.standard_normal(200) > 0, 1, -1)
+    df = _frame(spark, np.tile(x, (30, 1)), np.tile(y, 30), int)
+    m = svm.SVC(["x0", "x1"], "label", kernel="linear", tol=1e-6).fit(df)
+    primal, dual = _duality(m, np.tile(x, (30, 1)), np.tile(y, 30), "linear", 1.0)
+    assert primal == pytest.approx(dual, rel=1e-4) and m.gap_ <= 1e-6 and m.score(df) > 0.85
+
+
 def test_clustering(spark, blobs):
     f = ["x0", "x1"]
     k = cluster.KMeans(f, 3, n_init=2, max_iter=20).fit(blobs)
