@@ -144,6 +144,16 @@ def test_svc_linear_on_many_rows(spark):
     assert primal == pytest.approx(dual, rel=1e-4) and m.gap_ <= 1e-6 and m.score(df) > 0.85
 
 
+def test_svc_without_the_whole_kernel_matrix(binary):
+    signed = binary.withColumn("label", 2 * F.col("label") - 1)
+    whole, some = (svm.SVC(X, "label", gamma=0.3, tol=1e-6, max_rows=n).fit(signed) for n in (200, 20))
+    x, y = (signed.toPandas()[c].to_numpy(float) for c in (X, "label"))
+    primal, dual = _duality(some, x, y, "rbf", 0.3)
+    assert primal == pytest.approx(dual, rel=1e-4) and some.gap_ <= 1e-6
+    a, b = (m.decision_function(signed).orderBy("row_id").toPandas()["score"] for m in (whole, some))
+    assert np.allclose(a, b, atol=1e-5)
+
+
 def test_clustering(spark, blobs):
     f = ["x0", "x1"]
     k = cluster.KMeans(f, 3, n_init=2, max_iter=20).fit(blobs)
