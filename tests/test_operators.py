@@ -154,6 +154,22 @@ def test_svc_without_the_whole_kernel_matrix(binary):
     assert np.allclose(a, b, atol=1e-5)
 
 
+def test_svr_on_many_rows(spark):
+    # 150 distinct rows, 40 copies of each: more than were taken before; max_rows=10 asks for columns of the kernel one by one
+    rng = np.random.default_rng(6)
+    x = np.linspace(0, 5, 150).round(3)[:, None]
+    y = np.round(np.sin(x[:, 0]) + 0.2 * rng.standard_normal(150), 3)
+    df = _frame(spark, np.tile(x, (40, 1)), np.tile(y, 40), float)
+    for max_rows in (150, 10):
+        m = svm.SVR(["x0"], "label", C=0.02, tol=1e-7, max_rows=max_rows).fit(df)
+        k, at = svm.kernel_matrix(x, m.support_vectors_) + 1.0, np.searchsorted(x[:, 0], m.support_vectors_[:, 0])
+        norm, target = m.dual_coef_ @ k[at] @ m.dual_coef_, y - y.mean()
+        primal = norm / 2 + m.C * 40 * np.maximum(0, np.abs(target - k @ m.dual_coef_) - m.epsilon).sum()
+        dual = target[at] @ m.dual_coef_ - m.epsilon * np.abs(m.dual_coef_).sum() - norm / 2
+        assert primal == pytest.approx(dual, rel=1e-4) and m.gap_ < 1e-7
+        assert np.abs(m.dual_coef_).max() <= m.C * 40 + 1e-12 and m.score(df) > 0.8
+
+
 def test_clustering(spark, blobs):
     f = ["x0", "x1"]
     k = cluster.KMeans(f, 3, n_init=2, max_iter=20).fit(blobs)
