@@ -328,6 +328,53 @@ def test_decomposition(blobs, regression):
     assert t.fit_transform(blobs.filter("row_id < 50")).count() == 50 and t.kl_[-1] < t.kl_[1]
 
 
+def test_tsne_of_more_rows_than_the_driver_pairs(spark, blobs):
+    """Against the plain formulas over the whole matrix of pairs; copies among the rows, pairs below the floor, and jobs on the executors."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.tile(rng.standard_normal((5, 2)), (4, 1)), rng.standard_normal((280, 2)) * 5])
+    d, n, floor = ((x[:, None] - x[None]) ** 2).sum(-1), len(x), 1e-12
+    p = np.zeros((n, n))
+    for i in range(n):
+        rest = np.arange(n) != i
+        beta = decomposition._bandwidths((d[i, rest] - d[i, rest].min())[None], 8)[0]
+        p[i, rest] = (w := np.exp(-(d[i, rest] - d[i, rest].min()) * beta)) / w.sum()
+    p, y, step, kl = np.maximum((p + p.T) / (2 * n), floor), np.random.default_rng(0).standard_normal((n, 2)) * 1e-4, 0.0, []
+    for t in range(30):
+        num = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
+        np.fill_diagonal(num, 0)
+        q = np.maximum(num / num.sum(), floor)
+        m = (p * (12 if t < 10 else 1) - q) * num
+        step = (0.5 if t < 20 else 0.8) * step - 25 * np.clip(4 * (m.sum(1)[:, None] * y - m @ y), -10, 10)
+        y = y + step
+        y -= y.mean(axis=0)
+        if t in (0, 29):
+            kl.append((p * np.log(p / q)).sum())
+    df = _frame(spark, x, np.zeros(n), int)
+    for rows in (1000, 100):
+        t = decomposition.TSNE(["x0", "x1"], "row_id", perplexity=8, n_iter=30, n_iter_early_exag=10, switch_iter=20, driver_rows=rows)
+        out = t.fit_transform(df).orderBy("row_id").toPandas()
+        assert np.allclose(out[["y0", "y1"]].to_numpy(), y, atol=1e-8) and np.allclose(t.kl_, kl)
+
+
+def test_tsne_floor_of_far_pairs():
+    y = np.random.default_rng(8).standard_normal((700, 2)) * 1e7
+    num = 1 / (1 + np.maximum((y * y).sum(1)[:, None] + (y * y).sum(1) - 2 * y @ y.T, 0))
+    np.fill_diagonal(num, 0)
+    q = np.maximum(num / 1e3, decomposition.FLOOR)
+    parts = [(0, 300), (300, 700)]
+    tiles = [(a, b) for g, a in enumerate(parts) for b in parts[g:]]
+    _, push, logs = decomposition.TSNE([], "row_id")._repulsion(y, lambda f, items: [f(i) for i in items], tiles, 1e3)
+    m = q * num
+    assert (q == decomposition.FLOOR).mean() > 0.5 and logs == pytest.approx(np.log(q).sum())
+    assert np.allclose(push, m.sum(1)[:, None] * y - m @ y)
+
+
+def test_tsne_takes_any_number_of_rows(spark):
+    rng = np.random.default_rng(9)
+    out = decomposition.TSNE(["x0"], "row_id", perplexity=5, n_iter=2, driver_rows=20_000).fit_transform(_frame(spark, rng.standard_normal((5200, 1)), np.zeros(5200), int))
+    assert out.count() == 5200 and out.filter("isnan(y0) or isnan(y1)").count() == 0
+
+
 def test_preprocessing(spark, regression):
     s = pre.StandardScaler(X).fit_transform(regression).agg(F.avg("x0"), F.stddev_pop("x0")).first()
     assert s[0] == pytest.approx(0, abs=1e-9) and s[1] == pytest.approx(1)
