@@ -261,6 +261,126 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, n_features: int, k:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
+#: Distinct points of a cell, and rows from which the bounds of cells are taken at most.
+CELL_ROWS, BOUND_ROWS = 2000, 200_000
+
+
+def _split(x: np.ndarray, cells: int) -> list[tuple]:
+    """A tree over space: (feature, value, node below it, node from it on), or (cell,) where it ends. Points only tell where to halve."""
+    nodes = []
+
+    def grow(x, cells):
+        at = len(nodes)
+        nodes.append(None)
+        wide = np.ptp(x, axis=0) if len(x) > 1 and cells > 1 else np.zeros(1)
+        if not wide.max() > 0:
+            nodes[at] = (at,)
+            return at
+        f = int(wide.argmax())
+        v = np.sort(x[:, f])
+        cut = v[len(v) // 2]
+        cut = v[np.searchsorted(v, cut, "right")] if cut == v[0] else cut
+        below = x[:, f] < cut
+        nodes[at] = (f, float(cut), grow(x[below], cells // 2), grow(x[~below], cells - cells // 2))
+        return at
+
+    grow(x, cells)
+    return nodes
+
+
+def _cells(nodes: list[tuple], x: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the cell of each row, or all that may hold a point whose squared distance is within the row's."""
+    rows, cells, todo = [], [], [(0, np.arange(len(x)))]
+    while todo:
+        node, at = todo.pop()
+        if len(nodes[node]) == 1:
+            rows.append(at)
+            cells.append(np.full(len(at), node))
+            continue
+        f, cut, below, above = nodes[node]
+        v = x[at, f]
+        near = (v - cut) ** 2 <= within[at] if within is not None else np.zeros(len(at), bool)
+        todo += [(n, at[m]) for n, m in ((below, (v < cut) | near), (above, (v >= cut) | near)) if m.any()]
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+def _gaps(ask: np.ndarray, there: np.ndarray):
+    """Squared distances of 256 rows at a time to all points, with the place of the first of these rows."""
+    for i in range(0, len(ask), 256):
+        d = np.zeros((len(ask[i : i + 256]), len(there)))
+        for f in range(there.shape[1]):
+            d += (ask[i : i + 256, f, None] - there[:, f]) ** 2
+        yield i, d
+
+
+def nearest_in_cells(queries: DataFrame, points: DataFrame, n_features: int, k: int) -> DataFrame:
+    """(x, near): for each distinct x of the queries the k points nearest by (distance, point id), as (d, point, y), in that order.
+
+    queries are (x), points (id, x), x arrays of n_features finite doubles. Copies count as one site that keeps its k least ids.
+    Sites are dealt to cells of about CELL_ROWS; the k nearest of a query's own cell bound how far away its nearest can be, and
+    it then meets the cells within that bound, which hold all of them. Work follows the sites, not their square, where
+    features are few; with many, balls reach into most cells.
+    """
+    line = Window.partitionBy("x").orderBy("id")
+    sites = points.withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= k).groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids")).checkpoint()
+    asked = queries.groupBy("x").agg(F.count("*").alias("_n")).select("x", F.monotonically_increasing_id().alias("key")).checkpoint()
+    cells = -(-sites.count() // CELL_ROWS)
+    some = sites.select("x").orderBy(F.xxhash64("x")).limit(min(BOUND_ROWS, 50 * cells)) if cells > 1 else sites.select("x").limit(1)
+    nodes = _split(np.array([r[0] for r in some.collect()], float).reshape(-1, n_features), cells)
+    tree = queries.sparkSession.sparkContext.broadcast(nodes)
+    matrix = lambda column: np.array(column.tolist(), float).reshape(len(column), n_features)
+
+    @F.pandas_udf("int")
+    def cell(x: pd.Series) -> pd.Series:
+        rows, found = _cells(tree.value, matrix(x))
+        return pd.Series(found[np.argsort(rows)])
+
+    def bound(ask: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        far = np.full(len(ask), np.inf)
+        if len(ask) and len(there):
+            held, few = there["ids"].map(len).to_numpy(), min(k, len(there))
+            for i, d in _gaps(matrix(ask["x"]), matrix(there["x"])):
+                top = np.argpartition(d, few - 1, axis=1)[:, :few]
+                d = np.take_along_axis(d, top, axis=1)
+                order = np.argsort(d, axis=1)
+                upto = np.cumsum(np.take_along_axis(held[top], order, axis=1), axis=1) >= k
+                last = np.take_along_axis(d, order, axis=1)[np.arange(len(d)), upto.argmax(axis=1)]
+                far[i : i + 256] = np.where(upto.any(axis=1), last, np.inf)
+        return pd.DataFrame({"key": ask["key"], "x": ask["x"], "far": far})
+
+    def reach(frames):
+        for pdf in frames:
+            rows, found = _cells(tree.value, matrix(pdf["x"]), pdf["far"].to_numpy())
+            yield pdf.iloc[rows].assign(c=found)
+
+    def best(ask: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"key": [], "d": [], "point": [], "y": []})]
+        if len(ask) and len(there):
+            ids, held, far, keys = np.concatenate(there["ids"].to_numpy()), there["ids"].map(len).to_numpy(), ask["far"].to_numpy(), ask["key"].to_numpy()
+            first, y = np.cumsum(held) - held, there["x"].to_numpy()
+            for i, d in _gaps(matrix(ask["x"]), matrix(there["x"])):
+                q, site = np.nonzero(d <= far[i : i + 256, None])
+                gap, n = d[q, site], held[site]
+                q, site, gap = np.repeat(q, n), np.repeat(site, n), np.repeat(gap, n)
+                point = ids[first[site] + np.arange(len(site)) - np.repeat(np.cumsum(n) - n, n)]
+                order = np.lexsort((point, gap, q))
+                q, site, gap, point = q[order], site[order], gap[order], point[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out.append(pd.DataFrame({"key": keys[i + q[keep]], "d": gap[keep], "point": point[keep], "y": y[site[keep]]}))
+        return pd.concat(out)
+
+    there = sites.withColumn("c", cell("x")).checkpoint()
+    far = asked.withColumn("c", cell("x")).groupBy("c").cogroup(there.groupBy("c")).applyInPandas(bound, "key long, x array<double>, far double")
+    routed = far.mapInPandas(reach, "key long, x array<double>, far double, c int").checkpoint()
+    # a cell that many queries reach into is dealt over several tasks
+    busy = routed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_parts"))
+    sliced = routed.join(F.broadcast(busy), "c").withColumn("s", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int")).drop("_parts")
+    spread = there.join(F.broadcast(busy), "c").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    found = sliced.groupBy("c", "s").cogroup(spread.groupBy("c", "s")).applyInPandas(best, "key long, d double, point long, y array<double>")
+    near = found.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "point", "y"))), 1, k).alias("near"))
+    return asked.join(near, "key").select("x", "near")
+
+
 class KNNImputer(Operator):
     """Mean of the k nearest training rows, by the distance over shared observed columns.
 
@@ -418,7 +538,10 @@ class RandomOverSampler(Operator):
 
 
 class SMOTE(Operator):
-    """New minority rows on the line from a random row to one of its k nearest of the class (self excluded), found in blocks."""
+    """New minority rows on the line from a random row to one of its k nearest of the class (self excluded), by (distance, place).
+
+    Neighbours are looked for in cells, for the rows drawn only; in a class with a missing or infinite feature block by block.
+    """
 
     def __init__(self, features, label, row_id, k_neighbors=5, random_state=0):
         self.features, self.label, self.row_id, self.k_neighbors, self.random_state = features, label, row_id, k_neighbors, random_state
@@ -437,10 +560,16 @@ class SMOTE(Operator):
             rows = _numbered(df.filter(F.col(self.label) == c), self.label, self.row_id, 0).select(F.col("_place").cast("long").alias("id"), _numbers(self.features).alias("x")).checkpoint()
             luck = lambda i: F.xxhash64("id", F.lit(self.random_state), F.lit(i))
             draws = spark.range(most - size).select((F.pmod(luck(1), F.lit(size)) + 1).alias("_key"), (F.pmod(luck(2), F.lit(k)) + 1).alias("rank"), (F.pmod(luck(3), F.lit(1 << 24)) / F.lit(float(1 << 24))).alias("u"))
+            starts = draws.join(rows.select(F.col("id").alias("_key"), "x"), "_key")
             # one more than k, as a row is its own nearest, or ties with copies that are
-            near = nearest(rows.select(F.col("id").alias("_key"), "x"), rows, "_key", len(self.features), k + 1).filter("_key != point")
-            near = near.withColumn("rank", F.row_number().over(Window.partitionBy("_key").orderBy("d", "point")))
-            ends = draws.join(near, ["_key", "rank"]).join(rows.select(F.col("id").alias("_key"), "x"), "_key").join(rows.select(F.col("id").alias("point"), F.col("x").alias("y")), "point")
+            if rows.filter(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).isEmpty():
+                near = nearest_in_cells(starts.select("x"), rows, len(self.features), k + 1)
+                others = F.filter("near", lambda p: p["point"] != F.col("_key"))
+                ends = starts.join(near, "x").select("x", "u", F.element_at(others, F.col("rank").cast("int"))["y"].alias("y"))
+            else:
+                near = nearest(starts.groupBy("_key").agg(F.first("x").alias("x")), rows, "_key", len(self.features), k + 1).filter("_key != point")
+                near = near.withColumn("rank", F.row_number().over(Window.partitionBy("_key").orderBy("d", "point")))
+                ends = starts.join(near, ["_key", "rank"]).join(rows.select(F.col("id").alias("point"), F.col("x").alias("y")), "point")
             new = ends.select(F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
             out = out.unionByName(new.select(*(F.col("z")[i].alias(f) for i, f in enumerate(self.features)), F.lit(c).alias(self.label)))
         return out

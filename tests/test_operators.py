@@ -313,6 +313,34 @@ def test_checks(spark, binary):
     assert selection.GridSearchCV(linear.RidgeRegression(X, "label"), {"alpha": [0.1]}, "row_id").kind == "regressor"
 
 
+@pytest.mark.parametrize("kind", ["copies", "ties", "one site", "skewed"])
+def test_neighbours_in_cells(spark, monkeypatch, kind):
+    rng, k = np.random.default_rng(11), 4
+    x = {"copies": np.tile(rng.standard_normal((60, 3)), (5, 1)), "ties": rng.integers(0, 6, (300, 2)) * 1.0, "one site": np.ones((40, 2)), "skewed": np.exp(4 * rng.standard_normal((300, 2)))}[kind]
+    monkeypatch.setattr(pre, "CELL_ROWS", 7)
+    monkeypatch.setattr(pre, "BLOCK_ROWS", 20)
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    got = pre.nearest_in_cells(points.filter("id % 2 = 0").select("x"), points, x.shape[1], k).collect()
+    assert len(got) == len(np.unique(x[::2], axis=0))
+    for r in got:
+        d = sum((x[:, f] - r.x[f]) ** 2 for f in range(x.shape[1]))
+        best = np.lexsort((np.arange(len(x)), d))[:k]
+        assert [(p.d, p.point, p.y) for p in r.near] == [(d[i], i, x[i].tolist()) for i in best]
+
+
+def test_smote_meets_no_block_of_all_rows(spark, blobs, monkeypatch):
+    """Only rows drawn look for neighbours, and not among all rows of the class, unless a feature is missing there."""
+    asked = []
+    monkeypatch.setattr(pre, "nearest", lambda queries, *rest, run=pre.nearest: asked.append(queries.count()) or run(queries, *rest))
+    few = blobs.filter("label > 0 or row_id < 36").withColumn("label", (F.col("label") > 0).cast("int")).filter("label = 0 or row_id < 40")
+    rows = few.groupBy("label").count().orderBy("count").collect()
+    out = pre.SMOTE(["x0", "x1"], "label", "row_id", 3).fit_resample(few)
+    assert out.filter(f"label = {rows[0].label}").count() == rows[1]["count"] and not asked
+    hole = few.withColumn("x1", F.when(F.col("row_id") != 3, F.col("x1")))
+    out = pre.SMOTE(["x0", "x1"], "label", "row_id", 3).fit_resample(hole)
+    assert out.filter(f"label = {rows[0].label}").count() == rows[1]["count"] and asked and asked[0] <= rows[0]["count"]
+
+
 def test_decomposition(blobs, regression):
     p = decomposition.PCA(X).fit(regression)
     x, _ = design(regression)
