@@ -9,6 +9,8 @@ less sure than long ones.
 
 from __future__ import annotations
 
+import copy
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -186,16 +188,17 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel | None)
     docs = docs.drop("lang_pred", "score", "accepted")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "accepted": F.lit(False)})
-    told = spark.sparkContext.broadcast(model)
+    told, tag = spark.sparkContext.broadcast(model), ("language", uuid.uuid4().hex)
     bound_batches(spark)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, sure: boolean>")
     def guess(text: pa.Array) -> pa.Array:
-        tk.kept("language", dict)  # the caches of other operators in this worker end here
-        p, size = told.value.probabilities(text)
+        # a copy, whose word cache ends when another operator's begins or the worker is idle
+        p, size = tk.kept(tag, lambda: copy.copy(told.value)).probabilities(text)
         best = p.argmax(axis=1)
         score = p[np.arange(len(p)), best]
         sure = score >= np.array(told.value.thresholds)[np.searchsorted(LENGTHS, size)]
+        tk.idle()
         return pa.StructArray.from_arrays([pa.array(told.value.langs, pa.string()).take(pa.array(best)), pa.array(score), pa.array(sure)], ["lang_pred", "score", "sure"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import itertools
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,44 +14,76 @@ import pyarrow.compute as pc
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: A worker without work for so many seconds drops its caches.
+IDLE_S = 3.0
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[SPACES] = 0
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15
-_power: dict[str, np.ndarray] = {}
+_power: dict[str, list[np.ndarray]] = {}
 _LIBC = ctypes.CDLL(None)
 
 
 _kept: dict[object, object] = {}
+_lock, _waits = threading.RLock(), []
 
 
 def release() -> None:
-    """Gives freed memory back to the system, as workers outlive their tasks and stages."""
+    """Gives freed memory back to the system, as workers outlive their tasks and stages; caches that hold their own methods are freed by the collector only."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
 
 
+def forget() -> None:
+    with _lock:
+        _kept.clear()
+        _power.clear()
+    release()
+
+
+def busy() -> None:
+    """Work begins: the caches stay."""
+    with _lock:
+        while _waits:
+            _waits.pop().cancel()
+
+
+def idle() -> None:
+    """Work ends: the caches go unless more of it begins within IDLE_S, so that they do not lie beside stages that run without Python."""
+    with _lock:
+        busy()
+        wait = threading.Timer(IDLE_S, forget)
+        wait.daemon = True
+        wait.start()
+        _waits.append(wait)
+
+
 def kept(key, make):
     """What a worker keeps from task to task, made at first use: one thing, so that an operator's caches end when another's begin."""
-    if key not in _kept:
-        _kept.clear()
-        release()
-        _kept[key] = make()
-    return _kept[key]
+    busy()
+    with _lock:
+        if key not in _kept:
+            _kept.clear()
+            release()
+            _kept[key] = make()
+        return _kept[key]
 
 
 def tidy(run):
-    """The function for mapInArrow, followed by release()."""
+    """The function for mapInArrow, followed by release(), and by forget() when the worker stays idle."""
 
     def tidied(batches):
+        busy()
         try:
             yield from run(batches)
         finally:
             release()
+            idle()
 
     return tidied
 
@@ -62,13 +96,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "r" not in _power or _power["r"].size < n:
-        size = max(n, BLOCK + (BLOCK >> 1))
-        for name, base in (("r", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
+    made = _power.get("both")
+    if made is None or made[0].size < n:
+        size, made = max(n, BLOCK + (BLOCK >> 1)), []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
-            _power[name] = np.multiply.accumulate(p)
-    return _power["r"], _power["i"]
+            made.append(np.multiply.accumulate(p))
+        _power["both"] = made
+    return made[0], made[1]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

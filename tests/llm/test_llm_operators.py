@@ -596,3 +596,28 @@ def test_chat_format_of_nulls_and_large_ids(spark):
     assert [(r["turn"], r["action"], r["inserted"], r["appended"]) for r in convs[big]] == [(0, "keep", [], []), (1, "keep", [], [])]
     assert [r["turn"] for r in convs[big + 1]] == [None, 2**62, 2**62 + 1] and len(convs[None]) == 2
     assert all(LEGAL.fullmatch("".join(r["rendered"] for r in g)) for g in convs.values())
+
+
+def test_idle_workers_free_their_caches(monkeypatch):
+    """Caches that hold their own methods go at once, both when another operator's begin and when a worker has had no work for a while."""
+    import time
+    import weakref
+
+    class Cache:
+        def __init__(self):
+            self.memo = textkit.WordMemo(self.learn)
+
+        def learn(self, new):
+            pass
+
+    monkeypatch.setattr(textkit, "IDLE_S", 0.2)
+    first = weakref.ref(textkit.kept("first", Cache))
+    second = weakref.ref(textkit.kept("second", Cache))
+    assert first() is None and second() is not None
+    list(textkit.tidy(lambda batches: batches)([1, 2]))
+    assert second() is textkit.kept("second", Cache)  # work went on, so it stays
+    time.sleep(0.4)
+    assert second() is not None
+    list(textkit.tidy(lambda batches: batches)([1, 2]))
+    time.sleep(1.0)
+    assert second() is None and not textkit._kept
