@@ -81,15 +81,16 @@ def _families(texts: DataFrame, work: Workspace) -> DataFrame:
     return spread_join(texts, groups, ["part"], "rows").select("text_key", family.alias("family"), "mostly")
 
 
-def _templates(rows: DataFrame, leaves: DataFrame, work: Workspace) -> DataFrame:
-    """(leaf, key, template) from the different lines (leaf, key, tokens) of the leaves: those that agree with their leaf's template."""
-    votes = rows.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    best = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    field = F.when(F.col("n") > MAJORITY * F.col("all"), F.col("token")).otherwise(FIELD)
-    shape = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", field.alias("token")))).alias("shape"), F.max("all").alias("rows"))
-    shape = shape.select("leaf", F.transform("shape", lambda x: x["token"]).alias("shape"), F.xxhash64("leaf", F.lit("template")).alias("template"), "rows")
-    shape = work.save(shape.filter(_words(F.col("shape")) >= FIXED * F.size("shape")))
-    fits = F.forall(F.zip_with("tokens", "shape", lambda a, b: (a == b) | (b == FIELD)), lambda x: x)
+def _templates(rows: DataFrame, work: Workspace) -> DataFrame:
+    """(leaf, key, template) from the different lines (leaf, lines, key, tokens) of the leaves, where a leaf has so many lines: those that agree with their leaf's template."""
+    votes = rows.select("leaf", "lines", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
+    votes = votes.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"), F.max("lines").alias("lines"), F.max("size").alias("size"))
+    # a position has one token with a majority at most; what has none is a field, and never leaves this count
+    fixed = votes.filter((F.col("n") > MAJORITY * F.col("lines")) & (F.col("token") != FIELD))
+    shape = fixed.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("fixed"), F.max("size").alias("size"), F.max("lines").alias("rows"))
+    shape = shape.filter(_words(F.col("fixed")["token"]) >= FIXED * F.col("size"))
+    shape = work.save(shape.select("leaf", "fixed", F.xxhash64("leaf", F.lit("template")).alias("template"), "rows"))
+    fits = F.forall("fixed", lambda x: F.get("tokens", x["at"]) == x["token"])
     return spread_join(rows, shape, ["leaf"], "rows", "inner").filter(fits).select("leaf", "key", "template")
 
 
@@ -112,12 +113,12 @@ def boilerplate(spark: SparkSession, docs: DataFrame, work: Workspace) -> DataFr
     # a leaf that may generalise: several different lines, in enough families
     lone = work.save(forms.groupBy("leaf", "key").agg(F.count("family").alias("families"), F.max("long").alias("long"), F.min("text_key").alias("text_key")))
     enough = F.col("families") >= F.when(F.col("long"), LEAST_LONG).otherwise(LEAST_TEXTS)
-    leaves = work.save(lone.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("families").alias("families"), F.max("long").alias("long")).filter((F.col("lines") > 1) & enough).select("leaf"))
+    leaves = work.save(lone.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("families").alias("families"), F.max("long").alias("long")).filter((F.col("lines") > 1) & enough).select("leaf", "lines"))
     # each of their lines is read again in one text that holds it
     there = work.save(lone.join(_small(leaves), "leaf", "left_semi").select("text_key").distinct())
     tokens = raw.join(_small(there), "text_key", "left_semi").select(F.explode(F.transform("lines", _tokens)).alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
-    tokens = tokens.select("tokens", _leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("key")).join(_small(leaves), "leaf", "left_semi")
-    grown = work.save(_templates(work.save(tokens.groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))), leaves, work))
+    tokens = tokens.select("tokens", _leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("key")).join(_small(leaves), "leaf")
+    grown = work.save(_templates(work.save(tokens.groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"), F.max("lines").alias("lines"))), work))
     under = forms.join(_small(grown), ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key"))
     spread = under.groupBy("template", "family").agg(F.max("long").alias("long"), F.max("mostly").alias("mostly"))
     spread = spread.groupBy("template").agg(F.count("family").alias("families"), F.max("long").alias("long"), F.count(F.when(F.col("mostly"), 1)).alias("mostly"))
@@ -147,7 +148,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
         rows = spread_join(rows, held, ["_k"], "copies")
     cut = F.col("_raws").isNotNull() & F.col("text").isNotNull()
     rows = rows.withColumn("_kept", F.when(cut, F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_raws", F.xxhash64(x)))))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     left = F.when(F.col("_kept").isNotNull(), F.size("_kept").cast("long")).otherwise(n)
     rows = rows.withColumns({"n_lines": n, "n_dropped": n - left})
     return rows.withColumn("text", F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "n_dropped")

@@ -522,6 +522,35 @@ def test_rows_of_numbers_stand_for_themselves(spark):
     assert _dropped(spark, texts) == [2] * 20
 
 
+def test_templates_match_a_count_by_hand(spark):
+    """Odd and even leaves, ties at exactly half, words that read like a field, and leaves with too few fixed words."""
+    rng = np.random.default_rng(12)
+    leaves = {}
+    for leaf in range(40):
+        base, n = _prose(rng, 8).split(), int(rng.integers(2, 9))
+        base[5] = "<*>" if leaf % 4 == 0 else base[5]
+        lines = {tuple(w if rng.random() > (0.1, 0.3, 0.5)[leaf % 3] else f"other{int(rng.integers(2))}" for w in base) for _ in range(n)}
+        leaves[leaf] = sorted(lines)
+    data = [(leaf, len(lines), 100 * leaf + i, list(x)) for leaf, lines in leaves.items() for i, x in enumerate(lines)]
+    work = line_dedup.Workspace(spark)
+    df = work.save(spark.createDataFrame(data, "leaf long, lines long, key long, tokens array<string>"))
+    got, want = {(r["leaf"], r["key"]) for r in rows(line_dedup._templates(df, work))}, set()
+    for leaf, n, key, tokens in data:
+        shape = [([w for w in {x[i] for x in leaves[leaf]} if 2 * sum(x[i] == w for x in leaves[leaf]) > n] or ["<*>"])[0] for i in range(8)]
+        words = sum(bool(re.fullmatch(r"[^0-9]*[a-z][^0-9]*", w)) for w in shape)
+        if words >= line_dedup.FIXED * 8 and all(w in (x, "<*>") for w, x in zip(shape, tokens)):
+            want.add((leaf, key))
+    assert got == want and 0 < len(want) < len(data)
+
+
+def test_lines_are_counted_by_bytes(spark):
+    # going through a text character by character took most of the last stage
+    texts = ["", "\n", "a\n\nb\n", "\u00e4\U0001f600\n\u2028\r\n\u6f22", None, "no end", "\n" * 500]
+    out = line_dedup.drop_lines(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["n_lines"] for r in sorted(rows(out), key=lambda r: r["doc_id"])] == [0 if t is None else t.count("\n") + 1 for t in texts]
+    assert "translate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def brute_cost(roles):
     """Least cost over every choice of a label for each turn and of joining it to the turn before."""
     best = 1e9
