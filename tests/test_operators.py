@@ -1,5 +1,7 @@
 """The reference's kinds of assertions: quality floors, invariants, hand-computed values."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from conftest import _frame
@@ -403,6 +405,51 @@ def test_tsne_takes_any_number_of_rows(spark):
     assert out.count() == 5200 and out.filter("isnan(y0) or isnan(y1)").count() == 0
 
 
+def test_tsne_grid_is_the_sum_over_all_pairs(monkeypatch):
+    """Clouds from far smaller to far larger than the kernels, one direction, and pairs whose share is below the floor; against every pair."""
+    rng = np.random.default_rng(10)
+    cloud = rng.standard_normal((1500, 2)) * [1, 0.4]
+    cloud[:300] = cloud[:300] * 0.02 + 1
+    line = np.concatenate([rng.standard_normal((2500, 1)) * 1e-3, rng.standard_normal((40, 1)) * 300, [[-400.0], [500.0]]])
+    t = decomposition.TSNE([], "row_id")
+    monkeypatch.setattr(t, "_on_grid", lambda y: True)
+    with ThreadPoolExecutor(3) as pool:
+        grid = decomposition._Grid(pool)
+        for y in (cloud * 1e-4, cloud * 0.1, cloud, cloud * 10, cloud * 10 + 1e-3, line / 1e5, line):
+            every = [((0, len(y)), (0, len(y)))]
+            found, wanted = (t._summed(y, g, lambda f, items: [f(i) for i in items], every, 12, True) for g in (grid, None))
+            off, largest = np.abs(found[0] - wanted[0]).max(), 3**1.5 / 16  # of affinity * affinity * apart
+            assert off < 1e-7 * largest * len(y) / wanted[1]
+            assert off < 1e-6 * np.abs(wanted[0]).max() or y is line
+            assert found[1] == pytest.approx(wanted[1], rel=1e-7) and found[2] == pytest.approx(wanted[2], rel=1e-8)
+        assert decomposition._far(line, wanted[1])
+
+
+def test_tsne_neighbours_of_many_rows():
+    """Leaf by leaf the same probabilities as from the whole matrix; copies and a dense clump far from a thin cloud among the rows."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.tile(rng.standard_normal((100, 3)), (5, 1)), rng.standard_normal((1000, 3)) * 1e-3 + 50, rng.integers(0, 11, (900, 3)) * 1.0])
+    n = len(x)
+    d = sum((c[:, None] - c) ** 2 for c in x.T)
+    np.fill_diagonal(d, np.inf)
+    d -= d.min(axis=1, keepdims=True)
+    p = np.exp(-d * decomposition._bandwidths(d, 8)[:, None])
+    p /= p.sum(axis=1, keepdims=True)
+    p = (p + p.T) / (2 * n)
+    i, j, found = decomposition.TSNE([], "row_id", perplexity=8)._joint(x, lambda f, items: [f(r) for r in items], 7)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) >= set(zip(*(c.tolist() for c in np.nonzero(p > 1.001 * decomposition.FLOOR)), strict=True))
+    assert np.allclose(found, p[i, j], rtol=1e-5, atol=1e-13) and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+
+
+def test_tsne_of_many_rows_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(decomposition, "_tile", lambda *_: pytest.fail("took the pairs one by one"))
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.standard_normal((2000, 2)), rng.standard_normal((2000, 2)) + 20])
+    t = decomposition.TSNE(["x0", "x1"], "row_id", perplexity=8, n_iter=101, n_iter_early_exag=50)
+    out = t.fit_transform(_frame(spark, x, np.zeros(len(x)), int)).orderBy("row_id").toPandas()
+    assert out.row_id.tolist() == list(range(4000)) and not out.isna().any().any() and t.kl_[-1] < t.kl_[1]
+
+
 def test_preprocessing(spark, regression):
     s = pre.StandardScaler(X).fit_transform(regression).agg(F.avg("x0"), F.stddev_pop("x0")).first()
     assert s[0] == pytest.approx(0, abs=1e-9) and s[1] == pytest.approx(1)
